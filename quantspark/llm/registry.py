@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, token_counts
+from . import bpe, exact_dedup, fingerprints, token_counts
 from .common import Query
 
 
@@ -10,8 +10,12 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_bpe": bpe.op2_bpe,
+        "op4_fingerprints": fingerprints.op4_fingerprints,
+        "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_exact_dedup": exact_dedup.OP7_SQL,
+    }
