@@ -48,6 +48,12 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def row_of(docs: DataFrame, *without: str) -> Column:
+    """The columns of a table but some, as one struct: no name of an operator's own can clash with them."""
+    kept = [c for c in docs.columns if c not in without]
+    return F.struct(*[docs[f"`{c}`"] for c in kept]) if kept else F.struct(F.lit(None).cast("int").alias("_"))
+
+
 def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch; empty batches are passed over."""
 

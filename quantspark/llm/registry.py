@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, token_counts
+from . import bpe, exact_dedup, fingerprints, line_dedup, token_counts
 from .common import Query
 
 
@@ -11,11 +11,13 @@ def queries() -> dict[str, Query]:
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_bpe": bpe.op2_bpe,
         "op4_fingerprints": fingerprints.op4_fingerprints,
+        "op5_line_dedup": line_dedup.op5_line_dedup,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_line_dedup": line_dedup.OP5_SQL,
         "op7_exact_dedup": exact_dedup.OP7_SQL,
     }

@@ -1,0 +1,104 @@
+"""Sorted key arrays in shards on the shared folder, and their probing from Arrow batches.
+
+A table of different 64-bit keys is dealt to shards by the keys' leading bits
+and written as Parquet under the shared folder. A task that probes sorts its
+own keys by shard, loads one shard after another and keeps at most
+LOADED_BYTES of them, so memory is bounded however large the table is. Tasks
+that are retried read the same files.
+"""
+
+from __future__ import annotations
+
+from collections import OrderedDict
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common
+
+#: Keys in a shard, and bytes of shards that one Python worker keeps.
+SHARD_KEYS, LOADED_BYTES = 1 << 17, 96 << 20
+
+_loaded: OrderedDict[tuple[str, int], tuple[int, object]] = OrderedDict()
+
+
+def bits_for(n_keys: int, shard_keys: int = SHARD_KEYS) -> int:
+    return max(0, (-(-max(1, n_keys) // shard_keys) - 1).bit_length())
+
+
+def shard_of(key: str, bits: int):
+    return F.shiftrightunsigned(key, 64 - bits).cast("int") if bits else F.lit(0)
+
+
+def write(keys: DataFrame, n_keys: int, name: str, shard_keys: int = SHARD_KEYS) -> tuple[str, int]:
+    """Writes a table with a column k (different longs) in shards; returns its folder and the number of leading bits."""
+    bits, path = bits_for(n_keys, shard_keys), common.fresh_dir(keys.sparkSession, name)
+    sharded = keys.withColumn("shard", shard_of("k", bits))
+    sharded.repartition(min(1 << bits, 4096), "shard").sortWithinPartitions("shard", "k").write.partitionBy("shard").parquet(path)
+    return path, bits
+
+
+def read_shard(path: str, shard: int) -> pa.Table:
+    """The rows of one shard; none if it has none."""
+    system, at = fs.FileSystem.from_uri(path) if "://" in path else fs.FileSystem.from_uri(path if path.startswith("/") else path.replace("file:", "file://", 1))
+    at = f"{at}/shard={shard}"
+    if system.get_file_info(at).type == fs.FileType.NotFound:
+        return pa.table({})
+    return ds.dataset(at, filesystem=system, format="parquet").to_table()
+
+
+def loaded(path: str, shard: int, make: Callable[[pa.Table], tuple[int, object]], most: int = LOADED_BYTES):
+    """What `make` returns for a shard (its bytes, the object), the least recently used going first."""
+    key = path, shard
+    if key in _loaded:
+        _loaded.move_to_end(key)
+    else:
+        for old in [k for k in _loaded if k[0] != path and sum(x[0] for x in _loaded.values()) > most // 2]:
+            del _loaded[old]
+        _loaded[key] = make(read_shard(path, shard))
+        while len(_loaded) > 1 and sum(x[0] for x in _loaded.values()) > most:
+            _loaded.popitem(last=False)
+    return _loaded[key][1]
+
+
+def by_shard(keys: np.ndarray, bits: int):
+    """(shard, positions of its keys), in order of shards."""
+    if not len(keys):
+        return
+    shard = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    order = np.argsort(shard, kind="stable")
+    found, first = np.unique(shard[order], return_index=True)
+    for s, at in zip(found.tolist(), np.split(order, first[1:]), strict=True):
+        yield s, at
+
+
+def _columns(t: pa.Table) -> tuple[int, dict[str, np.ndarray]]:
+    if not t.num_rows:
+        return 0, {}
+    cols = {c: t[c].to_numpy() for c in t.column_names}
+    cols["k"] = cols["k"].view(np.uint64)
+    order = np.argsort(cols["k"], kind="stable")
+    cols = {c: v[order] for c, v in cols.items()}
+    return sum(v.nbytes for v in cols.values()), cols
+
+
+def probe(path: str, bits: int, keys: np.ndarray, values: dict[str, object]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(found, columns) for uint64 keys; values: the wanted columns with the value where a key is absent."""
+    found = np.zeros(len(keys), bool)
+    out = {c: np.full(len(keys), v) for c, v in values.items()}
+    for shard, at in by_shard(keys, bits):
+        cols = loaded(path, shard, _columns)
+        if not cols:
+            continue
+        k = keys[at]
+        i = np.minimum(np.searchsorted(cols["k"], k), len(cols["k"]) - 1)
+        hit = cols["k"][i] == k
+        found[at] = hit
+        for c in out:
+            out[c][at[hit]] = cols[c][i[hit]]
+    return found, out
