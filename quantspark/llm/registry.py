@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, line_dedup, token_counts
+from . import bpe, exact_dedup, fingerprints, line_dedup, ngram_join, token_counts
 from .common import Query
 
 
@@ -12,6 +12,7 @@ def queries() -> dict[str, Query]:
         "op2_bpe": bpe.op2_bpe,
         "op4_fingerprints": fingerprints.op4_fingerprints,
         "op5_line_dedup": line_dedup.op5_line_dedup,
+        "op6_ngram_join": ngram_join.op6_ngram_join,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     }
 
