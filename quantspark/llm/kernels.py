@@ -121,19 +121,18 @@ def grams(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
 
 
 def window_minima(h: np.ndarray, w: int) -> np.ndarray:
-    """Of each w consecutive values the index of the least, the rightmost of equals."""
+    """Of each w consecutive values the index of the least by its leading 32 bits, the leftmost of equals.
+
+    The index rides in the low bits, so the sliding minimum is a few passes of np.minimum. Equal windows choose the same
+    place, as the choice depends on nothing outside the window.
+    """
     n = len(h) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    best, idx, span = h.copy(), np.arange(len(h)), 1
+    best, span = (h & U64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=U64), 1
     while span * 2 <= w:
-        m = len(best) - span
-        right = best[span:] <= best[:m]
-        idx = np.where(right, idx[span:], idx[:m])
-        best = np.where(right, best[span:], best[:m])
+        best = np.minimum(best[:-span], best[span:])
         span *= 2
     if span < w:
-        d = w - span
-        right = best[d : d + n] <= best[:n]
-        idx = np.where(right, idx[d : d + n], idx[:n])
-    return idx[:n]
+        best = np.minimum(best[:n], best[w - span : w - span + n])
+    return (best[:n] & U64(0xFFFFFFFF)).astype(np.int64)

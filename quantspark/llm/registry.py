@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, line_dedup, ngram_join, token_counts
+from . import bpe, exact_dedup, fingerprints, line_dedup, ngram_join, substring_dedup, token_counts
 from .common import Query
 
 
@@ -14,6 +14,7 @@ def queries() -> dict[str, Query]:
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_ngram_join": ngram_join.op6_ngram_join,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     }
 
 

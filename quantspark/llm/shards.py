@@ -102,3 +102,39 @@ def probe(path: str, bits: int, keys: np.ndarray, values: dict[str, object]) ->
         for c in out:
             out[c][at[hit]] = cols[c][i[hit]]
     return found, out
+
+
+def pack(keys: np.ndarray, bits: int, *values: np.ndarray, short: bool = False) -> pa.RecordBatch:
+    """(part, data): rows of a batch as one block of bytes for each range of keys, for a shuffle without a row each.
+
+    short: the keys alone, their 32 bits behind the leading `bits`.
+    """
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.int64)
+    edges = np.append(edges, len(keys))
+    full = np.flatnonzero(np.diff(edges)).tolist()
+    block = (keys >> np.uint64(32 - bits)).astype(np.uint32) if short else np.stack([keys.view(np.int64), *(v[order].view(np.int64) for v in values)], 1)
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([block[edges[i] : edges[i + 1]].tobytes() for i in full], pa.binary())], ["part", "data"])
+
+
+def unpacked(t: pa.Table, width: int) -> np.ndarray:
+    """The rows of one part, `width` longs each."""
+    return np.frombuffer(b"".join(t["data"].to_pylist()), np.int64).reshape(-1, width)
+
+
+def repeated_short(t: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys cut to their leading 32 + bits bits, counts) of the short keys of one part that occur twice or more."""
+    keys, n = np.unique(np.frombuffer(b"".join(t["data"].to_pylist()), np.uint32), return_counts=True)
+    keys, n = keys[n > 1].astype(np.uint64) << np.uint64(32 - bits), n[n > 1]
+    part = np.uint64(t["part"][0].as_py())
+    return (keys | (part << np.uint64(64 - bits)) if bits else keys), n
+
+
+def short_mask(bits: int) -> np.uint64:
+    return np.uint64((2**64 - 1) << (32 - bits) & (2**64 - 1))
+
+
+def part_bits(df: DataFrame) -> int:
+    """Leading bits by which packed rows are dealt: some parts for each partition of the input, 65,536 at most."""
+    return min(16, 4 + max(1, df.rdd.getNumPartitions()).bit_length())
