@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, line_dedup, ngram_join, substring_dedup, token_counts
+from . import bpe, exact_dedup, fingerprints, line_dedup, ngram_join, substring_dedup, token_counts, toxicity
 from .common import Query
 
 
@@ -10,6 +10,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_bpe": bpe.op2_bpe,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_fingerprints": fingerprints.op4_fingerprints,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_ngram_join": ngram_join.op6_ngram_join,
