@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, line_dedup, ngram_join, substring_dedup, token_counts, toxicity
+from . import bpe, exact_dedup, fingerprints, line_dedup, mixing, ngram_join, substring_dedup, token_counts, toxicity
 from .common import Query
 
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op6_ngram_join": ngram_join.op6_ngram_join,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+        "op9_mixing": mixing.op9_mixing,
     }
 
 
