@@ -1,10 +1,60 @@
-"""A training-data pipeline over the table documents."""
+"""A training-data pipeline over the table documents: five stages, each over all that the one before kept.
+
+Every stage but the last returns the columns it was given (those of documents and any others), with texts as the stage
+leaves them and n_chars to match. Nulls, empty texts, ties and empty tables are treated as each operator's module says.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quantspark.llm import bpe, line_dedup, mixing, ngram_join, toxicity
+from quantspark.shared import stored
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches their language's threshold go."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scored(docs, model).filter("score < threshold").select("row.*")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that several documents hold stay in the one with the smallest doc_id alone."""
+    out = line_dedup.dedup_lines(docs)
+    changed = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that link by five-word shingles at 0.8 or more, the one with the smallest doc_id stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are sampled so that sources, languages and topics come half way towards equal shares."""
+    return mixing.decided(docs, mixing.fit(docs)).filter("kept").select("row.*")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each text's tokens counted and digested, and decoded again."""
+    return bpe.round_trip(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("BPE", encode),
+]
+
+#: The scores, components and merges of these stages can't be expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
