@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, line_dedup, mixing, ngram_join, substring_dedup, token_counts, toxicity
+from . import bpe, exact_dedup, fingerprints, line_dedup, mixing, ngram_join, substring_dedup, suffix_dedup, token_counts, toxicity
 from .common import Query
 
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_mixing": mixing.op9_mixing,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 
