@@ -47,7 +47,8 @@ from .kernels import U64, Words, chunks, grams, lowered, mix
 
 #: Documents that hold a token before it counts as frequent; sets in a block; tokens of a prefix to one class of pairs.
 RARE, BLOCK, PER_CLASS = 16, 1024, 40
-_KEYS = 64
+#: Tokens that a task holds before it sends them on; ranges to which set keys are dealt.
+MOST_WAITING, _KEYS = 2_000_000, 64
 
 
 def token_sets(raw: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,29 +92,30 @@ def _classes(level: np.ndarray, percent: int) -> np.ndarray:
 
 def _counted(docs: DataFrame, words: int, seed: int, bits: int) -> DataFrame:
     """(kind, a, b, c, d): kind 0 a document's id, size and set keys; kind 1 a token's leading 32 + bits bits and its count, if 2 or more."""
-    n_ranges = 1 << bits
 
     def batch(b: pa.RecordBatch):
-        ids = b.column(0).cast(pa.int64())
-        for first, last, raw, off in chunks(b.column(1), 16 << 20):
+        ids, seen, waiting = b.column(0).cast(pa.int64()), np.zeros(0, U64), []
+        for first, last, raw, off in chunks(b.column(1)):
             tokens, at = token_sets(raw, off, words)
             s1, s2 = set_keys(tokens, at, seed)
-            _, once = np.unique(s1, return_index=True)
-            some = np.zeros(len(s1), bool)
-            some[once] = True
-            own = np.sort(tokens[np.repeat(some, np.diff(at))])
-            short = (own >> U64(32 - bits)).astype(np.uint32)
-            edges = np.searchsorted(own, (np.arange(n_ranges, dtype=U64) << U64(64 - bits)) if bits else np.zeros(1, U64))
-            edges = np.append(edges, len(own)).tolist()
-            full = [i for i in range(n_ranges) if edges[i + 1] > edges[i]]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([short[edges[i] : edges[i + 1]].tobytes() for i in full], pa.binary()), pa.nulls(len(full), pa.binary())], ["part", "data", "ids"])
+            new = np.zeros(len(s1), bool)
+            new[np.unique(s1, return_index=True)[1]] = True
+            new &= ~np.isin(s1, seen)
+            seen = np.concatenate([seen, s1[new]])
+            waiting.append(tokens[np.repeat(new, np.diff(at))])
+            if sum(map(len, waiting)) > MOST_WAITING:
+                yield _named(shards.pack(np.concatenate(waiting), bits, short=True))
+                waiting = []
             rows = np.stack([np.diff(at), s1.view(np.int64), s2.view(np.int64)], 1)
             part = (s1 % U64(_KEYS)).astype(np.int64)
-            cells = [np.flatnonzero(part == i) for i in range(_KEYS)]
             held = ids[first:last]
             null, value = np.asarray(held.is_null()), held.fill_null(0).to_numpy(zero_copy_only=False)
-            used = [i for i in range(_KEYS) if len(cells[i])]
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - i for i in used], pa.int32()), pa.array([rows[cells[i]].tobytes() for i in used], pa.binary()), pa.array([np.stack([value[cells[i]], null[cells[i]].astype(np.int64)], 1).tobytes() for i in used], pa.binary())], ["part", "data", "ids"])
+            owners = np.stack([value, null.astype(np.int64)], 1)
+            cells = {i: part == i for i in np.unique(part).tolist()}
+            data = [pa.array([x[c].tobytes() for c in cells.values()], pa.binary()) for x in (rows, owners)]
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - i for i in cells], pa.int32()), *data], ["part", "data", "ids"])
+        if waiting:
+            yield _named(shards.pack(np.concatenate(waiting), bits, short=True))
 
     def count(t: pa.Table) -> pa.Table:
         part, data = t["part"][0].as_py(), t["data"].to_pylist()
@@ -121,9 +123,7 @@ def _counted(docs: DataFrame, words: int, seed: int, bits: int) -> DataFrame:
             rows = np.frombuffer(b"".join(data), np.int64).reshape(-1, 3)
             ids = np.frombuffer(b"".join(t["ids"].to_pylist()), np.int64).reshape(-1, 2)
             return pa.table({"kind": pa.array(np.zeros(len(rows), np.int8)), "a": pa.array(ids[:, 0].copy(), mask=ids[:, 1] == 1), **{c: pa.array(rows[:, i].copy()) for i, c in enumerate("bcd")}})
-        tokens, n = np.unique(np.frombuffer(b"".join(data), np.uint32), return_counts=True)
-        tokens, n = tokens[n > 1], n[n > 1]
-        whole = (tokens.astype(U64) << U64(32 - bits)) | (U64(part) << U64(64 - bits) if bits else U64(0))
+        whole, n = shards.repeated_short(t, bits)
         none = pa.nulls(len(n), pa.int64())
         return pa.table({"kind": pa.array(np.ones(len(n), np.int8)), "a": pa.array(whole.view(np.int64)), "b": pa.array(np.minimum(n, 255)), "c": none, "d": none})
 
@@ -131,6 +131,10 @@ def _counted(docs: DataFrame, words: int, seed: int, bits: int) -> DataFrame:
     return sent.groupBy("part").applyInArrow(count, "kind tinyint, a long, b long, c long, d long")
 
 
+def _named(packed: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*packed.columns, pa.nulls(packed.num_rows, pa.binary())], ["part", "data", "ids"])
+
+
 def prefix_signatures(tokens: np.ndarray, counts: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(signature, set's position) of sets; counts: documents that hold each token."""
     sizes = np.diff(off)
@@ -170,10 +174,10 @@ def prefix_signatures(tokens: np.ndarray, counts: np.ndarray, off: np.ndarray, p
 
 
 def _signatures(docs: DataFrame, words: int, percent: int, seed: int, path: str, bits: int, count_bits: int) -> DataFrame:
-    mask = U64((2**64 - 1) << (32 - count_bits) & (2**64 - 1))
+    mask = shards.short_mask(count_bits)
 
     def batch(b: pa.RecordBatch):
-        for _, _, raw, off in chunks(b.column(0), 16 << 20):
+        for _, _, raw, off in chunks(b.column(0)):
             tokens, at = token_sets(raw, off, words)
             s1, _ = set_keys(tokens, at, seed)
             _, once = np.unique(s1, return_index=True)
@@ -259,7 +263,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     if count_bits is None:
-        count_bits = min(16, 5 + max(1, rows.rdd.getNumPartitions()).bit_length())
+        count_bits = shards.part_bits(rows)
     for seed in range(8):
         counted = common.stored(_counted(rows, words, seed, count_bits), "ngram-counts")
         keys = counted.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("node"), F.col("d").alias("check"))
@@ -289,7 +293,7 @@ def _verified(rows: DataFrame, tasks: DataFrame, words: int, percent: int, seed:
     path, bits = shards.write(wanted, wanted.count(), "ngram-nodes")
 
     def batch(b: pa.RecordBatch):
-        for _, _, raw, off in chunks(b.column(0), 16 << 20):
+        for _, _, raw, off in chunks(b.column(0)):
             tokens, at = token_sets(raw, off, words)
             s1, _ = set_keys(tokens, at, seed)
             found, _ = shards.probe(path, bits, s1, {})

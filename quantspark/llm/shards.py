@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Keys in a shard, and bytes of shards that one Python worker keeps.
-SHARD_KEYS, LOADED_BYTES = 1 << 17, 96 << 20
+SHARD_KEYS, LOADED_BYTES = 1 << 17, 64 << 20
 
 _loaded: OrderedDict[tuple[str, int], tuple[int, object]] = OrderedDict()
 
