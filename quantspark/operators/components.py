@@ -26,3 +26,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         labels = spread.select("id", "component")
         if spread.filter("was <> component").isEmpty():
             return labels
+
+
+def page_components(rows: DataFrame, pairs: DataFrame, key: str, name: str, page: list[str]) -> DataFrame:
+    """`rows` with `name`, the least key of their page that pairs (page, a, b) lead to; keys are unique within a page."""
+    node = lambda c: F.struct(*page, F.col(c).alias("key"))
+    found = connected_components(pairs.select(node("a").alias("a"), node("b").alias("b")), "a", "b")
+    found = found.select(*[F.col(f"id.{c}").alias(c) for c in page], F.col("id.key").alias(key), F.col("component.key").alias(name))
+    return rows.join(found, [*page, key], "left").withColumn(name, F.coalesce(name, key))
