@@ -9,18 +9,20 @@ from quantspark.functions import geometry as G
 
 from .grid import PAGE, over_box
 
-_ENDS = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+
+def _ends() -> list[Column]:
+    return [F.col(c) for c in ("x1", "y1", "x2", "y2")]
 
 
 def with_line(segments: DataFrame) -> DataFrame:
     """Adds the canonical direction (_dx, _dy; keys _kx, _ky in thousandths), the offset and the projections of both ends."""
-    dx, dy = G.unit(*_ENDS)
+    dx, dy = G.unit(*_ends())
     s = segments.withColumns({"_ux": dx, "_uy": dy})
     dx, dy = G.canonical(F.col("_ux"), F.col("_uy"))
     s = s.withColumns({"_dx": dx, "_dy": dy}).drop("_ux", "_uy")
-    t1, t2 = G.projection(F.col("_dx"), F.col("_dy"), *_ENDS[:2]), G.projection(F.col("_dx"), F.col("_dy"), *_ENDS[2:])
+    t1, t2 = G.projection(F.col("_dx"), F.col("_dy"), *_ends()[:2]), G.projection(F.col("_dx"), F.col("_dy"), *_ends()[2:])
     key = lambda c: F.rint(F.col(c) * 1000).cast("long")
-    return s.withColumns({"_kx": key("_dx"), "_ky": key("_dy"), "_off": G.offset(F.col("_dx"), F.col("_dy"), *_ENDS[:2]), "_t0": F.least(t1, t2), "_t1": F.greatest(t1, t2)})
+    return s.withColumns({"_kx": key("_dx"), "_ky": key("_dy"), "_off": G.offset(F.col("_dx"), F.col("_dy"), *_ends()[:2]), "_t0": F.least(t1, t2), "_t1": F.greatest(t1, t2)})
 
 
 def island(value: Column, most: float, keys: list[str], order: list[Column], last: Column | None = None) -> tuple[Column, Column]:
@@ -47,13 +49,13 @@ def merge_collinear(segments: DataFrame, gaps: DataFrame, tol: float = 1.0, cros
     """
     by = ["layer"] if within_layer else []
     s = segments.join(gaps.select(*PAGE, "max_gap"), PAGE, "left").withColumn("max_gap", F.coalesce("max_gap", F.lit(0.0)))
-    still = s.filter((F.col("max_gap") <= 0) | (G.length(*_ENDS) == 0))
-    runs = offset_runs(with_line(s.filter((F.col("max_gap") > 0) & (G.length(*_ENDS) > 0))), tol, by)
+    still = s.filter((F.col("max_gap") <= 0) | (G.length(*_ends()) == 0))
+    runs = offset_runs(with_line(s.filter((F.col("max_gap") > 0) & (G.length(*_ends()) > 0))), tol, by)
     line = Window.partitionBy(*PAGE, *by, "_kx", "_ky", "_line")
     first = F.first(F.struct("_dx", "_dy")).over(line.orderBy("_off", "seg_seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     runs = runs.withColumn("_d", first)
-    t1 = G.projection(F.col("_d._dx"), F.col("_d._dy"), *_ENDS[:2])
-    t2 = G.projection(F.col("_d._dx"), F.col("_d._dy"), *_ENDS[2:])
+    t1 = G.projection(F.col("_d._dx"), F.col("_d._dy"), *_ends()[:2])
+    t2 = G.projection(F.col("_d._dx"), F.col("_d._dy"), *_ends()[2:])
     runs = runs.withColumns({"_t0": F.least(t1, t2), "_t1": F.greatest(t1, t2)})
     order = line.orderBy("_t0", "_t1", "_off", "seg_seq")
     reach = F.max("_t1").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -84,7 +86,7 @@ def _crossed(runs: DataFrame, segments: DataFrame, crossing_gap: float, by: list
     mine = over_box(gaps, F.least("_ax", "_bx"), F.least("_ay", "_by"), F.greatest("_ax", "_bx"), F.greatest("_ay", "_by"), size)
     others = runs.select(*PAGE, "x1", "y1", "x2", "y2", "_kx", "_ky", "_line")
     others = over_box(others, F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"), size)
-    cut = G.segments_cross((F.col("_ax"), F.col("_ay"), F.col("_bx"), F.col("_by")), tuple(_ENDS))
+    cut = G.segments_cross((F.col("_ax"), F.col("_ay"), F.col("_bx"), F.col("_by")), tuple(_ends()))
     own = (F.col("_kx") == F.col("_gx")) & (F.col("_ky") == F.col("_gy")) & (F.col("_line") == F.col("_gl"))
     found = mine.join(others, [*PAGE, "_cx", "_cy"]).filter(cut & ~own).select(*PAGE, F.col("_gap").alias("seg_seq")).distinct()
     return runs.join(found.withColumn("_crossed", F.lit(True)), [*PAGE, "seg_seq"], "left").withColumn("_crossed", F.coalesce("_crossed", F.lit(False)))
@@ -92,7 +94,7 @@ def _crossed(runs: DataFrame, segments: DataFrame, crossing_gap: float, by: list
 
 def exact_lines(segments: DataFrame, offset_tol: float = 1.0) -> DataFrame:
     """Segments with length, keyed by _kx, _ky and the offset rounded to a multiple of the tolerance (_ko)."""
-    lined = with_line(segments.filter(G.length(*_ENDS) > 0))
+    lined = with_line(segments.filter(G.length(*_ends()) > 0))
     return lined.withColumn("_ko", F.rint(F.col("_off") / offset_tol).cast("long"))
 
 
@@ -115,6 +117,6 @@ def dash_gap(segments: DataFrame, least: int = 20, margin: float = 1.3) -> DataF
 def coverage(segments: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(page, by, coverage): drawn length over the extent of the lines it lies on; 0 without extent."""
     by = by or []
-    lines = exact_lines(segments).withColumn("_len", G.length(*_ENDS)).groupBy(*PAGE, *by, "_kx", "_ky", "_ko")
+    lines = exact_lines(segments).withColumn("_len", G.length(*_ends())).groupBy(*PAGE, *by, "_kx", "_ky", "_ko")
     lines = lines.agg(F.sum("_len").alias("ink"), (F.max("_t1") - F.min("_t0")).alias("span"))
     return lines.groupBy(*PAGE, *by).agg(F.coalesce(F.try_divide(F.sum("ink"), F.sum("span")), F.lit(0.0)).alias("coverage"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantspark.config import Config
@@ -17,12 +17,19 @@ from .grid import PAGE, at_point, grid_join, over_box
 from .nets import Net, pruned
 
 ENDS = ("x1", "y1", "x2", "y2")
-_E = [F.col(c) for c in ENDS]
-LENGTH = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
 # Reasons of exclusion.
 FRAME_LINE, PAGE_FRAME = "ram/rutnät (lång rak ensam linje)", "sidram"
 
 
+def _ends() -> list[Column]:
+    return [F.col(c) for c in ENDS]
+
+
+def length() -> Column:
+    """The length of a row's segment."""
+    return F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+
+
 def symbols(items: DataFrame, cfg: Config) -> DataFrame:
     """(page, path_id, cx, cy, diameter) of paths that are curves alone and small: marks of vertical pipes."""
     xs, ys = F.filter("coords", lambda _, i: i % 2 == 0), F.filter("coords", lambda _, i: i % 2 == 1)
@@ -45,7 +52,7 @@ def expand_items(items: DataFrame, cfg: Config) -> DataFrame:
     parts = F.when(F.col("kind") == "l", line).when(F.col("kind") == "re", rect).when(F.col("kind") == "qu", quad).when(F.col("kind") == "c", G.bezier(F.col("coords"), cfg.bezier_steps))
     rest = items.join(symbols(items, cfg).select(*PAGE, "path_id"), [*PAGE, "path_id"], "left_anti")
     out = rest.select(*PAGE, "path_id", "item_seq", *[F.round(v, 2).alias(v) for v in ("width", "r", "g", "b")], "layer", F.posexplode(parts).alias("part", "s"))
-    out = out.select(*PAGE, "path_id", "item_seq", "part", "s.*", "width", "r", "g", "b", "layer").filter(LENGTH > 0)
+    out = out.select(*PAGE, "path_id", "item_seq", "part", "s.*", "width", "r", "g", "b", "layer").filter(length() > 0)
     w = Window.partitionBy(*PAGE).orderBy("path_id", "item_seq", "part")
     return out.withColumn("seg_seq", F.row_number().over(w).cast("long")).drop("path_id", "item_seq", "part")
 
@@ -100,7 +107,7 @@ def filter_by_clusters(segments: DataFrame, clusters: DataFrame, cfg: Config, zo
 
 def layer_lengths(segments: DataFrame) -> DataFrame:
     """(page, layer, length, n) of named layers."""
-    return segments.filter(F.coalesce("layer", F.lit("")) != "").groupBy(*PAGE, "layer").agg(F.sum(LENGTH).alias("length"), F.count("*").alias("n"))
+    return segments.filter(F.coalesce("layer", F.lit("")) != "").groupBy(*PAGE, "layer").agg(F.sum(length()).alias("length"), F.count("*").alias("n"))
 
 
 def pipe_layers(segments: DataFrame, cfg: Config) -> DataFrame:
@@ -152,17 +159,17 @@ def cut_at_contacts(segments: DataFrame, tol: float) -> DataFrame:
     """
     size = max(8 * tol, 8.0)
     ends = segments.select(*PAGE, F.inline(F.array(F.struct(F.col("x1").alias("px"), F.col("y1").alias("py")), F.struct(F.col("x2").alias("px"), F.col("y2").alias("py"))))).distinct()
-    long = segments.filter(LENGTH > 2 * tol).select(*PAGE, "seg_seq", *ENDS, LENGTH.alias("len"))
+    long = segments.filter(length() > 2 * tol).select(*PAGE, "seg_seq", *ENDS, length().alias("len"))
     boxes = over_box(long, F.least("x1", "x2") - tol, F.least("y1", "y2") - tol, F.greatest("x1", "x2") + tol, F.greatest("y1", "y2") + tol, size)
     t = ((F.col("px") - F.col("x1")) * (F.col("x2") - F.col("x1")) + (F.col("py") - F.col("y1")) * (F.col("y2") - F.col("y1"))) / F.col("len")
-    inside = (t > tol) & (t < F.col("len") - tol) & (G.point_segment_distance(F.col("px"), F.col("py"), *_E) <= tol)
+    inside = (t > tol) & (t < F.col("len") - tol) & (G.point_segment_distance(F.col("px"), F.col("py"), *_ends()) <= tol)
     cuts = grid_join(at_point(ends, F.col("px"), F.col("py"), size), boxes, inside).groupBy(*PAGE, "seg_seq").agg(F.array_sort(F.collect_set(t)).alias("ts"))
     far = F.aggregate("ts", F.array().cast("array<double>"), lambda got, x: F.when((F.size(got) == 0) | (x - F.element_at(got, -1) > tol), F.concat(got, F.array(x))).otherwise(got))
     cut = segments.join(cuts.select(*PAGE, "seg_seq", far.alias("ts")), [*PAGE, "seg_seq"], "left")
-    places = F.concat(F.array(F.lit(0.0)), F.coalesce("ts", F.array().cast("array<double>")), F.array(LENGTH))
+    places = F.concat(F.array(F.lit(0.0)), F.coalesce("ts", F.array().cast("array<double>")), F.array(length()))
     steps = F.transform(F.sequence(F.lit(0), F.size(places) - 2), lambda i: F.struct(i.alias("no"), F.get(places, i).alias("a"), F.get(places, i + 1).alias("z")))
     cut = cut.withColumn("_step", F.explode(steps))
-    dx, dy = G.unit(*_E)
+    dx, dy = G.unit(*_ends())
     whole = F.col("ts").isNull()
     at = lambda d, start, own, end: F.when(whole, F.col(own)).otherwise(F.col(start) + F.col(f"_step.{end}") * d)
     new = {"x1": at(dx, "x1", "x1", "a"), "y1": at(dy, "y1", "y1", "a"), "x2": at(dx, "x1", "x2", "z"), "y2": at(dy, "y1", "y2", "z")}
@@ -178,7 +185,7 @@ def prune_stubs(pieces: DataFrame, tol: float, min_len: float, rounds: int = 4)
     key = lambda x: F.rint(F.col(x) / size).cast("long")
     w = Window.partitionBy(*PAGE, "group", "_kx", "_ky")
     for _ in range(rounds):
-        ends = kept.select(*PAGE, "group", "piece", (LENGTH < min_len).alias("_short"), F.inline(F.array(*[F.struct(key(a).alias("_kx"), key(b).alias("_ky")) for a, b in (("x1", "y1"), ("x2", "y2"))])))
+        ends = kept.select(*PAGE, "group", "piece", (length() < min_len).alias("_short"), F.inline(F.array(*[F.struct(key(a).alias("_kx"), key(b).alias("_ky")) for a, b in (("x1", "y1"), ("x2", "y2"))])))
         others = ends.withColumn("_others", F.size(F.collect_set("piece").over(w)) - 1)
         gone = others.filter("_short and _others = 0").select(*PAGE, "group", "piece").distinct()
         kept = kept.join(gone, [*PAGE, "group", "piece"], "left_anti")
@@ -231,7 +238,7 @@ def build_chains(segments: DataFrame, cfg: Config, scale: DataFrame | None = Non
         least = least.join(scale.select(*PAGE, "pts_per_meter"), PAGE, "left").select(*PAGE, F.greatest("min_len", F.coalesce(F.col("pts_per_meter") * cfg.min_run_m, F.lit(0.0))).alias("min_len"))
     branches = branch_pieces(pieces, cfg, least)
     layer = Window.partitionBy(*PAGE, "layer")
-    branches = branches.withColumn("_layer_at", F.min(F.struct("seg_seq", "piece_no")).over(layer)).withColumn("_len", LENGTH)
+    branches = branches.withColumn("_layer_at", F.min(F.struct("seg_seq", "piece_no")).over(layer)).withColumn("_len", length())
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     chains = branches.groupBy(*PAGE, "layer", "_layer_at", "branch_no").agg(
         F.sum("_len").alias("length_pt"),

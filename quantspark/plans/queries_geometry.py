@@ -40,7 +40,7 @@ FROM v_seg WHERE layer LIKE '%-FE-%' GROUP BY ALL""")
 def system_lengths(spark: SparkSession, d: str) -> DataFrame:
     """Drawn length of each system: pipe layers chosen by name, their system, totals."""
     s = V.segments(spark, d).filter(L.is_pipe_layer(F.col("layer")))
-    return s.groupBy("doc_id", L.system_for_layer(F.col("layer")).alias("system")).agg(F.count("*").alias("n"), F.rint(F.sum(pipes.LENGTH)).cast("long").alias("length_pt"))
+    return s.groupBy("doc_id", L.system_for_layer(F.col("layer")).alias("system")).agg(F.count("*").alias("n"), F.rint(F.sum(pipes.length())).cast("long").alias("length_pt"))
 
 
 @query("p4_layer_fields", """
@@ -95,7 +95,7 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(w) AS BIGINT) AS drawn FR
   SELECT doc_id, unnest([x2-x1, 7, x2-x1, 7]) AS w FROM v_seg WHERE x2 > x1) WHERE w > 0 GROUP BY doc_id""")
 def expand(spark: SparkSession, d: str) -> DataFrame:
     items = V.segments(spark, d).filter("x2 > x1").select("doc_id", "page_no", F.col("seg_seq").alias("path_id"), F.lit(0).alias("item_seq"), F.lit("re").alias("kind"), F.array(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y1") + 7).alias("coords"), "width", "r", "g", "b", "layer")
-    return pipes.expand_items(items, CFG).groupBy("doc_id").agg(F.count("*").alias("n"), F.rint(F.sum(pipes.LENGTH)).cast("long").alias("drawn"))
+    return pipes.expand_items(items, CFG).groupBy("doc_id").agg(F.count("*").alias("n"), F.rint(F.sum(pipes.length())).cast("long").alias("drawn"))
 
 
 @query("s4_small_symbols", """
@@ -165,7 +165,7 @@ def all_dash_gaps(spark: SparkSession, d: str) -> DataFrame:
 , f AS (SELECT *, CASE WHEN off - lag(off) OVER w > 5 THEN 1 ELSE 0 END + CASE WHEN lag(off) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM ln WINDOW w AS (PARTITION BY doc_id, kx ORDER BY off, seg_seq))
 SELECT doc_id, seg_seq, CAST(sum(new) OVER (PARTITION BY doc_id, kx ORDER BY off, seg_seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS line FROM f""")
 def offset_runs(spark: SparkSession, d: str) -> DataFrame:
-    s = V.segments(spark, d).filter(pipes.LENGTH > 0)
+    s = V.segments(spark, d).filter(pipes.length() > 0)
     return islands.offset_runs(islands.with_line(s), 5.0).select("doc_id", "seg_seq", F.col("_line").alias("line"))
 
 
@@ -180,7 +180,7 @@ r AS (SELECT doc_id, kx, off, run, min(t0) AS t0, max(t1) AS t1, count(*) AS k F
 SELECT doc_id, CAST(CASE WHEN kx = 1 THEN t0 ELSE -off END AS BIGINT) AS x1, CAST(CASE WHEN kx = 1 THEN off ELSE t0 END AS BIGINT) AS y1,
        CAST(CASE WHEN kx = 1 THEN t1 ELSE -off END AS BIGINT) AS x2, CAST(CASE WHEN kx = 1 THEN off ELSE t1 END AS BIGINT) AS y2 FROM r""")
 def merge_collinear(spark: SparkSession, d: str) -> DataFrame:
-    s = V.segments(spark, d).filter(pipes.LENGTH > 0)
+    s = V.segments(spark, d).filter(pipes.length() > 0)
     gaps = s.select(*PAGE).distinct().withColumn("max_gap", F.lit(4.0))
     return islands.merge_collinear(s, gaps, tol=0.5).select("doc_id", *[_LONG(c) for c in pipes.ENDS])
 
@@ -246,14 +246,14 @@ c AS (SELECT DISTINCT l.doc_id, l.seg_seq, CASE WHEN x2 > x1 THEN px - x1 ELSE p
 SELECT l.doc_id, l.seg_seq, 1 + count(c.t) AS pieces, CAST(any_value(len) AS BIGINT) AS len FROM l LEFT JOIN c USING (doc_id, seg_seq) GROUP BY ALL""")
 def cut_at_contacts(spark: SparkSession, d: str) -> DataFrame:
     cut = pipes.cut_at_contacts(V.segments(spark, d), 0.5)
-    return cut.groupBy("doc_id", "seg_seq").agg(F.count("*").alias("pieces"), F.rint(F.sum(pipes.LENGTH)).cast("long").alias("len"))
+    return cut.groupBy("doc_id", "seg_seq").agg(F.count("*").alias("pieces"), F.rint(F.sum(pipes.length())).cast("long").alias("len"))
 
 
 @query("c6_branches")
 def branches(spark: SparkSession, d: str) -> DataFrame:
     s = V.segments(spark, d).withColumn("piece_no", F.lit(0))
     b = pipes.branch_pieces(s, CFG, s.select(*PAGE).distinct().withColumn("min_len", F.lit(3.0)))
-    return b.groupBy("doc_id", "layer", "branch_no").agg(F.count("*").alias("n"), F.rint(F.sum(pipes.LENGTH)).cast("long").alias("length"))
+    return b.groupBy("doc_id", "layer", "branch_no").agg(F.count("*").alias("n"), F.rint(F.sum(pipes.length())).cast("long").alias("length"))
 
 
 @query("c8_build_chains")
@@ -307,14 +307,14 @@ def leader_candidates(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, seg_seq AS chain_id, (x2-x1)+(y2-y1) >= 45 AS excluded FROM v_seg WHERE width = 2.0""")
 def frames(spark: SparkSession, d: str) -> DataFrame:
     r = _runs(spark, d)
-    c = r.select(*PAGE, "chain_id", F.lit(1).alias("n_segments"), F.lit(True).alias("axis_aligned"), pipes.LENGTH.alias("length_pt"), F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("x2").alias("x1"), F.col("y2").alias("y1"))
+    c = r.select(*PAGE, "chain_id", F.lit(1).alias("n_segments"), F.lit(True).alias("axis_aligned"), pipes.length().alias("length_pt"), F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("x2").alias("x1"), F.col("y2").alias("y1"))
     return pipes.flag_frames(c, V.pages(r), Config(frame_len_pt=45.0)).select("doc_id", "chain_id", "excluded")
 
 
 @query("f8_short_runs", "SELECT doc_id, count(*) AS kept, CAST(sum((x2-x1)+(y2-y1)) AS BIGINT) AS length FROM v_seg WHERE (x2-x1)+(y2-y1) >= 3 GROUP BY doc_id")
 def short_runs(spark: SparkSession, d: str) -> DataFrame:
-    s = V.segments(spark, d).filter(pipes.LENGTH >= CFG.min_branch_pt)
-    return s.groupBy("doc_id").agg(F.count("*").alias("kept"), F.rint(F.sum(pipes.LENGTH)).cast("long").alias("length"))
+    s = V.segments(spark, d).filter(pipes.length() >= CFG.min_branch_pt)
+    return s.groupBy("doc_id").agg(F.count("*").alias("kept"), F.rint(F.sum(pipes.length())).cast("long").alias("length"))
 
 
 @query("j10_symbols_to_ends", """
@@ -358,13 +358,13 @@ def bridged_dashes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p17_meters", f"SELECT doc_id, CAST(floor(sum({_LEN}) * 100 / ((1000.0/50) / (25.4/72)) + 0.0000001) AS BIGINT) AS cm FROM v_seg GROUP BY doc_id")
 def meters(spark: SparkSession, d: str) -> DataFrame:
-    return V.segments(spark, d).groupBy("doc_id").agg(F.floor(F.sum(pipes.LENGTH) * 100 / F.lit(points_per_meter(50)) + 0.0000001).cast("long").alias("cm"))
+    return V.segments(spark, d).groupBy("doc_id").agg(F.floor(F.sum(pipes.length()) * 100 / F.lit(points_per_meter(50)) + 0.0000001).cast("long").alias("cm"))
 
 
 @query("a8_chain_rollup", f"""
 SELECT doc_id, layer AS chain, count(*) AS n, CAST(sum({_LEN}) AS BIGINT) AS length, CAST(min(x1) AS BIGINT) AS x0, CAST(max(x2) AS BIGINT) AS x1, arg_min(width, seg_seq) AS first_width FROM v_seg GROUP BY ALL""")
 def chain_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return V.segments(spark, d).groupBy("doc_id", F.col("layer").alias("chain")).agg(F.count("*").alias("n"), F.rint(F.sum(pipes.LENGTH)).cast("long").alias("length"), F.min("x1").cast("long").alias("x0"), F.max("x2").cast("long").alias("x1"), F.min_by("width", "seg_seq").alias("first_width"))
+    return V.segments(spark, d).groupBy("doc_id", F.col("layer").alias("chain")).agg(F.count("*").alias("n"), F.rint(F.sum(pipes.length())).cast("long").alias("length"), F.min("x1").cast("long").alias("x0"), F.max("x2").cast("long").alias("x1"), F.min_by("width", "seg_seq").alias("first_width"))
 
 
 @query("grid_join_points_in_boxes", """

@@ -21,7 +21,7 @@ def run_folder(spark: SparkSession, folder: str, checkpoint: str, batch: Callabl
 
 def new_jobs(submitted: DataFrame, key: str = "job_id", at: str = "created", ttl: str = TTL) -> DataFrame:
     """Submissions without repeats of a job within the time to live; state older than that is dropped by the watermark."""
-    return submitted.withWatermark(at, ttl).dropDuplicatesWithinWatermark([key])
+    return submitted.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, ttl).dropDuplicatesWithinWatermark([key])
 
 
 def live_jobs(jobs: DataFrame, now, ttl_hours: int = 24) -> DataFrame:
@@ -31,4 +31,4 @@ def live_jobs(jobs: DataFrame, now, ttl_hours: int = 24) -> DataFrame:
 
 def job_states(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(window, event_type, n) over event time with a watermark: how many jobs reached each state."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"))
