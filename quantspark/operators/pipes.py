@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quantspark.config import Config
 from quantspark.functions import geometry as G
 from quantspark.functions import layers as L
+from quantspark.shared import stored
 
 from . import islands
 from .codes import in_page_zones, in_zones
@@ -228,15 +229,18 @@ def branch_pieces(pieces: DataFrame, cfg: Config, min_len: DataFrame) -> DataFra
 
 
 def build_chains(segments: DataFrame, cfg: Config, scale: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(chains, chain_segments). chains: page, chain_id, layer, system, length_pt, box, n_segments, all axis-aligned or not."""
+    """(chains, chain_segments). chains: page, chain_id, layer, system, length_pt, box, n_segments, all axis-aligned or not.
+
+    Merged segments and branches are read by several joins each, so they are written to the shared folder once.
+    """
     gaps = islands.dash_gap(segments) if cfg.dash_gap_pt is None else segments.select(*PAGE).distinct().withColumn("max_gap", F.lit(float(cfg.dash_gap_pt)))
     systems = segments.groupBy(*PAGE, "layer").agg(F.max("system").alias("system"))
     merged = islands.merge_collinear(segments, gaps, crossing_gap=cfg.crossing_gap_pt, within_layer=cfg.merge_within_layer)
-    pieces = cut_at_contacts(merged, cfg.chain_tol_pt)
+    pieces = cut_at_contacts(stored(merged, "merged"), cfg.chain_tol_pt)
     least = segments.select(*PAGE).distinct().withColumn("min_len", F.lit(float(cfg.min_branch_pt)))
     if cfg.min_run_m and scale is not None:
         least = least.join(scale.select(*PAGE, "pts_per_meter"), PAGE, "left").select(*PAGE, F.greatest("min_len", F.coalesce(F.col("pts_per_meter") * cfg.min_run_m, F.lit(0.0))).alias("min_len"))
-    branches = branch_pieces(pieces, cfg, least)
+    branches = stored(branch_pieces(pieces, cfg, least), "branches")
     layer = Window.partitionBy(*PAGE, "layer")
     branches = branches.withColumn("_layer_at", F.min(F.struct("seg_seq", "piece_no")).over(layer)).withColumn("_len", length())
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
