@@ -320,3 +320,26 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(common.table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))
+                                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w
+), n AS (
+  SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.size + y.size - k)
+), sym AS (
+  SELECT a, b FROM link UNION SELECT b, a FROM link
+), reach(node, least) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT sym.b, reach.least FROM reach JOIN sym ON reach.node = sym.a WHERE reach.least < sym.b
+)
+SELECT w.doc_id, coalesce(size, 0) AS n_shingles, (SELECT min(least) FROM reach WHERE node = w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id)
+"""

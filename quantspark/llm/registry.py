@@ -24,5 +24,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_line_dedup": line_dedup.OP5_SQL,
+        "op6_ngram_join": ngram_join.OP6_SQL,
         "op7_exact_dedup": exact_dedup.OP7_SQL,
+        "op8_substring_dedup": substring_dedup.OP8_SQL,
     }

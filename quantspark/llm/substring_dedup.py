@@ -234,3 +234,27 @@ def _extended(rows: DataFrame, size: int, level: tuple[str, int, int] | None, bi
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_windows(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)
+), f AS (
+  SELECT k, min(doc_id) AS first_doc FROM win GROUP BY k
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p
+  FROM (SELECT win.doc_id, i FROM win JOIN f USING (k) WHERE first_doc < win.doc_id)
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w
+), marked AS (
+  SELECT words.*, gone.p IS NOT NULL AS removed FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p
+), kept AS (
+  SELECT doc_id, count(*) FILTER (WHERE removed) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT removed) AS text
+  FROM marked GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
