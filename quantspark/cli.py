@@ -91,14 +91,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             return 2
         os.makedirs(args.output_dir, exist_ok=True)
         stem = os.path.join(args.output_dir, C.safe_name(os.path.splitext(doc)[0]))
-        out = {"_mangder.csv": bills.bill_csv(result.rows, doc, args.page), "_mangder.xlsx": bills.bill_workbook(result, doc, args.page), "_koder.csv": bills.code_csv(result.codes, doc, args.page)}
-        out["_rapport.txt"] = bills.run_report(result, doc, args.page, args.input_pdf).encode()
-        out["_sammanfattning.json"] = bills.summary_json(result, doc, args.page).encode()
+        out = {"_quantities.csv": bills.bill_csv(result.rows, doc, args.page), "_quantities.xlsx": bills.bill_workbook(result, doc, args.page), "_codes.csv": bills.code_csv(result.codes, doc, args.page)}
+        out["_report.txt"] = bills.run_report(result, doc, args.page, args.input_pdf).encode()
+        out["_summary.json"] = bills.summary_json(result, doc, args.page).encode()
         if args.facit:
             with open(args.facit, "rb") as f:
                 rows = facit.read_xlsx(spark, f.read()) if args.facit.lower().endswith((".xlsx", ".xlsm")) else facit.read_csv(spark, os.path.abspath(args.facit))
             ours = bills.of_page(result.summary, doc, args.page)
-            out["_validering.txt"] = "\n".join(validate.report_lines(validate.reconcile(ours, validate.read_facit(rows)))).encode()
+            out["_validation.txt"] = "\n".join(validate.report_lines(validate.reconcile(ours, validate.read_facit(rows)))).encode()
         for name, data in out.items():
             with open(stem + name, "wb") as f:
                 f.write(data)

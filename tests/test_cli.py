@@ -19,6 +19,6 @@ def test_run(spark, tmp_path, capsys):
     at = str(tmp_path / "a.pdf")
     assert cli.main([at, "--calibrate"], spark) == 0 and "Linjebredd-histogram" in capsys.readouterr().out
     assert cli.main([at, "--output-dir", str(tmp_path / "out"), "--pipe-width", "2", "--yes", "--facit", str(tmp_path / "facit.csv")], spark) == 0
-    assert sorted(os.listdir(tmp_path / "out")) == [f"a_{n}" for n in ("koder.csv", "mangder.csv", "mangder.xlsx", "rapport.txt", "sammanfattning.json", "validering.txt")]
-    assert "S3-R8-75: facit 1 sträckor / 5,3 m totalt, vårt resultat 1 sträckor / 5,3 m totalt" in (tmp_path / "out" / "a_validering.txt").read_text(encoding="utf-8")
+    assert sorted(os.listdir(tmp_path / "out")) == [f"a_{n}" for n in ("codes.csv", "quantities.csv", "quantities.xlsx", "report.txt", "summary.json", "validation.txt")]
+    assert "S3-R8-75: facit 1 sträckor / 5,3 m totalt, vårt resultat 1 sträckor / 5,3 m totalt" in (tmp_path / "out" / "a_validation.txt").read_text(encoding="utf-8")
     assert cli.main([at, "--page", "7"], spark) == 1 and cli.main(["nope.pdf"], spark) == 1 and cli.main([at, "--scale", "nonsense"], spark) == 1
