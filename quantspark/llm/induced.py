@@ -23,6 +23,7 @@ import numpy as np
 
 #: Entries of an array that is kept in memory, and of a block.
 IN_MEMORY, BLOCK = 1 << 25, 1 << 16
+_TRUE = np.ones(1, bool)
 
 
 def _array(n: int, dtype, files: ExitStack) -> np.ndarray:
@@ -44,7 +45,7 @@ def _types(t: np.ndarray) -> np.ndarray:
 
 def _sweep(slots: np.ndarray, head: np.ndarray, t: np.ndarray, kind: np.ndarray, wanted: bool) -> None:
     """Pops the slots from first to last; each suffix pushes the one before it, if that is of the wanted type."""
-    at, size, n = 0, 1024, len(slots)
+    at, size, n, narrow = 0, 1024, len(slots), len(head) <= 1 << 16
     while at < n:
         end = min(n, at + size)
         block = slots[at:end]
@@ -56,21 +57,17 @@ def _sweep(slots: np.ndarray, head: np.ndarray, t: np.ndarray, kind: np.ndarray,
             at, size = end, min(size * 2, BLOCK)
             continue
         symbol = t[before]
-        order = np.argsort(symbol, kind="stable")
+        order = np.argsort(symbol.astype(np.uint16) if narrow else symbol, kind="stable")  # 16 bits are sorted by radix
         ranked = symbol[order]
-        new = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        runs = np.diff(np.append(new, len(ranked)))
+        place = np.arange(len(ranked))
+        first = np.where(np.concatenate([_TRUE, ranked[1:] != ranked[:-1]]), place, 0)
         target = np.empty(len(symbol), np.int64)
-        target[order] = head[ranked] + np.arange(len(ranked)) - np.repeat(new, runs)
+        target[order] = head[ranked] + place - np.maximum.accumulate(first)
         least = np.minimum.accumulate(target) - at
-        late = np.flatnonzero(least[:-1] <= source[1:])
-        k = int(late[0]) + 1 if len(late) else len(source)
+        late = least[:-1] <= source[1:]
+        k = int(late.argmax()) + 1 if late.any() else len(source)
         slots[target[:k]] = before[:k]
-        if k == len(source):
-            head[ranked[new]] += runs
-        else:
-            some, counts = np.unique(symbol[:k], return_counts=True)
-            head[some] += counts
+        head[symbol[:k]] = target[:k] + 1  # a symbol's last target counts, and its targets ascend
         moved = min(end - at, int(least[k - 1]))
         size = min(size * 2, BLOCK) if at + moved == end else max(64, 2 * moved)
         at += moved
@@ -83,7 +80,7 @@ def _induce(t: np.ndarray, kind: np.ndarray, ordered: np.ndarray, counts: np.nda
     slots[:] = -1
     ends = np.cumsum(counts)
     symbol = t[ordered]
-    by = np.argsort(symbol, kind="stable")
+    by = np.argsort(symbol.astype(np.uint16) if len(counts) <= 1 << 16 else symbol, kind="stable")
     ranked = symbol[by]
     left = np.searchsorted(ranked, ranked, "right") - np.arange(len(ranked))
     slots[ends[ranked] - left] = ordered[by]

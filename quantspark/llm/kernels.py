@@ -108,6 +108,15 @@ def spans_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.nda
     return mix(h + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def every_hash(sums: np.ndarray, size: int) -> np.ndarray:
+    """`spans_hash` of the `size` bytes from each start, by slices of the running sums."""
+    n = len(sums) - size
+    h = sums[size:] - sums[:n]
+    h *= powers(_INV, n)
+    h += U64(size * 0xD6E8FEB86659FD93 % 2**64)
+    return mix(h)
+
+
 def grams(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """The hash of each k consecutive words, one for every start (the last k-1 starts left out)."""
     n = len(h) - k + 1

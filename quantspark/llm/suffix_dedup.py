@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import common, shards
 from .induced import suffix_array
-from .kernels import U64, chunks, mix, prefix_hash, spans_hash, window_minima
+from .kernels import U64, chunks, every_hash, mix, prefix_hash, spans_hash, window_minima
 
 #: Bytes of an anchor; different contexts of an anchor before it is dealt by its sides; bytes of a shard.
 ANCHOR, HOT, SHARD_BYTES = 32, 2048, 2 << 20
@@ -57,18 +57,23 @@ class _Contexts:
         if len(raw) < window:
             return
         self.sums = prefix_hash(raw)
-        at = np.arange(len(raw) - ANCHOR + 1)
-        h = spans_hash(raw, at, at + ANCHOR, self.sums)
+        h = every_hash(self.sums, ANCHOR)
         least = window_minima(h, window - ANCHOR + 1)
-        doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(least)]
-        valid = np.arange(len(least)) + window <= off[1:][doc]
-        new = valid.copy()
-        new[1:] &= ~valid[:-1] | (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
-        self.start = np.flatnonzero(new)
-        last = valid.copy()
-        last[:-1] &= ~valid[1:] | (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
-        self.end = np.flatnonzero(last) + window
-        self.place, self.doc = least[self.start], doc[self.start]
+        # windows of different documents are apart by those that would cross, so no run of equal anchors joins two
+        new = np.zeros(len(least) + 1, bool)
+        new[:-1] = True
+        same = np.zeros(len(least) + 1, bool)
+        same[1:-1] = least[1:] == least[:-1]
+        for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+            last = max(a, z - window + 1)  # the first start that leaves the document
+            same[a : a + 1] = False
+            new[last:z] = False
+            same[last : last + 1] = False
+        inside = new[:-1]
+        self.start = np.flatnonzero(inside & ~same[:-1])
+        self.end = np.flatnonzero(inside & ~same[1:]) + window
+        self.place = least[self.start]
+        self.doc = np.searchsorted(off, self.start, "right") - 1
         self.hash = h[self.place]
 
     def only(self, take: np.ndarray) -> _Contexts:
@@ -246,19 +251,14 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             key, doc, start = c.keys(), ids[first:last][c.doc], c.start - off[c.doc]
             known, cols = shards.probe(*every, key, {"first_doc": np.int64(-1), "first_start": np.int64(-1)})
             again = known & ((cols["first_doc"] != doc) | (cols["first_start"] != start))
-            cover = np.zeros(len(raw) + 1, np.int32)
-            np.add.at(cover, c.start[again], 1)
-            np.add.at(cover, c.end[again], -1)
             at = np.flatnonzero(known & ~again)
             hit, bits_of = shards.probe(*marked, key[at], {"low": np.int64(0), "high": np.int64(0)})
             at = at[hit]
-            for half, name in enumerate(("low", "high")):
-                mask = bits_of[name][hit].view(U64)
-                for j in range(64):
-                    some = at[(mask >> U64(j)) & U64(1) == 1]
-                    if len(some):
-                        np.add.at(cover, c.start[some] + 64 * half + j, 1)
-                        np.add.at(cover, c.start[some] + 64 * half + j + window, -1)
+            mask = np.stack([bits_of["low"][hit], bits_of["high"][hit]], 1).view(np.uint8)
+            which, ahead = np.nonzero(np.unpackbits(mask, axis=1, bitorder="little"))
+            begin = np.concatenate([c.start[again], c.start[at[which]] + ahead])
+            end = np.concatenate([c.end[again], c.start[at[which]] + ahead + window])
+            cover = np.bincount(begin, minlength=len(raw) + 1) - np.bincount(end, minlength=len(raw) + 1)
             gone = np.cumsum(cover[:-1]) > 0
             edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
             inside = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(raw))]
