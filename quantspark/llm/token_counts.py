@@ -76,4 +76,5 @@ def quantile(sums: DataFrame, q: float) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return running_sums(histogram(bpe.lengths(common.table(spark, sf_dir, "documents"))))
+    counted = histogram(bpe.lengths(common.table(spark, sf_dir, "documents")))
+    return running_sums(common.stored(counted, "histogram"))  # read by two branches, encoded once
