@@ -262,17 +262,17 @@ def system_lookup(spark: SparkSession, d: str) -> DataFrame:
 @query("j13_proximity")
 def proximity(spark: SparkSession, d: str) -> DataFrame:
     """Codes without a leader linked to the nearest run within reach."""
-    h = K.candidates(V.hits(spark, d), CFG).filter("doc_id < 25")
+    h = K.candidates(V.hits(spark, d), CFG)
     box = Box.of()
-    s = V.segments(spark, d).filter("width = 2.0 and doc_id < 25").select(*PAGE, F.col("seg_seq").alias("chain_id"), F.lit(0).alias("piece_no"), "x1", "y1", "x2", "y2")
+    s = V.segments(spark, d).filter("width = 2.0").select(*PAGE, F.col("seg_seq").alias("chain_id"), F.lit(0).alias("piece_no"), "x1", "y1", "x2", "y2")
     return linking.nearest_chain(h.select(*PAGE, "hit_seq", box.cx.alias("px"), box.cy.alias("py")), s, CFG.proximity_link_pt, "hit_seq").select("doc_id", "hit_seq", "chain_id")
 
 
 @query("j11_leader_links")
 def leader_links(spark: SparkSession, d: str) -> DataFrame:
     """Codes, in order, take the best leader that none took before: greedy, so tested against a brute-force version."""
-    h = K.candidates(V.hits(spark, d), CFG).filter("doc_id < 25").withColumns({"code_id": F.col("hit_seq"), "excluded": F.lit(False)})
-    s = V.segments(spark, d).filter("doc_id < 25")
+    h = K.candidates(V.hits(spark, d), CFG).withColumns({"code_id": F.col("hit_seq"), "excluded": F.lit(False)})
+    s = V.segments(spark, d)
     lead = s.filter("width < 1").select(*PAGE, F.col("seg_seq").alias("leader_id"), "x1", "y1", (F.col("x2") + 3).alias("x2"), (F.col("y2") + 3).alias("y2"))
     runs = s.filter("width = 2.0").select(*PAGE, F.col("seg_seq").alias("chain_id"), F.lit(0).alias("piece_no"), "x1", "y1", "x2", "y2")
     return linking.take_leaders(linking.leader_pairs(h, lead, runs, CFG)).drop("page_no")

@@ -228,3 +228,17 @@ def test_streams(spark, tmp_path, sf_dir):
     q = jobs.job_states(events).writeStream.format("memory").queryName("states").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(90)
     assert spark.sql("select sum(n) from states").first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+@pytest.mark.parametrize("name", ["j11_leader_links", "j13_proximity"])
+def test_links_on_every_drawing(spark, sf_dir, monkeypatch, name):
+    from quantspark.plans import queries_text as T
+
+    near = lambda: sorted(map(tuple, T.QUERIES[name](spark, sf_dir).collect()))
+    want = near()
+    for view in ("hits", "segments"):
+        of = getattr(T.V, view)
+        monkeypatch.setattr(T.V, view, lambda *a, of=of: of(*a).withColumn("doc_id", F.col("doc_id") + 100))
+    columns = T.QUERIES[name](spark, sf_dir).columns
+    at = columns.index("doc_id")
+    assert want and [(*r[:at], r[at] - 100, *r[at + 1 :]) for r in near()] == want
