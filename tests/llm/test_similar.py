@@ -117,6 +117,13 @@ def test_bytes(edge, edge_rows, kw):
     assert found_bytes(edge, **kw) == brute_bytes([(r[0], r[1]) for r in edge_rows], kw.get("window", 100))
 
 
+def test_short_texts_alone(spark):
+    for texts in ([None], ["", ""], ["short", None, "", "short", "x" * 99]):
+        rows = [(i, t) for i, t in enumerate(texts)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        assert found_bytes(df) == brute_bytes(rows, 100)
+
+
 def test_suffix_array(monkeypatch):
     from quantspark.llm import induced
 
