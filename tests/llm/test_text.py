@@ -103,6 +103,31 @@ def test_mixing(docs, edge, edge_rows, empty):
     assert mixing.decided(empty, mixing.fit(empty)).count() == 0
 
 
+def test_mixing_of_many_sources(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join("w" * (1 + j % 3) for j in range(r.randrange(1, 30))) + (" 123456" if i % 5 == 0 else ""), r.choice(["en", "de", None]), f"site{int(r.random() ** 3 * 1300)}") for i in range(6000)]
+    rows += [(6000 + i, "a word", "en", f"tail{i}") for i in range(600)] + [(7000, "", "en", "site1"), (7001, None, "fr", "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").cache()
+    assert docs.select("source").distinct().count() > 1001
+    for targets in (None, {"source": {"site0": 2.0, "site1": 1.0, "gone": 1.0}}, {"lang": {"en": 0.5, "de": 0.5}}):
+        near, far = (sorted(mixing.decided(docs, mixing.fit(docs, targets, budget=0.6, most_cells=n)).collect(), key=lambda x: x["row"].doc_id) for n in (10**6, 0))
+        assert len(near) == len(far) == len(rows)
+        for a, b in zip(near, far, strict=True):
+            assert (a.source, a.lang, a.topic, a.n_tokens) == (b.source, b.lang, b.topic, b.n_tokens)
+            assert abs(a.weight - b.weight) < 1e-8 and abs(a.probability - b.probability) < 1e-5
+        if not targets:
+            assert {x.source for x in far} == {x[3] for x in rows}
+            have, whole = {}, sum(x.n_tokens for x in far)
+            cells = {(x.source, x.lang, x.topic): x.weight for x in far}
+            for x in far:
+                have[x.source] = have.get(x.source, 0) + x.n_tokens
+            n = sum(v > 0 for v in have.values())
+            got = {}
+            for (source, _, _), w in cells.items():
+                got[source] = got.get(source, 0) + w
+            assert max(abs(got[v] - (0.5 * k / whole + 0.5 / n if k else 0)) for v, k in have.items()) < 1e-4
+
+
 def test_pipeline(spark, sf_dir, docs, texts):
     rows, kept = docs, set(texts)
     for name, stage in corpus_pipeline.STAGES:
