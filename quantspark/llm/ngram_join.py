@@ -258,9 +258,8 @@ def _tasks(groups: DataFrame, percent: int, block: int) -> DataFrame:
     return alone.unionByName(split)
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = BLOCK, count_bits: int | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each document; a component is named by its least doc_id."""
-    spark = docs.sparkSession
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, block: int, count_bits: int | None) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(keys, nodes, named, seed): each document's set key, the different sets, the component of those that link, the keys' seed."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     if count_bits is None:
         count_bits = shards.part_bits(rows)
@@ -280,6 +279,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tasks = common.stored(_tasks(common.stored(groups, "ngram-groups"), percent, block), "ngram-tasks")
     links = common.stored(_verified(rows, tasks, words, percent, seed), "ngram-links")
     named = connected_components(links).withColumnRenamed("id", "node").join(nodes, "node").select("node", "component", "rep")
+    return keys, nodes, named, seed
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = BLOCK, count_bits: int | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each document; a component is named by its least doc_id."""
+    keys, nodes, named, _ = _grouped(docs, id_col, text_col, words, percent, block, count_bits)
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
     named = named.join(least, "component").select("node", "least")
     out = keys.join(nodes.select("node", "rep"), "node", "left").join(named, "node", "left")
@@ -313,9 +318,41 @@ def _verified(rows: DataFrame, tasks: DataFrame, words: int, percent: int, seed:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that name their component: one of each group of near-duplicates stays, the rest go."""
-    kept = similar_groups(docs, id_col, text_col, words, percent).filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    """One row of each group of near-duplicates stays: the least by id (null ids last), then by set key, then by its columns.
+
+    Rows without words stay. Rows are found by id and set key, so nulls and repeated ids are rows like others.
+    """
+    keys, nodes, named, seed = _grouped(docs, id_col, text_col, words, percent, BLOCK, None)
+    rows = keys.filter("n > 0").groupBy("node", "doc_id").agg(F.count("*").alias("rows"))
+    first = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "node", "rows")).alias("first"))
+    component = F.coalesce("component", "node").alias("component")
+    best = first.join(named.select("node", "component"), "node", "left").groupBy(component).agg(F.min("first").alias("first"))
+    best = best.select(F.col("first.node").alias("k"), F.col("first.id").alias("id"), F.col("first.none").cast("tinyint").alias("none"), F.col("first.rows").alias("rows"))
+    best = common.stored(best, "ngram-kept")
+    path, bits = shards.write(best, best.count(), "ngram-kept")
+
+    def fate(ids: pa.Array, text: pa.Array) -> pa.Array:
+        """How many rows have the id and the set of a row that stays, 0 if it goes; its set key."""
+        own, none = ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_null())
+        times, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for first, last, raw, off in chunks(text):
+            tokens, at = token_sets(raw, off, words)
+            key, _ = set_keys(tokens, at, seed)
+            found, cols = shards.probe(path, bits, key, {"id": np.int64(0), "none": np.int8(0), "rows": np.int64(0)})
+            stays = found & (cols["id"] == own[first:last]) & ((cols["none"] == 1) == none[first:last])
+            times.append(np.where(np.diff(at) == 0, 1, np.where(stays, cols["rows"], 0)))
+            keys.append(key.view(np.int64))
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(times)), pa.array(np.concatenate(keys))], ["times", "key"])
+
+    found = F.arrow_udf(fate, "times long, key long").asNondeterministic()  # so that a filter does not call it again
+    rows = docs.select(common.row_of(docs).alias("row"), found(docs[id_col].cast("long"), docs[text_col].cast("string")).alias("fate"))
+    kept = rows.filter("fate.times > 0")
+    if best.filter("rows > 1").isEmpty():
+        return kept.select("row.*")
+    # rows of one id and one set: a set is of one group, so its key names the group
+    kept = common.stored(kept, "ngram-kept")
+    again = kept.filter("fate.times > 1").groupBy("fate.key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.filter("fate.times = 1").select("row.*").unionByName(again.select("row.*"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

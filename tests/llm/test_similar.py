@@ -66,6 +66,19 @@ def test_one_of_each(edge):
     assert kept.columns == edge.columns and kept.filter("doc_id = 13").count() == 1 and kept.filter("doc_id in (14, 16)").count() == 0
 
 
+def test_one_of_each_by_rows(spark):
+    rng = np.random.default_rng(2)
+    text = lambda n: " ".join(f"w{rng.integers(9999)}" for _ in range(n))
+    near = lambda t: t + " more"
+    a, b, c, d, e, f = (text(60) for _ in range(6))
+    rows = [(None, a), (None, None), (None, ""), (None, b), (None, near(b)), (1, c), (1, near(c)), (2, d), (3, near(d)), (3, e), (None, near(e)), (4, f), (4, f), (4, f.upper()), (None, a), (None, " ")]
+    got = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    texts = [r.text for r in got]
+    assert texts.count(a) == 1 and (b in texts) + (near(b) in texts) == 1 and (c in texts) + (near(c) in texts) == 1
+    assert d in texts and near(d) not in texts and e in texts and near(e) not in texts and (f in texts) + (f.upper() in texts) == 1
+    assert sorted(t or "" for t in texts if not (t or "").strip()) == ["", "", " "] and len(texts) == 9
+
+
 def brute_windows(rows, n):
     first = {}
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
