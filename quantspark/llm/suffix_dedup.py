@@ -18,8 +18,10 @@ judged on the input.
    `window` bytes are one class, in which the earliest start is no repeat and
    the others are. An anchor with more than HOT contexts is dealt by the bytes
    on either side of it instead: two windows that are equal have one half of
-   their surroundings in common, so they still meet, and no shard grows with
-   the anchor's count. The sort's arrays go to disk when a shard is large.
+   their surroundings in common, so they still meet. Contexts that agree on
+   one side go to one shard, which grows with their number: many documents
+   that hold a passage and go on differently are sorted in one task, in
+   memory but for the slots. The sort's arrays go to disk when a shard is large.
 4. Documents look up their own contexts and drop what is repeated. Texts are
    not shuffled.
 
