@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 _MUL1, _MUL2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -18,6 +19,10 @@ _LOWER[65:91] += 32
 #: [\x20\x09-\x0D]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Odd multipliers of the rounds, the mask of the first n bytes of a block, and the most bytes hashed by rounds.
+_ROUND1, _ROUND2, _ROUND3 = U64(0x9E3779B185EBCA87), U64(0xC2B2AE3D27D4EB4F), U64(0x85EBCA77C2B2AE63)
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+LONG = 64
 _powers: dict[int, np.ndarray] = {}
 #: Bytes of text that a kernel handles at once.
 CHUNK_BYTES = 2 << 20
@@ -88,11 +93,40 @@ class Words:
             stop[off[1:][off[1:] > 0] - 1] = True
         self.end = np.flatnonzero(stop & ~gap) + 1
         self.off = np.searchsorted(self.start, off)
-        self.hash = spans_hash(raw, self.start, self.end) if hashed else None
+        self.hash = words_hash(raw, self.start, self.end) if hashed else None
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << U64(bits)) | (x >> U64(64 - bits))
+
+
+def words_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of raw[start:end] for each pair: multiply-and-rotate rounds over blocks of eight bytes, in the manner of
+    xxh64, so no sum over places can cancel; spans over LONG bytes by xxh3."""
+    size = end - start
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    blocks = np.ndarray(len(raw) + 1, np.uint64, padded.data, strides=(1,))  # the eight bytes from each place
+    h = size.astype(U64) * _ROUND3
+    here, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(here):
+        left = size[here] - at
+        x = blocks[start[here] + at] & _FIRST_BYTES[np.minimum(left, 8)]
+        x = _turned(x * _ROUND2, 31) * _ROUND1
+        h[here] = _turned(h[here] ^ x, 27) * _ROUND1 + _ROUND3
+        at += 8
+        here = here[left > 8]
+    far = np.flatnonzero(size > LONG)
+    if len(far):
+        data = raw.data
+        h[far] = [xxhash.xxh3_64_intdigest(data[a:z]) for a, z in zip(start[far].tolist(), end[far].tolist(), strict=True)]
+    return mix(h)
 
 
 def prefix_hash(raw: np.ndarray) -> np.ndarray:
-    """Running polynomial sums; the difference of two, scaled, hashes the bytes between."""
+    """Running polynomial sums; the difference of two, scaled, hashes the bytes between.
+
+    Modulo 2**64 such sums can agree for different strings, by design of the strings: they find candidates and deal rows,
+    and never decide that two texts are equal."""
     out = np.zeros(len(raw) + 1, U64)
     np.cumsum(_TABLE[raw] * powers(_BASE, len(raw)), out=out[1:])
     return out

@@ -47,11 +47,11 @@ def test_directory_doubles(spark):
     assert exact_dedup.directory(spark.range(0).selectExpr("id as h")) == [(0, 0, 0)]
 
 
-@pytest.mark.parametrize("width", [32, 1])
-def test_edited_likeness(edge, edge_rows, width):
+@pytest.mark.parametrize("width,rows_in_range", [(32, 512), (1, 512), (32, 4)])
+def test_edited_likeness(edge, edge_rows, width, rows_in_range):
     order = sorted((r for r in edge_rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""), reverse=True)
     form = lambda t: re.sub(r"[\s\x1c-\x1f]+", " ", unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold())).strip(" ")
-    got = fingerprints.edited_likeness(edge, width=width).collect()
+    got = fingerprints.edited_likeness(edge, width=width, rows_in_range=rows_in_range).collect()
     assert len(got) == len(edge_rows)
     by = {}
     for g in got:
@@ -70,6 +70,17 @@ def test_edited_likeness(edge, edge_rows, width):
     assert len(set(alone.values())) == len(names)
 
 
+@pytest.mark.parametrize("rows_in_range,most", [(8, 65_536), (4, 3), (1, 65_536)])
+def test_next_by_id(spark, rows_in_range, most):
+    """Null ids, the ends of long, one far id, dense ids and a repeated row: each row's next one, by brute force."""
+    ids = [-(2**63), 2**63 - 1, 10**15, *range(1000, 1600)]
+    rows = [(i, f"text {i}") for i in ids] + [(None, "without an id"), (1200, "text 1200")]
+    got = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), ["text"], rows_in_range=rows_in_range, most_ranges=most).collect()
+    order = [t for _, t in sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))]
+    want = sorted(zip(order, order[1:] + order[:1], strict=True))
+    assert sorted((r.text, r.next_text) for r in got) == want
+
+
 def test_lines(edge, edge_rows):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
     held = {}
