@@ -6,13 +6,17 @@ cased, as 64-bit hashes. Two documents link when 100 * |x & y| >= percent *
 either, and under one order of all tokens the j-th shared token is among the
 first n - o + j of both.
 
-Order: tokens by the number of documents that hold them, rare ones first. The
-counts are exact up to 255, over all documents: each batch of texts sends its
-tokens' hashes in blocks of one hash range, and a task counts one range.
+Order: tokens by a count over all documents, rare ones first: each batch of
+texts sends the leading 32 + bits bits of its different sets' tokens in blocks
+of one hash range, and a task counts one range. Tokens that agree in those bits
+share a count, and sets that one batch holds several times count once; counts
+end at 255. Any order gives the same links, so a count only has to be the same
+number wherever it is read.
 
 Signatures: a rare token stands for itself; frequent tokens are dealt to m
 classes by hash, the prefix is extended by m tokens, and pairs of tokens of
 one class are indexed: of m + 1 shared frequent tokens two are in one class.
+Sets so small that they may share fewer index their frequent tokens alone too.
 m depends on the size class of a set; a set is indexed in its own size class
 and the next, so two sets that can link have one in common. Tokens of one
 document alone are never indexed.
@@ -30,6 +34,9 @@ Null and empty texts have no tokens and link with nothing. A text with fewer
 words than a shingle has its whole sequence as one token. Rows that repeat a
 doc_id are nodes by their texts. A null doc_id takes part and never names a
 component unless all ids in it are null. An empty table gives an empty result.
+A very long text is one set: its tokens, 8 bytes each, must fit a task.
+percent 100 links equal sets alone. Words and shingles are 64-bit hashes; two
+different sets of one key are told apart by a second key.
 Other columns are not read.
 """
 
@@ -45,8 +52,8 @@ from quantspark.operators.components import connected_components
 from . import common, shards
 from .kernels import U64, Words, chunks, grams, lowered, mix
 
-#: Documents that hold a token before it counts as frequent; sets in a block; tokens of a prefix to one class of pairs.
-RARE, BLOCK, PER_CLASS = 16, 1024, 40
+#: Documents that hold a token before it counts as frequent; sets and tokens in a block; tokens of a prefix to one class of pairs.
+RARE, BLOCK, BLOCK_TOKENS, PER_CLASS = 16, 1024, 1 << 20, 40
 #: Tokens that a task holds before it sends them on; ranges to which set keys are dealt.
 MOST_WAITING, _KEYS = 2_000_000, 64
 
@@ -77,17 +84,24 @@ def set_keys(tokens: np.ndarray, off: np.ndarray, seed: int) -> tuple[np.ndarray
     return out[0], out[1]
 
 
+def _checked(words: int, percent: int) -> None:
+    if words < 1 or not 1 <= percent <= 100:
+        raise ValueError("words must be 1 or more, percent 1 to 100")
+
+
 def _need(n, percent: int):
     return (n * percent + 99) // 100
 
 
 def _level(n: np.ndarray, percent: int) -> np.ndarray:
     """Size classes: sets that can link are in one class or two that are next to each other."""
+    if percent == 100:
+        return n.astype(np.int64)
     return np.floor(np.log(n) / np.log(100 / percent) + 1e-9).astype(np.int64)
 
 
 def _classes(level: np.ndarray, percent: int) -> np.ndarray:
-    return np.maximum(1, ((100 / percent) ** level / PER_CLASS).astype(np.int64))
+    return np.maximum(1, ((level if percent == 100 else (100 / percent) ** level) / PER_CLASS).astype(np.int64))
 
 
 def _counted(docs: DataFrame, words: int, seed: int, bits: int) -> DataFrame:
@@ -139,7 +153,7 @@ def prefix_signatures(tokens: np.ndarray, counts: np.ndarray, off: np.ndarray, p
     """(signature, set's position) of sets; counts: documents that hold each token."""
     sizes = np.diff(off)
     sig, owner = [], []
-    for i in np.flatnonzero(sizes > 1).tolist():
+    for i in np.flatnonzero(sizes > (1 if percent > 50 else 0)).tolist():
         a, b, n = off[i], off[i + 1], int(sizes[i])
         c = counts[a:b]
         spare = n - _need(n, percent)
@@ -157,6 +171,9 @@ def prefix_signatures(tokens: np.ndarray, counts: np.ndarray, off: np.ndarray, p
         for lv, classes in zip(levels.tolist(), m.tolist(), strict=True):
             length = spare + 1 + classes
             often = t[:length][c[:length] > RARE]
+            if n - spare <= classes:  # a set that may share too few tokens for a pair
+                sig.append(mix(mix(often ^ U64(0x6A09E667F3BCC909)) + U64(lv + 1)))
+                owner.append(np.full(len(often), i))
             if len(often) < 2:
                 continue
             kind = (mix(often) % U64(classes)).astype(np.int64)
@@ -239,14 +256,16 @@ def links_within(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, per
 
 def _tasks(groups: DataFrame, percent: int, block: int) -> DataFrame:
     """(node, task, side) of candidate nodes with their group, size and level: the tasks in which a node's set is needed."""
-    total = groups.groupBy("component").agg(F.count("*").alias("m"))
+    need = lambda sets, tokens: F.greatest(F.ceil(sets / block), F.ceil(tokens / BLOCK_TOKENS), F.lit(1)).cast("long")
+    total = groups.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"))
     sized = groups.join(total, "component")
-    few = F.col("m") <= block
-    bins = F.greatest(F.lit(1), F.ceil(F.lit(float(max(1, groups.count()))) / block)).cast("long")
+    few = need(F.col("m"), F.col("tokens")) == 1
+    every = groups.agg(F.count("*").alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+    bins = need(F.lit(float(every["m"])), F.lit(float(every["tokens"])))
     alone = sized.filter(few).select("node", F.concat_ws("/", F.lit("s"), F.pmod(F.xxhash64("component"), bins)).alias("task"), F.lit(0).alias("side"))
     large = sized.filter(~few)
-    per_level = large.groupBy("component", "level").agg(F.count("*").alias("k"))
-    blocks = per_level.select("component", "level", F.ceil(F.col("k") / block).cast("int").alias("blocks"))
+    per_level = large.groupBy("component", "level").agg(F.count("*").alias("k"), F.sum("n").alias("t"))
+    blocks = per_level.select("component", "level", need(F.col("k"), F.col("t")).cast("int").alias("blocks"))
     cut = large.join(blocks, ["component", "level"]).withColumn("no", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = blocks.select(F.col("component").alias("_c"), F.col("level").alias("_l"), F.col("blocks").alias("_b"))
     met = cut.join(other, (F.col("component") == F.col("_c")) & (F.abs(F.col("level") - F.col("_l")) <= 1))
@@ -260,6 +279,7 @@ def _tasks(groups: DataFrame, percent: int, block: int) -> DataFrame:
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, block: int, count_bits: int | None) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """(keys, nodes, named, seed): each document's set key, the different sets, the component of those that link, the keys' seed."""
+    _checked(words, percent)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     if count_bits is None:
         count_bits = shards.part_bits(rows)
@@ -274,8 +294,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     sigs = common.stored(_signatures(rows, words, percent, seed, path, bits, count_bits), "ngram-signatures")
     star = sigs.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
     edges = sigs.join(star, "sig").filter("node <> least").select(F.col("least").alias("src"), F.col("node").alias("dst")).distinct()
-    level = F.floor(F.log("n") / F.lit(float(np.log(100 / percent))) + 1e-9).cast("int")
-    groups = connected_components(edges).withColumnRenamed("id", "node").join(nodes.select("node", "n"), "node").select("node", "component", level.alias("level"))
+    level = F.col("n").cast("int") if percent == 100 else F.floor(F.log("n") / F.lit(float(np.log(100 / percent))) + 1e-9).cast("int")
+    groups = connected_components(edges).withColumnRenamed("id", "node").join(nodes.select("node", "n"), "node").select("node", "component", "n", level.alias("level"))
     tasks = common.stored(_tasks(common.stored(groups, "ngram-groups"), percent, block), "ngram-tasks")
     links = common.stored(_verified(rows, tasks, words, percent, seed), "ngram-links")
     named = connected_components(links).withColumnRenamed("id", "node").join(nodes, "node").select("node", "component", "rep")

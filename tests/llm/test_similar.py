@@ -48,6 +48,40 @@ def test_groups(edge, edge_rows, k, percent, block):
     assert found_groups(edge, words=k, percent=percent, block=block) == brute_groups([(r[0], r[1]) for r in edge_rows], k, percent)
 
 
+@pytest.mark.parametrize("percent", [20, 50, 80, 100])
+def test_small_sets(spark, percent):
+    """Sets of one to four tokens, some tokens in most documents: any percent is exact."""
+    rng = np.random.default_rng(percent)
+    rows = [(i, " ".join(f"w{min(9, rng.geometric(0.3))}" if i % 3 else f"v{rng.integers(40)}" for _ in range(rng.integers(1, 5)))) for i in range(160)]
+    rows += [(500, "a"), (501, "a b"), (None, "a b c d e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found_groups(df, words=1, percent=percent) == brute_groups(rows, 1, percent)
+
+
+def test_percent_is_checked(edge):
+    for percent in (0, 101):
+        with pytest.raises(ValueError):
+            ngram_join.similar_groups(edge, percent=percent)
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_of_equal_sums(spark, n):
+    """Two different words whose polynomial sums modulo 2**64 agree are different words, sets and windows."""
+    x = thue_morse(n)
+    y = x.translate({97: "b", 98: "a"})
+    head = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join([*head, x])), (2, " ".join([*head, y])), (3, x), (4, y), (5, y)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert found_groups(df, words=3, percent=90) == brute_groups(rows, 3, 90)
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.text) for r in substring_dedup.dedup_windows(df).collect())
+    assert got == brute_windows(rows, 13)
+    assert found_bytes(df) == brute_bytes(rows, 100)
+
+
 def test_large_group_of_near_copies(spark):
     rng = np.random.default_rng(1)
     base = [f"t{i}" for i in range(150)]
