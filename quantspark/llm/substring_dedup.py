@@ -4,21 +4,25 @@ A word that is covered by a window of `words` consecutive words goes if the
 window's word sequence also starts in a document with a smaller id; windows
 are judged on the input.
 
-Levels double: windows that two documents hold at one length alone are
-extended to twice that length, up to `words`, and a level without candidates
-ends the search. On the first level, at about half of `words`, only the
-windows that are the least by hash among their neighbours are taken: every
-window of the next level holds one, and equal windows hold equal ones at
-equal places, so nothing is lost. A level's repeated windows are sorted
-arrays in shards of the shared folder, which documents probe in place;
-texts are not shuffled. Windows of a batch are aggregated before they move,
-so a passage that every document holds is one row a batch.
-
-Windows are told apart by 64-bit hashes of word hashes.
+Levels double from `first` words: all windows of that length are counted, and
+windows that occur twice at one length alone are extended to twice that length
+(cut to `words` at the end): a longer window is a candidate if the windows at
+its start and at its end were repeated. A level without repeats ends the
+search. On the last level, a window goes if its first document is another.
+
+Each level is one question (see `units`): a unit of texts sends the hashes of
+its different candidates to ranges of hashes, and is answered which of them
+are repeated. A passage that every document holds is one row a unit. On the
+levels before the last 32 bits of a hash and its range travel, which may name
+too many candidates, never too few. On the last level windows are told apart by
+128 bits, two hashes of the words' 64-bit hashes: of 10**13 different windows
+two are taken as equal with a chance of about 10**-13.
 
 Null and empty texts have no words. Rows that repeat a doc_id are one document
 (their windows do not remove each other). A null doc_id counts as the
-greatest. An empty table gives an empty result. Other columns are not read.
+greatest. A very long text is one unit; its words' arrays, some 60 bytes for
+each byte of text, must fit a task. An empty table gives an empty result. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -28,207 +32,175 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, shards
-from .kernels import U64, Words, chunks, grams, window_minima
+from . import common, units
+from .kernels import U64, Words, chunks, grams
 
-WORDS = 13
-_LAST = 2**63 - 1
+#: Words of a window, and of the first level's.
+WORDS, FIRST = 13, 7
 
 
-def lengths(words: int) -> list[int]:
-    """The lengths of the levels: about half of `words`, then twice that, cut to `words`."""
-    return [max(1, (words + 1) // 2), words] if words > 1 else [1]
+def lengths(words: int, first: int) -> list[int]:
+    """The lengths of the levels: `first`, then always twice that, cut to `words`."""
+    out = [min(first, words)]
+    while out[-1] < words:
+        out.append(min(2 * out[-1], words))
+    return out
 
 
 class _Windows:
-    """The windows of a chunk that lie within one document: their starts, documents, and hashes on demand."""
-
-    def __init__(self, raw: np.ndarray, off: np.ndarray, words: int):
-        self.words, self.size = Words(raw, off), words
-        n = np.diff(self.words.off)
-        self.n_words = n
-        doc = np.repeat(np.arange(len(n)), np.maximum(n - words + 1, 0))
-        shift = np.concatenate([[0], np.cumsum(np.maximum(n - words + 1, 0))])[:-1]
-        self.start = np.arange(len(doc)) - shift[doc] + self.words.off[:-1][doc]
-        self.doc = doc
-
-    def anchors(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes of all k-word windows, place of each window's least one)."""
-        h = grams(self.words.hash, k)
-        least = window_minima(h, self.size - k + 1)
-        return h, least[self.start] if len(least) else np.zeros(0, np.int64)
-
-
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False)
-
-
-def _first_level(rows: DataFrame, words: int, bits: int) -> DataFrame:
-    """(k): the leading bits of anchors that two documents hold."""
-    k = lengths(words)[0]
-
-    def batch(b: pa.RecordBatch):
-        found = []
-        for _, _, raw, off in chunks(b.column(1)):
-            w = _Windows(raw, off, words)
-            h, least = w.anchors(k)
-            if len(least):
-                once = np.unique(least)
-                doc = np.searchsorted(w.words.off, once, "right").astype(U64)
-                by = np.lexsort((doc, h[once]))
-                hs, ds = h[once][by], doc[by]
-                new = np.ones(len(hs), bool)
-                new[1:] = (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])
-                found.append(hs[new])
-        yield shards.pack(np.concatenate(found) if found else np.zeros(0, U64), bits, short=True)
-
-    def count(t: pa.Table) -> pa.Table:
-        keys, _ = shards.repeated_short(t, bits)
-        return pa.table({"k": pa.array(keys.view(np.int64))})
-
-    return common.by_batch(rows, batch, "part int, data binary").groupBy("part").applyInArrow(count, "k long")
-
-
-def _candidates(w: _Windows, level: tuple[str, int, int]) -> np.ndarray:
-    """Which windows hold an anchor that is repeated."""
-    path, shard_bits, bits = level
-    h, least = w.anchors(lengths(w.size)[0])
-    if not len(least):
-        return np.zeros(0, bool)
-    once, back = np.unique(least, return_inverse=True)
-    found, _ = shards.probe(path, shard_bits, h[once] & shards.short_mask(bits), {})
-    return found[back]
-
-
-def _next_level(rows: DataFrame, words: int, level: tuple[str, int, int], bits: int) -> DataFrame:
-    """(k, first_doc) of the windows of full length that two documents hold."""
-
-    def batch(b: pa.RecordBatch):
-        ids = _ids(b.column(0))
-        keys, docs = [], []
-        for first, last, raw, off in chunks(b.column(1)):
-            w = _Windows(raw, off, words)
-            take = np.flatnonzero(_candidates(w, level))
-            if len(take):
-                keys.append(grams(w.words.hash, words)[w.start[take]])
-                docs.append(ids[first:last][w.doc[take]])
-        if not keys:
-            return
-        key, doc = np.concatenate(keys), np.concatenate(docs)
-        by = np.lexsort((doc, key))
-        key, doc = key[by], doc[by]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        yield shards.pack(key[at], bits, doc[at], np.maximum.reduceat(doc, at))
-
-    def count(t: pa.Table) -> pa.Table:
-        rows = shards.unpacked(t, 3)
-        rows = rows[np.argsort(rows[:, 0], kind="stable")]
-        at = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
-        low, high = np.minimum.reduceat(rows[:, 1], at), np.maximum.reduceat(rows[:, 2], at)
-        again = low < high
-        return pa.table({"k": pa.array(rows[at, 0][again]), "first_doc": pa.array(low[again])})
-
-    return common.by_batch(rows, batch, "part int, data binary").groupBy("part").applyInArrow(count, "k long, first_doc long")
-
-
-def repeated_windows(rows: DataFrame, words: int = WORDS) -> tuple[tuple[str, int, int], tuple[str, int]]:
-    """The two levels' shards for rows (id, text): the anchors', and the windows' with their first documents."""
-    bits = shards.part_bits(rows)
-    anchors = common.stored(_first_level(rows, words, bits), "windows")
-    level = (*shards.write(anchors, anchors.count(), "window-anchors"), bits)
-    windows = common.stored(_next_level(rows, words, level, bits), "windows")
-    return level, shards.write(windows, windows.count(), "windows-repeated")
-
-
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-
-
-def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, text, n_words, n_removed): the words that are left joined by one space, words before and removed."""
-    rows = _rows(docs, id_col, text_col)
-    level, (path, shard_bits) = repeated_windows(rows, words)
-
-    def batch(b: pa.RecordBatch):
-        ids = _ids(b.column(0))
-        for first, last, raw, off in chunks(b.column(1)):
-            w = _Windows(raw, off, words)
-            own = ids[first:last]
-            take = np.flatnonzero(_candidates(w, level))
-            key = grams(w.words.hash, words)[w.start[take]] if len(take) else np.zeros(0, U64)
-            found, cols = shards.probe(path, shard_bits, key, {"first_doc": np.int64(_LAST)})
-            gone = w.start[take[found & (cols["first_doc"] < own[w.doc[take]])]]
-            cover = np.zeros(len(w.words.start) + 1, np.int64)
-            np.add.at(cover, gone, 1)
-            np.add.at(cover, gone + words, -1)
-            left = np.cumsum(cover[:-1]) == 0
-            texts = []
-            data = raw.tobytes()
-            start, end = w.words.start, w.words.end
-            for i in range(last - first):
-                a, z = int(w.words.off[i]), int(w.words.off[i + 1])
-                at = np.flatnonzero(left[a:z]) + a
-                texts.append(b" ".join([data[x:y] for x, y in zip(start[at].tolist(), end[at].tolist(), strict=True)]))
-            removed = np.add.reduceat(np.append(~left, False).astype(np.int64), w.words.off[:-1]) if last > first else np.zeros(0, np.int64)
-            removed[w.n_words == 0] = 0
-            yield pa.RecordBatch.from_arrays([b.column(0)[first:last], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(w.n_words.astype(np.int64)), pa.array(removed)], ["doc_id", "text", "n_words", "n_removed"])
-
-    return common.by_batch(rows, batch, "doc_id long, text string, n_words long, n_removed long")
-
-
-def longest_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(length, n_windows, n_repeated): doubling goes on from `words`, windows repeated at one length alone extended to
-    twice that length, until no candidates survive."""
-    rows = _rows(docs, id_col, text_col)
-    found, size = [], words
-    level = None
-    while True:
-        bits = shards.part_bits(rows)
-        windows = common.stored(_extended(rows, size, level, bits), "windows")
-        seen = windows.agg(F.count("*").alias("n"), F.count_if("repeated").alias("r")).first()
-        if not seen["n"]:
-            break
-        found.append((size, seen["n"], seen["r"]))
-        if not seen["r"]:
-            break
-        level = (*shards.write(windows.filter("repeated").select("k"), seen["r"], "windows-repeated"), size)
-        size *= 2
-    return docs.sparkSession.createDataFrame(found, "length int, n_windows long, n_repeated long")
-
-
-def _extended(rows: DataFrame, size: int, level: tuple[str, int, int] | None, bits: int) -> DataFrame:
-    """(k, repeated) of the different windows of a length whose two halves are repeated on the level before."""
-
-    def batch(b: pa.RecordBatch):
-        ids = _ids(b.column(0))
-        keys, docs = [], []
-        for first, last, raw, off in chunks(b.column(1)):
-            w = _Windows(raw, off, size)
-            start, doc = w.start, w.doc
-            if level and len(start):
-                path, shard_bits, half = level
-                h = grams(w.words.hash, half)
-                left, _ = shards.probe(path, shard_bits, h[start], {})
-                right, _ = shards.probe(path, shard_bits, h[start + size - half], {})
-                start, doc = start[left & right], doc[left & right]
-            if len(start):
-                keys.append(grams(w.words.hash, size)[start])
-                docs.append(ids[first:last][doc])
-        if keys:
-            key, doc = np.concatenate(keys), np.concatenate(docs)
-            by = np.lexsort((doc, key))
-            key, doc = key[by], doc[by]
-            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            yield shards.pack(key[at], bits, doc[at], np.maximum.reduceat(doc, at))
-
-    def count(t: pa.Table) -> pa.Table:
-        rows = shards.unpacked(t, 3)
-        rows = rows[np.argsort(rows[:, 0], kind="stable")]
-        at = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
-        low, high = np.minimum.reduceat(rows[:, 1], at), np.maximum.reduceat(rows[:, 2], at)
-        return pa.table({"k": pa.array(rows[at, 0]), "repeated": pa.array(low < high)})
-
-    return common.by_batch(rows, batch, "part int, data binary").groupBy("part").applyInArrow(count, "k long, repeated boolean")
+    """The windows of a unit that lie within one document: word hashes, and the windows' starts and documents by length."""
+
+    def __init__(self, unit: units.Unit):
+        hashes, offsets, at = [np.zeros(0, U64)], [np.zeros(1, np.int64)], 0
+        for _, _, raw, off in chunks(unit.texts):
+            w = Words(raw, off)
+            hashes.append(w.hash)
+            offsets.append(w.off[1:] + at)
+            at += len(w.hash)
+        self.hash, self.off = np.concatenate(hashes), np.concatenate(offsets)
+        self.n_words = np.diff(self.off)
+
+    def of(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, document) of each window."""
+        n = np.maximum(self.n_words - size + 1, 0)
+        doc = np.repeat(np.arange(len(n)), n)
+        return np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + self.off[:-1][doc], doc
+
+
+def _asked_short(w: _Windows, ids: np.ndarray, start: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, place of each window's key among them): different hashes, twice if the unit's own documents repeat them."""
+    key, back = np.unique(grams(w.hash, size)[start], return_inverse=True)
+    own = ids[doc]
+    low, high = np.full(len(key), units.LAST), np.full(len(key), -(2**63))
+    np.minimum.at(low, back, own)
+    np.maximum.at(high, back, own)
+    times = 1 + (low < high)
+    return np.repeat(key, times), (np.cumsum(times) - times)[back]
+
+
+def _twice(keys: np.ndarray, _: list[np.ndarray]) -> np.ndarray:
+    _, back, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return n[back] > 1
+
+
+def _asked_full(w: _Windows, ids: np.ndarray, start: np.ndarray, doc: np.ndarray, size: int, mask: np.uint64) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(keys, [checks, first documents], place of each window's key among them)."""
+    key, check = grams(w.hash, size)[start] & mask, grams(w.hash, size, 1)[start]
+    by = np.lexsort((check, key))
+    new = np.ones(len(by), bool)
+    new[1:] = (key[by][1:] != key[by][:-1]) | (check[by][1:] != check[by][:-1])
+    at = np.flatnonzero(new)
+    back = np.empty(len(by), np.int64)
+    back[by] = np.cumsum(new) - 1
+    own = ids[doc][by]
+    low = np.minimum.reduceat(own, at) if len(at) else own
+    # windows that the unit's own documents repeat are marked by the lowest bit of their check
+    several = np.maximum.reduceat(own, at) > low if len(at) else np.zeros(0, bool)
+    check = (check[by][at] & ~U64(1)) | several.astype(U64)
+    return key[by][at], [check, low], back
+
+
+def _first_elsewhere(keys: np.ndarray, values: list[np.ndarray]) -> np.ndarray:
+    """0: one document holds it; 1: this unit's first document is the first of several; 2: the first is before the unit's."""
+    check, low = values
+    pure = check & ~U64(1)
+    by = np.lexsort((low, pure, keys))
+    new = np.ones(len(by), bool)
+    new[1:] = (keys[by][1:] != keys[by][:-1]) | (pure[by][1:] != pure[by][:-1])
+    at, group = np.flatnonzero(new), np.cumsum(new) - 1
+    first = low[by][at][group]
+    several = np.logical_or.reduceat(((check[by] & U64(1)) == 1) | (low[by] > first), at)[group]
+    out = np.empty(len(by), np.uint8)
+    out[by] = np.where(~several, 0, np.where(low[by] == first, 1, 2))
+    return out
+
+
+class Repeats:
+    """The levels' questions over a corpus, and what a unit's windows were answered."""
+
+    def __init__(self, corpus: units.Corpus, words: int, first: int, hash_bits: int = 64):
+        self.bits, self.words, self.sizes, self.answers = corpus.bits, words, lengths(words, first), {}
+        self.mask, self.found = U64(2**64 - 2 ** (64 - hash_bits)), []
+        for i, size in enumerate(self.sizes):
+            last, held = i == len(self.sizes) - 1, dict(self.answers)
+            if last:
+                path, yes = units.ask(corpus, lambda u, s=size: self._question(u, s)[1:3], _first_elsewhere, [np.uint64, np.int64], f"windows-{size}", held)
+            else:
+                path, yes = units.ask(corpus, lambda u, s=size: (self._question(u, s)[1], []), _twice, [], f"windows-{size}", held, short=True)
+            self.found.append(yes)
+            if not yes:
+                break  # nothing is repeated at this length, so nothing is at twice that
+            self.answers[str(size)] = path
+        self.complete = str(words) in self.answers
+
+    def _question(self, unit: units.Unit, size: int):
+        """((windows, starts, documents), keys, values, places) of a level's candidates."""
+        w = _Windows(unit)
+        level = self.sizes.index(size)
+        start, doc = self._candidates(unit, w, level)
+        if size == self.words:
+            return (w, start, doc), *_asked_full(w, unit.ids, start, doc, size, self.mask)
+        keys, place = _asked_short(w, unit.ids, start, doc, size)
+        return (w, start, doc), keys, [], place
+
+    def _candidates(self, unit: units.Unit, w: _Windows, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, document) of the windows of a level whose two ends were repeated on each level before."""
+        start, doc = w.of(self.sizes[0])
+        for size, longer in zip(self.sizes[:level], self.sizes[1 : level + 1], strict=True):
+            keys, place = _asked_short(w, unit.ids, start, doc, size)
+            again = np.zeros(len(w.hash) + 1, bool)
+            again[start[units.told(unit, str(size), keys, self.bits)[place] > 0]] = True
+            start, doc = w.of(longer)
+            both = again[start] & again[start + longer - size]
+            start, doc = start[both], doc[both]
+        return start, doc
+
+    def gone(self, unit: units.Unit) -> tuple[_Windows, np.ndarray]:
+        """The unit's windows, and which of its words go."""
+        if not self.complete:
+            w = _Windows(unit)
+            return w, np.zeros(len(w.hash), bool)
+        (w, start, doc), keys, (_, low), place = self._question(unit, self.words)
+        said = units.told(unit, str(self.words), keys, self.bits)[place]
+        first = start[(said == 2) | (said == 1) & (unit.ids[doc] > low[place])]
+        cover = np.bincount(first, minlength=len(w.hash) + self.words + 1) - np.bincount(first + self.words, minlength=len(w.hash) + self.words + 1)
+        return w, np.cumsum(cover)[: len(w.hash)] > 0
+
+
+def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, first: int = FIRST, hash_bits: int = 64, unit_bytes: int = units.UNIT_BYTES) -> DataFrame:
+    """(doc_id, text, n_words, n_removed): the words that are left joined by one space, words before and removed.
+
+    hash_bits under 64 makes the windows' first hash collide, for tests.
+    """
+    corpus = units.write(docs, id_col, text_col, unit_bytes=unit_bytes)
+    repeats = Repeats(corpus, words, first, hash_bits)
+
+    def unit(u: units.Unit):
+        w, gone = repeats.gone(u)
+        at = 0
+        ids = pa.array(u.ids, mask=u.null)
+        for a, z, raw, off in chunks(u.texts):
+            spans = Words(raw, off, hashed=False)
+            left = ~gone[at : at + len(spans.start)]
+            at += len(spans.start)
+            data, texts = raw.tobytes(), []
+            for i, j in zip(spans.off[:-1].tolist(), spans.off[1:].tolist(), strict=True):
+                kept = np.flatnonzero(left[i:j]) + i
+                texts.append(b" ".join([data[x:y] for x, y in zip(spans.start[kept].tolist(), spans.end[kept].tolist(), strict=True)]))
+            sums = np.concatenate([[0], np.cumsum(~left)])
+            removed = sums[spans.off[1:]] - sums[spans.off[:-1]]
+            yield pa.RecordBatch.from_arrays([ids[a:z], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(w.n_words[a:z]), pa.array(removed)], ["doc_id", "text", "n_words", "n_removed"])
+
+    return units.each(corpus, unit, "doc_id long, text string, n_words long, n_removed long", repeats.answers)
+
+
+def longest_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, most: int = 1 << 20) -> DataFrame:
+    """(length, n_repeated): doubling goes on from `words`, up to `most`, until no candidates survive; n_repeated sums the
+    units' different windows of a length that two documents or more hold (by 32 bits and the range but for the last)."""
+    corpus = units.write(docs, id_col, text_col)
+    repeats = Repeats(corpus, most, words)
+    rows = [(n, r) for n, r in zip(repeats.sizes, repeats.found, strict=False)]
+    return docs.sparkSession.createDataFrame(rows, "length int, n_repeated long")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

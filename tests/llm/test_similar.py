@@ -4,12 +4,13 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quantspark.llm import ngram_join, substring_dedup, suffix_dedup
+from quantspark.llm import ngram_join, substring_dedup, suffix_dedup, units
 from quantspark.llm.induced import suffix_array
-from quantspark.llm.kernels import Words, grams, window_minima
+from quantspark.llm.kernels import Words, grams, mix, window_minima
 
 LAST = 2**63 - 1
 words_of = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
@@ -130,15 +131,35 @@ def brute_windows(rows, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize("n", [13, 5])
-def test_windows(edge, edge_rows, n):
-    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.text) for r in substring_dedup.dedup_windows(edge, words=n).collect())
+@pytest.mark.parametrize("n,kw", [(13, {}), (5, {"first": 1}), (13, {"first": 2, "hash_bits": 3, "unit_bytes": 3000}), (1, {}), (8, {"first": 20})])
+def test_windows(edge, edge_rows, n, kw):
+    """Any first length; units of a few texts; forced collisions of the first hash."""
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.text) for r in substring_dedup.dedup_windows(edge, words=n, **kw).collect())
     assert got == brute_windows([(r[0], r[1]) for r in edge_rows], n)
 
 
-def test_doubling_ends(docs):
+def test_doubling_ends(spark, docs):
+    assert substring_dedup.lengths(13, 4) == [4, 8, 13] and substring_dedup.lengths(5, 7) == [5]
     found = [r["length"] for r in substring_dedup.longest_repeats(docs.limit(60)).collect()]
     assert found == [13 * 2**i for i in range(len(found))] and found
+    rows = [(i, " ".join(f"{i}-{j}" for j in range(50))) for i in range(20)] + [(99, "0-0 0-1 0-2 0-3 other")]
+    corpus = units.write(spark.createDataFrame(rows, "doc_id long, text string"))
+    stopped = substring_dedup.Repeats(corpus, 13, 2)
+    assert stopped.sizes == [2, 4, 8, 13] and stopped.found[-1] == 0 and len(stopped.found) == 3 and not stopped.complete
+
+
+def test_units(edge, edge_rows):
+    """Units hold every row once, in their order; answers reach the unit that asked, whatever the number of units and parts."""
+    for size in (1, 500, 1 << 22):
+        corpus = units.write(edge, carry=True, unit_bytes=size)
+        corpus.bits = 5
+        back = units.carried(corpus, edge.select(F.struct(*edge.columns).alias("r")).schema["r"].dataType.simpleString())
+        assert sorted(map(str, back.select("row.*").collect())) == sorted(map(str, edge.collect()))
+        keys = lambda u: mix(u.ids.astype(np.uint64))
+        path, _ = units.ask(corpus, lambda u: (keys(u), [u.ids]), lambda k, v: v[0] % 7, [np.int64], "test")
+        tell = lambda u: [pa.RecordBatch.from_arrays([pa.array(u.ids), pa.array(units.told(u, "q", keys(u), 5).astype(np.int64))], ["id", "n"])]  # noqa: B023, E731
+        got = units.each(corpus, tell, "id long, n long", {"q": path}).collect()
+        assert len(got) == len(edge_rows) and all(r.n == r.id % 7 for r in got)
 
 
 def brute_bytes(rows, n):
