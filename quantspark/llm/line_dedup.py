@@ -1,40 +1,43 @@
-"""Line dedup: a sharded minimal perfect hash over repeated lines, probed by documents.
+"""Line dedup: a sharded minimal perfect hash over the different lines, probed by documents.
 
 A line's key is the line without the characters [\\x20\\x09-\\x0D] at both ends,
 A-Z in lower case. A key of at least `least_chars` code points that at least
 two documents hold loses all its lines except in the document with the
 smallest id.
 
-One pass over the texts sends the 128-bit hash of each different key of a
-batch, with the least and greatest document id and the count of documents;
-they are summed before they move, so a line that every document holds is one
-row a task. Keys of two or more documents are dealt to shards by their
-leading bits. Each shard becomes one minimal perfect hash over the first 64
-bits, with arrays of fingerprints (the other 64 bits), saturating counts and
-first documents at the hash's numbers. A second pass probes the arrays from
-the documents, in place: neither texts nor lines are shuffled or joined.
+Each unit of texts (see `units`) sends the 128-bit hash of each of its
+different keys, with the least document that holds it there and their number,
+to the shard of its leading bits: a line that every document holds is one row a
+unit. A shard makes one minimal perfect hash of the first 64 bits of all its
+keys; at the hash's numbers lie compact arrays of fingerprints (the other 64
+bits), counts of documents (saturating) and first documents. The units' keys
+probe the arrays: the fingerprint tells whether the entry is theirs, the count
+whether two documents hold it, the first document who keeps it. Neither texts
+nor lines are joined, and a task holds its own shard alone.
+
+Keys are told apart by all 128 bits: of 10**12 different lines two are taken as
+equal with a chance of about 10**-15.
 
 Null and empty texts are one empty line. Rows that repeat a doc_id are one
 document. A null doc_id counts as the greatest. Lines repeated in one document
-alone all stay. An empty table gives an empty result. Other columns can be
-carried along, whatever their names.
+alone all stay. A very long text is one unit, cut into lines in a task's
+memory. An empty table gives an empty result. Other columns can be carried
+along, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, shards
+from . import common, units
 from .perfect_hash import PerfectHash
 
-LEAST_CHARS, SHARD_KEYS = 10, 1 << 17
-_SPACE, _LAST = b" \t\n\x0b\x0c\r", 2**63 - 1
+LEAST_CHARS = 10
+_SPACE = b" \t\n\x0b\x0c\r"
 
 
 def _lines(text: str | None) -> list[bytes]:
@@ -46,114 +49,105 @@ def _counts(key: bytes, least: int) -> bool:
     return len(key) >= least and (len(key) >= 4 * least or len(key.decode()) >= least)
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False)
-
-
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(k, print, first_doc, n_docs) of the keys that two documents or more hold."""
-
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        first: dict[bytes, list[int]] = {}
-        for doc, text in zip(_ids(b.column(0)).tolist(), b.column(1), strict=True):
-            for key in {k for k in _lines(text.as_py()) if _counts(k, least_chars)}:
-                h = xxhash.xxh3_128_digest(key)
-                if h in first:
-                    x = first[h]
-                    first[h] = [min(x[0], doc), max(x[1], doc), x[2] + 1]
-                else:
-                    first[h] = [doc, doc, 1]
-        both = np.frombuffer(b"".join(first), np.int64).reshape(-1, 2)
-        rest = np.array(list(first.values()), np.int64).reshape(-1, 3)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (both[:, 0].copy(), both[:, 1].copy(), *(rest[:, i].copy() for i in range(3)))], ["k", "print", "low", "high", "n"])
-
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    seen = common.by_batch(rows, batch, "k long, print long, low long, high long, n long")
-    seen = seen.groupBy("k", "print").agg(F.min("low").alias("first_doc"), F.max("high").alias("high"), F.sum("n").alias("n_docs"))
-    return seen.filter("first_doc < high").select("k", "print", "first_doc", "n_docs")
-
-
-def _built(t: pa.Table) -> pa.Table:
-    """One shard's arrays from its rows. Two lines whose first 64 bits agree: the second goes to the shard's overflow."""
-    k = t["k"].to_numpy().view(np.uint64)
-    _, first = np.unique(k, return_index=True)
-    rest = np.setdiff1d(np.arange(len(k)), first)
-    hashed = PerfectHash.build(k[first])
-    place = np.empty(len(first), np.int64)
-    place[hashed.number(k[first])] = first
-    cols = {c: t[c].to_numpy() for c in ("print", "first_doc", "n_docs")}
-    counts = np.minimum(cols["n_docs"], 255).astype(np.uint8)
-    over = np.stack([k[rest].view(np.int64), cols["print"][rest], cols["first_doc"][rest]])
-    parts = {"hash": hashed.to_bytes(), "print": cols["print"][place].tobytes(), "first_doc": cols["first_doc"][place].tobytes(), "count": counts[place].tobytes(), "over": over.tobytes()}
-    return pa.table({"shard": t["shard"][:1].combine_chunks(), **{c: pa.array([v], pa.binary()) for c, v in parts.items()}})
-
-
-def build_index(lines: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[str, int]:
-    """Writes the shards of a table of repeated lines to the shared folder; returns the folder and the number of leading bits."""
-    lines = common.stored(lines, "lines")
-    bits = shards.bits_for(lines.count(), shard_keys)
-    rows = lines.withColumn("shard", shards.shard_of("k", bits))
-    built = rows.groupBy("shard").applyInArrow(_built, "shard int, hash binary, print binary, first_doc binary, count binary, over binary")
-    path = common.fresh_dir(lines.sparkSession, "line-index")
-    built.write.partitionBy("shard").parquet(path)
-    return path, bits
-
-
-def _opened(t: pa.Table):
-    if not t.num_rows:
-        return 0, None
-    row = {c: t[c][0].as_py() for c in t.column_names}
-    over = np.frombuffer(row["over"], np.int64).reshape(3, -1)
-    size = sum(len(x) for x in row.values())
-    return size, (PerfectHash.from_bytes(row["hash"]), np.frombuffer(row["print"], np.int64), np.frombuffer(row["first_doc"], np.int64), over)
-
-
-def first_docs(path: str, bits: int, k: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    """The first document of each line that the index has, else -1 and False."""
-    out, known = np.zeros(len(k), np.int64), np.zeros(len(k), bool)
-    for shard, at in shards.by_shard(k, bits):
-        opened = shards.loaded(path, shard, _opened)
-        if opened is None:
-            continue
-        hashed, fingerprints, first, over = opened
-        number = hashed.number(k[at])
+class LineIndex:
+    """A shard's perfect hash, and at its numbers the lines' fingerprints, counts of documents and first documents."""
+
+    def __init__(self, k: np.ndarray, prints: np.ndarray, low: np.ndarray, n: np.ndarray):
+        """Rows of lines, each as units tell of it: k and prints uint64, the least document, how many documents (in a unit)."""
+        by = np.lexsort((low, prints, k))
+        k, prints, low, n = k[by], prints[by], low[by], n[by].astype(np.int64)
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (prints[1:] != prints[:-1])
+        at = np.flatnonzero(new)
+        first, most = low[at], np.maximum.reduceat(n, at) if len(at) else n
+        several = np.maximum.reduceat(low, at) > first if len(at) else np.zeros(0, bool)
+        # rows that repeat one document's id in several units are one document
+        count = np.where(several | (most > 1), np.maximum(2, np.add.reduceat(n, at) if len(at) else n), 1)
+        k, prints = k[at], prints[at]
+        ours = np.ones(len(k), bool)
+        ours[1:] = k[1:] != k[:-1]  # of lines whose first 64 bits agree one is hashed, the others are listed
+        self.hash = PerfectHash.build(k[ours])
+        place = np.empty(self.hash.n, np.int64)
+        place[self.hash.number(k[ours])] = np.flatnonzero(ours)
+        self.prints, self.count, self.first = prints[place], np.minimum(count, 255).astype(np.uint8)[place], first[place]
+        self.listed = [(k[i], prints[i], int(min(count[i], 255)), int(first[i])) for i in np.flatnonzero(~ours).tolist()]
+
+    def probe(self, k: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count, first document) of lines; a line that the shard does not hold has count 0."""
+        number = self.hash.number(k)
         hit = number >= 0
-        hit[hit] = fingerprints[number[hit]] == prints[at][hit]
-        known[at[hit]], out[at[hit]] = True, first[number[hit]]
-        for key, fingerprint, doc in over.T:
-            same = (k[at].view(np.int64) == key) & (prints[at] == fingerprint)
-            known[at[same]], out[at[same]] = True, doc
-    return out, known
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """(row, doc_id, text, n_lines, n_dropped): the input row without its text, its id, the text that is left, lines before and dropped."""
-    path, bits = build_index(repeated_lines(docs, id_col, text_col, least_chars), shard_keys)
-
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts, ids = [t or "" for t in b.column(2).to_pylist()], _ids(b.column(1))
-        prints, doc, line = [], [], []
-        for i, text in enumerate(texts):
-            for j, key in enumerate(_lines(text)):
-                if _counts(key, least_chars):
-                    prints.append(xxhash.xxh3_128_digest(key))
-                    doc.append(i)
-                    line.append(j)
-        both = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
-        doc, line = np.array(doc, np.int64), np.array(line, np.int64)
-        first, known = first_docs(path, bits, both[:, 0].copy().view(np.uint64), both[:, 1].copy())
-        gone = known & (first != ids[doc])
+        hit[hit] = self.prints[number[hit]] == prints[hit]
+        count, first = np.zeros(len(k), np.uint8), np.full(len(k), units.LAST)
+        count[hit], first[hit] = self.count[number[hit]], self.first[number[hit]]
+        for key, fingerprint, n, doc in self.listed:
+            same = (k == key) & (prints == fingerprint)
+            count[same], first[same] = n, doc
+        return count, first
+
+
+def _told(keys: np.ndarray, values: list[np.ndarray]) -> np.ndarray:
+    """0: one document holds the line; 1: the unit's first document keeps it; 2: a document before the unit's does."""
+    prints, low, n = values
+    count, first = LineIndex(keys, prints, low, n).probe(keys, prints)
+    return np.where(count < 2, 0, np.where(first == low, 1, 2))
+
+
+def _of_unit(unit: units.Unit, least_chars: int, key_bits: int) -> tuple[list[str], np.ndarray, list[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(texts, keys, [prints, least documents, numbers of documents], (row, line, key's place) of the lines that count)."""
+    texts = [t or "" for t in unit.texts.to_pylist()]
+    seen: dict[bytes, int] = {}
+    low: list[int] = []
+    last: list[int] = []
+    n: list[int] = []
+    rows, lines, places = [], [], []
+    for i, (text, doc) in enumerate(zip(texts, unit.ids.tolist(), strict=True)):
+        for j, key in enumerate(_lines(text)):
+            if _counts(key, least_chars):
+                h = xxhash.xxh3_128_digest(key)
+                at = seen.setdefault(h, len(low))
+                if at == len(low):
+                    low.append(doc)
+                    last.append(doc)
+                    n.append(1)
+                elif doc != last[at]:
+                    low[at], last[at] = min(low[at], doc), doc
+                    n[at] += 1
+                rows.append(i)
+                lines.append(j)
+                places.append(at)
+    both = np.frombuffer(b"".join(seen), np.uint64).reshape(-1, 2)
+    keys = both[:, 0] & np.uint64(2**64 - 2 ** (64 - key_bits))
+    return texts, keys, [both[:, 1], np.array(low, np.int64), np.array(n, np.uint32)], (np.array(rows, np.int64), np.array(lines, np.int64), np.array(places, np.int64))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, carry: bool = False, key_bits: int = 64, unit_bytes: int = units.UNIT_BYTES) -> DataFrame:
+    """(doc_id, text, n_lines, n_dropped): the text that is left, lines before and dropped; with `carry` also row, the other
+    columns as a struct. key_bits under 64 makes the first 64 bits collide, for tests."""
+    corpus = units.write(docs, id_col, text_col, common.row_of(docs, text_col) if carry else None, unit_bytes)
+
+    def question(unit: units.Unit) -> tuple[np.ndarray, list[np.ndarray]]:
+        return _of_unit(unit, least_chars, key_bits)[1:3]
+
+    path, _ = units.ask(corpus, question, _told, [np.uint64, np.int64, np.uint32], "lines")
+    bits = corpus.bits
+
+    def unit(u: units.Unit):
+        texts, keys, (_, low, _), (row, line, place) = _of_unit(u, least_chars, key_bits)
+        said = units.told(u, "lines", keys, bits)[place]
+        gone = (said == 2) | (said == 1) & (u.ids[row] > low[place])
         dropped: dict[int, set[int]] = {}
-        for i, j in zip(doc[gone].tolist(), line[gone].tolist(), strict=True):
+        for i, j in zip(row[gone].tolist(), line[gone].tolist(), strict=True):
             dropped.setdefault(i, set()).add(j)
-        kept, n = [], np.array([t.count("\n") + 1 for t in texts], np.int64)
-        for i, text in enumerate(texts):
-            kept.append("\n".join(x for j, x in enumerate(text.split("\n")) if j not in dropped[i]) if i in dropped else text)
-        gone = np.array([len(dropped.get(i, ())) for i in range(len(texts))], np.int64)
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.string()), pa.array(n), pa.array(gone)], ["row", "doc_id", "text", "n_lines", "n_dropped"])
-
-    rows = docs.select(common.row_of(docs, text_col).alias("row"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return common.by_batch(rows, batch, f"row {rows.schema['row'].dataType.simpleString()}, doc_id long, text string, n_lines long, n_dropped long")
+        kept = ["\n".join(x for j, x in enumerate(t.split("\n")) if j not in dropped[i]) if i in dropped else t for i, t in enumerate(texts)]
+        n = pa.array([t.count("\n") + 1 for t in texts], pa.int64())
+        lost = pa.array([len(dropped.get(i, ())) for i in range(len(texts))], pa.int64())
+        at = [pa.array(np.full(len(texts), u.number)), pa.array(np.arange(len(texts), dtype=np.int32))]
+        yield pa.RecordBatch.from_arrays([*at, pa.array(u.ids, mask=u.null), pa.array(kept, pa.string()), n, lost], ["unit", "no", "doc_id", "text", "n_lines", "n_dropped"])
+
+    out = units.each(corpus, unit, "unit long, no int, doc_id long, text string, n_lines long, n_dropped long", {"lines": path})
+    if not carry:
+        return out.drop("unit", "no")
+    return out.join(units.carried(corpus), ["unit", "no"]).drop("unit", "no")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

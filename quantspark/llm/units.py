@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 import pyarrow.dataset as ds
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -48,12 +48,13 @@ class Unit:
 class Corpus:
     spark: SparkSession
     path: str
+    kind: str  # type of what is carried
     bits: int  # leading bits that name a part
 
 
-def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, unit_bytes: int = UNIT_BYTES) -> Corpus:
-    """Writes the units of a table. carry: the other columns too, for `carried`."""
-    row = common.row_of(docs) if carry else F.lit(None).cast("int")
+def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None, unit_bytes: int = UNIT_BYTES) -> Corpus:
+    """Writes the units of a table. carry: what else of each row goes along, for `carried`."""
+    row = F.lit(None).cast("int") if carry is None else carry
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), row.alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,12 +91,12 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     path = common.fresh_dir(docs.sparkSession, "units")
     rows.mapInArrow(run, f"unit long, ids array<bigint>, texts array<string>, rows array<{kind}>").write.parquet(path)
     size = _files(docs.sparkSession, path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    return Corpus(docs.sparkSession, path, min(MOST_BITS, max(0, int(size // PART_BYTES).bit_length())))
+    return Corpus(docs.sparkSession, path, kind, min(MOST_BITS, max(0, int(size // PART_BYTES).bit_length())))
 
 
-def carried(corpus: Corpus, kind: str) -> DataFrame:
-    """(unit, no, row) of a corpus that was written with its rows. kind: the row's type."""
-    units = corpus.spark.read.schema(f"unit long, rows array<{kind}>").parquet(corpus.path)
+def carried(corpus: Corpus) -> DataFrame:
+    """(unit, no, row): what is carried, by the unit and its place there. Spark reads it, so any type comes back as it was."""
+    units = corpus.spark.read.schema(f"unit long, rows array<{corpus.kind}>").parquet(corpus.path)
     return units.select("unit", F.posexplode("rows").alias("no", "row"))
 
 

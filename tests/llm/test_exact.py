@@ -81,14 +81,15 @@ def test_next_by_id(spark, rows_in_range, most):
     assert sorted((r.text, r.next_text) for r in got) == want
 
 
-def test_lines(edge, edge_rows):
+@pytest.mark.parametrize("kw", [{}, {"key_bits": 2, "unit_bytes": 400}])
+def test_lines(edge, edge_rows, kw):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
     held = {}
     for r in edge_rows:
         for x in (r[1] or "").split("\n"):
             if len(key(x)) >= 10:
                 held.setdefault(key(x), set()).add(2**63 - 1 if r[0] is None else r[0])
-    got = {(r.doc_id, r.n_lines): r for r in line_dedup.dedup_lines(edge, shard_keys=2).collect()}
+    got = {(r.doc_id, r.n_lines): r for r in line_dedup.dedup_lines(edge, carry=True, **kw).collect()}
     for r in edge_rows:
         lines = (r[1] or "").split("\n")
         left = [x for x in lines if not (len(held.get(key(x), ())) > 1 and min(held[key(x)]) != r[0])]
@@ -105,6 +106,18 @@ def test_perfect_hash():
     assert PerfectHash.build(keys[:0]).number(keys).max() == -1
 
 
+def test_counts_decide():
+    """The index holds all lines; a line's count, not its presence, makes it a repeat."""
+    import numpy as np
+
+    k, prints = np.array([7, 7, 9, 7, 9], np.uint64), np.array([1, 1, 1, 2, 1], np.uint64)
+    index = line_dedup.LineIndex(k, prints, np.array([5, 3, 8, 4, 8]), np.array([1, 1, 1, 2, 1], np.uint32))
+    assert index.hash.n == 2 and len(index.listed) == 1
+    count, first = index.probe(np.array([7, 7, 9, 9, 1], np.uint64), np.array([1, 2, 1, 5, 1], np.uint64))
+    assert count.tolist() == [2, 2, 1, 0, 0] and first[:3].tolist() == [3, 4, 8]
+    assert line_dedup._told(k, [prints, np.array([5, 3, 8, 4, 8]), np.array([1, 1, 1, 2, 1], np.uint32)]).tolist() == [2, 1, 0, 1, 0]
+
+
 def test_empty(empty):
     assert exact_dedup.exact_groups(empty).count() == 0
     assert fingerprints.edited_likeness(empty).count() == 0
