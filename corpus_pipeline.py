@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that several documents hold stay in the one with the smallest doc_id alone."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, carry=True)
     changed = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
     return out.select(*[changed[c].alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
