@@ -6,12 +6,12 @@ cased, as 64-bit hashes. Two documents link when 100 * |x & y| >= percent *
 either, and under one order of all tokens the j-th shared token is among the
 first n - o + j of both.
 
-Order: tokens by a count over all documents, rare ones first: each batch of
-texts sends the leading 32 + bits bits of its different sets' tokens in blocks
-of one hash range, and a task counts one range. Tokens that agree in those bits
-share a count, and sets that one batch holds several times count once; counts
-end at 255. Any order gives the same links, so a count only has to be the same
-number wherever it is read.
+Order: tokens by a count over all documents, rare ones first: each unit of
+texts (see `units`) sends its different sets' tokens to ranges of hashes, where
+they are counted, and is answered the counts. 32 bits of a token and its range
+travel; tokens that agree in them share a count, sets that a unit holds several
+times count once, and counts end at 255. Any order gives the same links, so a
+count only has to be the same number wherever it is read.
 
 Signatures: a rare token stands for itself; frequent tokens are dealt to m
 classes by hash, the prefix is extended by m tokens, and pairs of tokens of
@@ -49,13 +49,11 @@ from pyspark.sql import functions as F
 
 from quantspark.operators.components import connected_components
 
-from . import common, shards
+from . import common, units
 from .kernels import U64, Words, chunks, grams, lowered, mix
 
 #: Documents that hold a token before it counts as frequent; sets and tokens in a block; tokens of a prefix to one class of pairs.
 RARE, BLOCK, BLOCK_TOKENS, PER_CLASS = 16, 1024, 1 << 20, 40
-#: Tokens that a task holds before it sends them on; ranges to which set keys are dealt.
-MOST_WAITING, _KEYS = 2_000_000, 64
 
 
 def token_sets(raw: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,49 +102,41 @@ def _classes(level: np.ndarray, percent: int) -> np.ndarray:
     return np.maximum(1, ((level if percent == 100 else (100 / percent) ** level) / PER_CLASS).astype(np.int64))
 
 
-def _counted(docs: DataFrame, words: int, seed: int, bits: int) -> DataFrame:
-    """(kind, a, b, c, d): kind 0 a document's id, size and set keys; kind 1 a token's leading 32 + bits bits and its count, if 2 or more."""
-
-    def batch(b: pa.RecordBatch):
-        ids, seen, waiting = b.column(0).cast(pa.int64()), np.zeros(0, U64), []
-        for first, last, raw, off in chunks(b.column(1)):
-            tokens, at = token_sets(raw, off, words)
-            s1, s2 = set_keys(tokens, at, seed)
-            new = np.zeros(len(s1), bool)
-            new[np.unique(s1, return_index=True)[1]] = True
-            new &= ~np.isin(s1, seen)
-            seen = np.concatenate([seen, s1[new]])
-            waiting.append(tokens[np.repeat(new, np.diff(at))])
-            if sum(map(len, waiting)) > MOST_WAITING:
-                yield _named(shards.pack(np.concatenate(waiting), bits, short=True))
-                waiting = []
-            rows = np.stack([np.diff(at), s1.view(np.int64), s2.view(np.int64)], 1)
-            part = (s1 % U64(_KEYS)).astype(np.int64)
-            held = ids[first:last]
-            null, value = np.asarray(held.is_null()), held.fill_null(0).to_numpy(zero_copy_only=False)
-            owners = np.stack([value, null.astype(np.int64)], 1)
-            cells = {i: part == i for i in np.unique(part).tolist()}
-            data = [pa.array([x[c].tobytes() for c in cells.values()], pa.binary()) for x in (rows, owners)]
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - i for i in cells], pa.int32()), *data], ["part", "data", "ids"])
-        if waiting:
-            yield _named(shards.pack(np.concatenate(waiting), bits, short=True))
-
-    def count(t: pa.Table) -> pa.Table:
-        part, data = t["part"][0].as_py(), t["data"].to_pylist()
-        if part < 0:
-            rows = np.frombuffer(b"".join(data), np.int64).reshape(-1, 3)
-            ids = np.frombuffer(b"".join(t["ids"].to_pylist()), np.int64).reshape(-1, 2)
-            return pa.table({"kind": pa.array(np.zeros(len(rows), np.int8)), "a": pa.array(ids[:, 0].copy(), mask=ids[:, 1] == 1), **{c: pa.array(rows[:, i].copy()) for i, c in enumerate("bcd")}})
-        whole, n = shards.repeated_short(t, bits)
-        none = pa.nulls(len(n), pa.int64())
-        return pa.table({"kind": pa.array(np.ones(len(n), np.int8)), "a": pa.array(whole.view(np.int64)), "b": pa.array(np.minimum(n, 255)), "c": none, "d": none})
-
-    sent = common.by_batch(docs, batch, "part int, data binary, ids binary")
-    return sent.groupBy("part").applyInArrow(count, "kind tinyint, a long, b long, c long, d long")
-
-
-def _named(packed: pa.RecordBatch) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*packed.columns, pa.nulls(packed.num_rows, pa.binary())], ["part", "data", "ids"])
+class _Sets:
+    """A unit's sets: tokens, offsets, two keys each, and the first row of each different set."""
+
+    def __init__(self, texts: pa.Array, words: int, seed: int):
+        tokens, sizes = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+        for _, _, raw, off in chunks(texts):
+            t, at = token_sets(raw, off, words)
+            tokens.append(t)
+            sizes.append(np.diff(at))
+        self.tokens, self.n = np.concatenate(tokens), np.concatenate(sizes)
+        self.off = np.concatenate([[0], np.cumsum(self.n)])
+        self.key, self.check = set_keys(self.tokens, self.off, seed)
+        self.once = np.sort(np.unique(self.key, return_index=True)[1])
+
+    def different(self) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, offsets) of the different sets."""
+        some = np.zeros(len(self.n), bool)
+        some[self.once] = True
+        return self.tokens[np.repeat(some, self.n)], np.concatenate([[0], np.cumsum(self.n[self.once])])
+
+
+def _counts(corpus: units.Corpus, words: int) -> str:
+    """Answers of each unit's tokens: how many sets hold them, those that differ in each unit."""
+
+    def question(unit: units.Unit) -> tuple[np.ndarray, list[np.ndarray]]:
+        s = _Sets(unit.texts, words, 0)
+        keys = np.unique(s.tokens)
+        n = np.bincount(np.searchsorted(keys, s.different()[0]), minlength=len(keys))
+        return keys, [np.clip(n, 1, 255)]
+
+    def reply(keys: np.ndarray, values: list[np.ndarray]) -> np.ndarray:
+        _, back = np.unique(keys, return_inverse=True)
+        return np.minimum(np.bincount(back, values[0]), 255)[back]
+
+    return units.ask(corpus, question, reply, [np.uint8], "ngram-counts", short=True)[0]
 
 
 def prefix_signatures(tokens: np.ndarray, counts: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,23 +180,23 @@ def prefix_signatures(tokens: np.ndarray, counts: np.ndarray, off: np.ndarray, p
     return np.concatenate(sig), np.concatenate(owner)
 
 
-def _signatures(docs: DataFrame, words: int, percent: int, seed: int, path: str, bits: int, count_bits: int) -> DataFrame:
-    mask = shards.short_mask(count_bits)
+def _signed(corpus: units.Corpus, words: int, percent: int, seed: int, answers: str) -> DataFrame:
+    """(unit, no, doc_id, n, node, check, sigs): each document's set, and the signatures of a unit's different sets."""
+    bits = corpus.bits
 
-    def batch(b: pa.RecordBatch):
-        for _, _, raw, off in chunks(b.column(0)):
-            tokens, at = token_sets(raw, off, words)
-            s1, _ = set_keys(tokens, at, seed)
-            _, once = np.unique(s1, return_index=True)
-            some = np.zeros(len(s1), bool)
-            some[once] = True
-            tokens = tokens[np.repeat(some, np.diff(at))]
-            s1, at = s1[some], np.concatenate([[0], np.cumsum(np.diff(at)[some])])
-            _, found = shards.probe(path, bits, tokens & mask, {"n": np.int16(1)})
-            sig, owner = prefix_signatures(tokens, found["n"], at, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(s1[owner].view(np.int64))], ["sig", "node"])
+    def rows(unit: units.Unit):
+        s = _Sets(unit.texts, words, seed)
+        tokens, off = s.different()
+        keys = np.unique(s.tokens)  # as asked
+        counts = units.told(unit, "counts", keys, bits)[np.searchsorted(keys, tokens)]
+        sig, owner = prefix_signatures(tokens, counts, off, percent)
+        by = np.argsort(s.once[owner], kind="stable")
+        ends = np.searchsorted(s.once[owner][by], np.arange(len(s.n) + 1))
+        sigs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sig[by].view(np.int64)))
+        at = [pa.array(np.full(len(s.n), unit.number)), pa.array(np.arange(len(s.n), dtype=np.int32)), pa.array(unit.ids, mask=unit.null)]
+        yield pa.RecordBatch.from_arrays([*at, pa.array(s.n), pa.array(s.key.view(np.int64)), pa.array(s.check.view(np.int64)), sigs], ["unit", "no", "doc_id", "n", "node", "check", "sigs"])
 
-    return common.by_batch(docs.select("text"), batch, "sig long, node long")
+    return units.each(corpus, rows, "unit long, no int, doc_id long, n long, node long, check long, sigs array<bigint>", {"counts": answers})
 
 
 def links_within(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -277,34 +267,31 @@ def _tasks(groups: DataFrame, percent: int, block: int) -> DataFrame:
     return alone.unionByName(split)
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, block: int, count_bits: int | None) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """(keys, nodes, named, seed): each document's set key, the different sets, the component of those that link, the keys' seed."""
-    _checked(words, percent)
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    if count_bits is None:
-        count_bits = shards.part_bits(rows)
+def _grouped(corpus: units.Corpus, words: int, percent: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(keys, nodes, named): each document's place and set key, the different sets, the component of those that link."""
+    counts = _counts(corpus, words)
     for seed in range(8):
-        counted = common.stored(_counted(rows, words, seed, count_bits), "ngram-counts")
-        keys = counted.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("node"), F.col("d").alias("check"))
-        nodes = keys.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"))
+        signed = common.stored(_signed(corpus, words, percent, seed, counts), "ngram-sets")
+        keys = signed.drop("sigs")
+        nodes = keys.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"), F.min(F.struct("unit", "no")).alias("at"))
         if nodes.filter("low <> high").isEmpty():
             break  # no two different sets have one key
-    often = counted.filter("kind = 1").select(F.col("a").alias("k"), F.col("b").cast("smallint").alias("n"))
-    path, bits = shards.write(often, often.count(), "ngram-tokens")
-    sigs = common.stored(_signatures(rows, words, percent, seed, path, bits, count_bits), "ngram-signatures")
+    sigs = signed.select("node", F.explode("sigs").alias("sig"))
     star = sigs.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
     edges = sigs.join(star, "sig").filter("node <> least").select(F.col("least").alias("src"), F.col("node").alias("dst")).distinct()
     level = F.col("n").cast("int") if percent == 100 else F.floor(F.log("n") / F.lit(float(np.log(100 / percent))) + 1e-9).cast("int")
-    groups = connected_components(edges).withColumnRenamed("id", "node").join(nodes.select("node", "n"), "node").select("node", "component", "n", level.alias("level"))
-    tasks = common.stored(_tasks(common.stored(groups, "ngram-groups"), percent, block), "ngram-tasks")
-    links = common.stored(_verified(rows, tasks, words, percent, seed), "ngram-links")
+    groups = connected_components(edges).withColumnRenamed("id", "node").join(nodes.select("node", "n", "at"), "node")
+    groups = common.stored(groups.select("node", "component", "n", level.alias("level"), "at"), "ngram-groups")
+    tasks = common.stored(_tasks(groups, percent, block), "ngram-tasks")
+    links = common.stored(_verified(corpus, groups, tasks, words, percent, seed), "ngram-links")
     named = connected_components(links).withColumnRenamed("id", "node").join(nodes, "node").select("node", "component", "rep")
-    return keys, nodes, named, seed
+    return keys, nodes, named
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = BLOCK, count_bits: int | None = None) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = BLOCK, unit_bytes: int = units.UNIT_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document; a component is named by its least doc_id."""
-    keys, nodes, named, _ = _grouped(docs, id_col, text_col, words, percent, block, count_bits)
+    _checked(words, percent)
+    keys, nodes, named = _grouped(units.write(docs, id_col, text_col, unit_bytes=unit_bytes), words, percent, block)
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
     named = named.join(least, "component").select("node", "least")
     out = keys.join(nodes.select("node", "rep"), "node", "left").join(named, "node", "left")
@@ -312,19 +299,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _verified(rows: DataFrame, tasks: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
-    """(src, dst) of links found in the tasks."""
-    wanted = tasks.select(F.col("node").alias("k")).distinct()
-    path, bits = shards.write(wanted, wanted.count(), "ngram-nodes")
+def _verified(corpus: units.Corpus, groups: DataFrame, tasks: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
+    """(src, dst) of links found in the tasks. One document sends each set, from the place that `groups` names."""
+    wanted = units.give(corpus, groups.select("at.*"), "ngram-wanted")
 
-    def batch(b: pa.RecordBatch):
-        for _, _, raw, off in chunks(b.column(0)):
-            tokens, at = token_sets(raw, off, words)
-            s1, _ = set_keys(tokens, at, seed)
-            found, _ = shards.probe(path, bits, s1, {})
-            _, once = np.unique(s1, return_index=True)
-            take = [i for i in once.tolist() if found[i]]
-            yield pa.RecordBatch.from_arrays([pa.array(s1[take].view(np.int64)), pa.array([tokens[at[i] : at[i + 1]].tobytes() for i in take], pa.binary())], ["node", "tokens"])
+    def send(unit: units.Unit):
+        at = units.given(unit, "wanted")
+        if len(at):
+            s = _Sets(unit.texts.take(pa.array(at)), words, seed)
+            yield pa.RecordBatch.from_arrays([pa.array(s.key.view(np.int64)), pa.array([s.tokens[a:z].tobytes() for a, z in zip(s.off[:-1].tolist(), s.off[1:].tolist(), strict=True)], pa.binary())], ["node", "tokens"])
 
     def verify(t: pa.Table) -> pa.Table:
         node, first = np.unique(t["node"].to_numpy(), return_index=True)
@@ -333,50 +316,27 @@ def _verified(rows: DataFrame, tasks: DataFrame, words: int, percent: int, seed:
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"src": pa.array(pairs[:, 0].copy()), "dst": pa.array(pairs[:, 1].copy())})
 
-    sets = common.by_batch(rows.select("text"), batch, "node long, tokens binary")
+    sets = units.each(corpus, send, "node long, tokens binary", {"wanted": wanted})
     return sets.join(tasks, "node").groupBy("task").applyInArrow(verify, "src long, dst long")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of near-duplicates stays: the least by id (null ids last), then by set key, then by its columns.
+    """One row of each group of near-duplicates stays: the least by id (null ids last), then by set key, then by its place.
 
-    Rows without words stay. Rows are found by id and set key, so nulls and repeated ids are rows like others.
+    Rows without words stay. Rows are named by their place in the units, so null and repeated ids are rows like others.
     """
-    keys, nodes, named, seed = _grouped(docs, id_col, text_col, words, percent, BLOCK, None)
-    rows = keys.filter("n > 0").groupBy("node", "doc_id").agg(F.count("*").alias("rows"))
-    first = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "node", "rows")).alias("first"))
-    component = F.coalesce("component", "node").alias("component")
-    best = first.join(named.select("node", "component"), "node", "left").groupBy(component).agg(F.min("first").alias("first"))
-    best = best.select(F.col("first.node").alias("k"), F.col("first.id").alias("id"), F.col("first.none").cast("tinyint").alias("none"), F.col("first.rows").alias("rows"))
-    best = common.stored(best, "ngram-kept")
-    path, bits = shards.write(best, best.count(), "ngram-kept")
-
-    def fate(ids: pa.Array, text: pa.Array) -> pa.Array:
-        """How many rows have the id and the set of a row that stays, 0 if it goes; its set key."""
-        own, none = ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_null())
-        times, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for first, last, raw, off in chunks(text):
-            tokens, at = token_sets(raw, off, words)
-            key, _ = set_keys(tokens, at, seed)
-            found, cols = shards.probe(path, bits, key, {"id": np.int64(0), "none": np.int8(0), "rows": np.int64(0)})
-            stays = found & (cols["id"] == own[first:last]) & ((cols["none"] == 1) == none[first:last])
-            times.append(np.where(np.diff(at) == 0, 1, np.where(stays, cols["rows"], 0)))
-            keys.append(key.view(np.int64))
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(times)), pa.array(np.concatenate(keys))], ["times", "key"])
-
-    found = F.arrow_udf(fate, "times long, key long").asNondeterministic()  # so that a filter does not call it again
-    rows = docs.select(common.row_of(docs).alias("row"), found(docs[id_col].cast("long"), docs[text_col].cast("string")).alias("fate"))
-    kept = rows.filter("fate.times > 0")
-    if best.filter("rows > 1").isEmpty():
-        return kept.select("row.*")
-    # rows of one id and one set: a set is of one group, so its key names the group
-    kept = common.stored(kept, "ngram-kept")
-    again = kept.filter("fate.times > 1").groupBy("fate.key").agg(F.min_by("row", F.to_json("row")).alias("row"))
-    return kept.filter("fate.times = 1").select("row.*").unionByName(again.select("row.*"))
+    _checked(words, percent)
+    corpus = units.write(docs, id_col, text_col, common.row_of(docs))
+    keys, _, named = _grouped(corpus, words, percent, BLOCK)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "node", "unit", "no")
+    first = keys.filter("n > 0").groupBy("node").agg(F.min(order).alias("first"))  # before rows move, one for each set
+    best = first.join(named.select("node", "component"), "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first"))
+    kept = best.select("first.unit", "first.no").unionByName(keys.filter("n = 0").select("unit", "no"))
+    return units.carried(corpus).join(kept, ["unit", "no"], "left_semi").select("row.*")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_groups(common.table(spark, sf_dir, "documents"), words=3, percent=90)
+    return similar_groups(common.table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=90)
 
 
 OP6_SQL = r"""

@@ -226,3 +226,23 @@ def told(unit: Unit, name: str, keys: np.ndarray, bits: int) -> np.ndarray:
         ranked[a:z] = said
     out[order] = ranked
     return out
+
+
+def give(corpus: Corpus, rows: DataFrame, name: str) -> str:
+    """Writes places (unit, no) for the units that hold them; returns the folder."""
+
+    def pack(t: pa.Table) -> pa.Table:
+        number = t["unit"][0].as_py()
+        data = np.sort(t["no"].to_numpy()).astype(np.int32).tobytes()
+        return pa.table({"owner": pa.array([number >> 32], pa.int64()), "unit": pa.array([number], pa.int64()), "part": pa.array([0], pa.int32()), "data": pa.array([data], pa.binary())})
+
+    packed = rows.select("unit", "no").groupBy("unit").applyInArrow(pack, "owner long, unit long, part int, data binary")
+    path = common.fresh_dir(corpus.spark, name)
+    packed.repartition("owner").write.partitionBy("owner").parquet(path)
+    return path
+
+
+def given(unit: Unit, name: str) -> np.ndarray:
+    """The places in a unit that it was given, ascending."""
+    t = unit.answers.get(name)
+    return np.frombuffer(b"".join(t["data"].to_pylist()), np.int32) if t is not None else np.zeros(0, np.int32)

@@ -46,7 +46,7 @@ def found_groups(df, **kw):
 
 @pytest.mark.parametrize("k,percent,block", [(3, 90, 1024), (2, 60, 4)])
 def test_groups(edge, edge_rows, k, percent, block):
-    assert found_groups(edge, words=k, percent=percent, block=block) == brute_groups([(r[0], r[1]) for r in edge_rows], k, percent)
+    assert found_groups(edge, words=k, percent=percent, block=block, unit_bytes=1000 * block) == brute_groups([(r[0], r[1]) for r in edge_rows], k, percent)
 
 
 @pytest.mark.parametrize("percent", [20, 50, 80, 100])
