@@ -4,34 +4,52 @@ Texts are equal when they are identical without the characters
 [\\x20\\x09-\\x0D]. Of equal texts the row with the most code points in the
 original text stays, then the one with the smallest doc_id.
 
-The index has one entry for each different text. A directory of 2**g entries,
-addressed by the first g bits of a 64-bit hash, points to buckets; while a
-bucket holds more entries than its capacity, it is split by one more bit and
-the directory doubles where needed. Entries are aggregated before they move,
-so a text with any number of copies is one entry of its bucket. Each bucket is
-a folder of Parquet files in the shared folder, written by the task that owns
-its range of hashes. Entries of one hash are chained by their bytes; rows are
-then looked up by hash and bytes. A hash that a single row has needs no
-bytes, so such entries carry none.
+The index has one entry for each different text: its 64-bit hash, its SHA-256,
+the row that stays and the number of rows. A directory of 2**g slots, addressed
+by the first g bits of the hash, points to buckets; while a bucket holds more
+entries than its capacity, it is split by one more bit and the directory
+doubles where needed. Buckets are numbered in order of their hashes, and each
+task owns a range of them: it writes their entries, in order, to one file of
+the shared folder. Entries of one hash are a chain, with their bytes.
+
+Copies are compared byte by byte, once a task, before they move: rows of a hash
+that occurs again are grouped by hash and bytes where they lie, so a text with
+any number of copies is one row a task. A hash that a single row has needs no
+bytes. Rows are then looked up, without their texts: the directory names a
+row's bucket, in the bucket the hash names the chain, in the chain the SHA-256
+the entry. Entries that share hash and SHA-256 but not their bytes are looked
+up by their bytes. Buckets with many rows, as of a text that a third of all
+rows hold, are copied: a row asks the copy that its id names.
+
+The directory has 2**MOST_DEPTH slots at most; beyond 2**MOST_DEPTH times the
+capacity, buckets grow instead, in proportion to the number of texts: more work
+for each task, the same answers.
 
 Null counts as the empty text; empty texts are equal to each other. Rows that
 repeat a doc_id are rows of their own: each counts in group_size, and all of
-them are kept when that doc_id stays. Null doc_ids lose ties. An empty table
-gives an empty result. Other columns are not read.
+them with as many code points as the one that stays are kept when that doc_id
+stays. Null doc_ids lose ties. A very long text is one row in the JVM's memory.
+An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Entries in a bucket before it is split, and the most that the directory doubles: 65,536 rows of 16 bytes are broadcast at most.
-CAPACITY, MOST_DEPTH = 8192, 16
+#: Entries in a bucket before it is split, and the most that the directory doubles: 65,536 slots, a literal of the plan.
+CAPACITY, MOST_DEPTH = 256, 16
+#: Rows that one copy of a bucket answers, in capacities: copies add a quarter of the rows at most.
+ROWS_A_COPY = 4
 #: Cells of the filter that keeps rows without an equal hash from being shuffled with their text.
 CELLS = 1 << 18
 
+Slots = list[tuple[int, int, int]]
+
 
 def normalised(text: Column) -> Column:
     for c in (" ", "\n", "\t", "\r", "\x0b", "\x0c"):
@@ -39,77 +57,98 @@ def normalised(text: Column) -> Column:
     return text
 
 
-def directory(hashes: DataFrame, capacity: int = CAPACITY, most_depth: int = MOST_DEPTH) -> list[tuple[int, int, int]]:
-    """(entry, bucket, local depth) of each directory entry, for a column h of different hashes.
+def directory(hashes: DataFrame, capacity: int = CAPACITY, most_depth: int = MOST_DEPTH) -> Slots:
+    """(bucket, its local depth, its copies) of each slot, for rows (h, n): different hashes and how many rows have each.
 
-    One aggregation counts hashes by their first `most_depth` bits: 2**most_depth counts at most come to the driver.
+    One aggregation sums them by their first `most_depth` bits: 2**most_depth sums at most come to the driver.
     """
-    cells = hashes.groupBy(F.shiftrightunsigned("h", 64 - most_depth).cast("int").alias("cell")).count().collect()
-    counts = {c["cell"]: c["count"] for c in cells}
-    capacity = max(capacity, -(-sum(counts.values()) >> (most_depth - 2)))  # files stay few: a quarter of the deepest buckets
-    depth, buckets = 0, {(0, 0): counts}  # (prefix, local depth): counts of its cells
-    while full := [b for b, c in buckets.items() if sum(c.values()) > capacity and b[1] < most_depth and b[1] == depth]:
+    cells = hashes.groupBy(F.shiftrightunsigned("h", 64 - most_depth).cast("int").alias("cell")).agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()
+    held = {c["cell"]: (c["k"], c["n"]) for c in cells}
+    capacity = max(capacity, -(-sum(k for k, _ in held.values()) >> (most_depth - 1)))
+    depth, buckets = 0, {(0, 0): held}  # (prefix, local depth): its cells
+    while full := [b for b, c in buckets.items() if sum(k for k, _ in c.values()) > capacity and b[1] < most_depth and b[1] == depth]:
         depth += 1  # the directory doubles; only overfull buckets are split
         for prefix, local in full:
-            held = buckets.pop((prefix, local))
+            own = buckets.pop((prefix, local))
             for bit in (0, 1):
                 half = prefix * 2 + bit
-                buckets[half, local + 1] = {c: n for c, n in held.items() if c >> (most_depth - local - 1) == half}
-    entries = []
+                buckets[half, local + 1] = {c: n for c, n in own.items() if c >> (most_depth - local - 1) == half}
+    slots: dict[int, tuple[int, int, int]] = {}
     for number, (prefix, local) in enumerate(sorted(buckets, key=lambda b: (b[0] << (most_depth - b[1]), b[1]))):
-        first = prefix << (depth - local)
-        entries += [(e, number, local) for e in range(first, first + (1 << (depth - local)))]
-    return sorted(entries)
+        rows, first = sum(n for _, n in buckets[prefix, local].values()), prefix << (depth - local)
+        for slot in range(first, first + (1 << (depth - local))):
+            slots[slot] = (number, local, max(1, -(-rows // (ROWS_A_COPY * capacity))))
+    return [slots[i] for i in range(len(slots))]
+
 
+def _slot(slots: Slots) -> Column:
+    """The directory's slot for a column h, as a struct (bucket, copies)."""
+    depth = (len(slots) - 1).bit_length()
+    pages = F.from_json(F.lit(json.dumps([{"bucket": b, "copies": c} for b, _, c in slots])), "array<struct<bucket:int,copies:int>>")
+    return F.get(pages, F.shiftrightunsigned("h", 64 - depth).cast("int") if depth else F.lit(0))
 
-def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, hash_bits: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(singles, rows, index): rows whose hash no other row has, rows to look up (with their bytes), and the entries.
 
-    hash_bits under 64 makes hashes collide, for tests.
+def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, hash_bits: int = 64, digest_width: int = 64) -> tuple[DataFrame, DataFrame, DataFrame, Slots]:
+    """(keys, texts, index, slots): each row's id, code points, hash and digest; the same with bytes; the entries; the directory.
+
+    hash_bits and digest_width (hexadecimal digits) under 64 make hashes and digests collide, for tests.
     """
     spark = docs.sparkSession
-    body = normalised(F.col("text"))
     hashed = F.shiftleft(F.shiftrightunsigned(F.xxhash64("body"), 64 - hash_bits), 64 - hash_bits)
+    digest = F.substring("sha", 1, digest_width).alias("digest")
     texts = docs.select(docs[id_col].alias("doc_id"), common.whole_text(text_col).alias("text"))
-    texts = texts.select("doc_id", F.char_length("text").cast("long").alias("chars"), body.alias("body")).withColumn("h", hashed)
-    keys = common.stored(texts.select("doc_id", "chars", "h", F.sha2("body", 256).alias("text_sha256")), "exact-keys")
-    counted = keys.groupBy("h").count()
-    entries = directory(counted.select("h"), capacity)
-    depth = (len(entries) - 1).bit_length()
-    pages = F.broadcast(spark.createDataFrame(entries, "entry int, bucket int, depth int"))
-    again = counted.filter("count > 1").select("h")
+    texts = texts.select("doc_id", F.char_length("text").cast("long").alias("chars"), normalised(F.col("text")).alias("body")).withColumn("h", hashed)
+    keys = common.stored(texts.select("doc_id", "chars", "h", F.sha2("body", 256).alias("sha")), "exact-keys")
+    counted = keys.groupBy("h").agg(F.count("*").alias("n"))
+    slots = directory(counted, capacity)
+    again = counted.filter("n > 1").select("h")
     cell = F.pmod(F.col("h"), F.lit(CELLS))
     cells = F.broadcast(again.select(cell.alias("cell")).distinct())
-    rows = texts.join(cells, cell == F.col("cell"), "left_semi").join(again, "h", "left_semi")
-    singles = keys.join(again, "h", "left_anti")
+    copies = texts.join(cells, cell == F.col("cell"), "left_semi").join(again, "h", "left_semi")
     best = F.max_by(F.struct("doc_id", "chars"), F.struct("chars", -F.col("doc_id")))
-    made = rows.groupBy("h", "body").agg(best.alias("keep"), F.count("*").alias("group_size"))
-    made = made.unionByName(singles.select("h", F.lit(None).cast("string").alias("body"), F.struct("doc_id", "chars").alias("keep"), F.lit(1).cast("long").alias("group_size")))
-    at = F.shiftrightunsigned("h", 64 - depth).cast("int") if depth else F.lit(0)
+    made = copies.groupBy("h", "body").agg(best.alias("keep"), F.count("*").alias("group_size")).withColumn("sha", F.sha2("body", 256))
+    alone = keys.join(again, "h", "left_anti").select("h", F.lit(None).cast("string").alias("body"), F.struct("doc_id", "chars").alias("keep"), F.lit(1).cast("long").alias("group_size"), "sha")
+    entries = made.unionByName(alone).withColumn("bucket", _slot(slots)["bucket"])
     path = common.fresh_dir(spark, "exact-index")
-    paged = made.withColumn("entry", at).join(pages, "entry").drop("entry")
-    paged.repartition(max(1, len({b for _, b, _ in entries})), "bucket").write.partitionBy("bucket").parquet(path)
-    index = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in paged.schema if f.name != 'bucket')}, bucket int").parquet(path)
-    return singles, rows, index
+    entries = entries.select("bucket", "h", "sha", "body", "keep", "group_size", digest)
+    entries.repartitionByRange("bucket").sortWithinPartitions("bucket", "h", "sha", "body").write.parquet(path)
+    return keys.withColumn("digest", digest), texts, spark.read.schema(entries.schema).parquet(path), slots
 
 
 def chains(index: DataFrame) -> DataFrame:
-    """The entries that have bytes, each with its place in the chain of its hash."""
-    return index.filter(F.col("body").isNotNull()).withColumn("chain", F.row_number().over(Window.partitionBy("h").orderBy("body")))
+    """The entries that have bytes, each with its place in the chain of its bucket and hash."""
+    return index.filter(F.col("body").isNotNull()).withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "h").orderBy("sha", "body")))
+
+
+def look_up(keys: DataFrame, texts: DataFrame, index: DataFrame, slots: Slots) -> DataFrame:
+    """One row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
+    asked = keys.withColumn("slot", _slot(slots))
+    at = F.pmod(F.xxhash64("doc_id", "chars"), F.col("slot.copies")).cast("int")
+    asked = asked.select("doc_id", "chars", "h", "sha", "digest", F.col("slot.bucket").alias("bucket"), at.alias("copy"))
+    own = ["bucket", "h", "digest"]
+    twins = common.stored(index.groupBy(*own).count().filter("count > 1").select(*own), "exact-twins")
+    single = index.withColumn("copy", F.explode(F.sequence(F.lit(0), _slot(slots)["copies"] - 1)))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("chars") == F.col("keep.chars"))
+    out = ["doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", kept.alias("kept")]
+    if twins.isEmpty():
+        found = asked.join(single.select(*own, "copy", "keep", "group_size"), [*own, "copy"])
+        return found.select(*out, F.col("sha").alias("text_sha256"))
+    # texts whose bytes differ under one hash and digest: their rows ask with their bytes
+    plain = asked.join(twins, own, "left_anti").join(single.join(twins, own, "left_anti").select(*own, "copy", "keep", "group_size"), [*own, "copy"])
+    width = F.length(F.first("digest")).alias("width")
+    digits = index.agg(width).first()["width"]
+    wide = texts.withColumn("bucket", _slot(slots)["bucket"]).withColumn("sha", F.sha2("body", 256)).withColumn("digest", F.substring("sha", 1, digits))
+    told = wide.join(twins, own, "left_semi").drop("sha").join(index.join(twins, own, "left_semi"), [*own, "body"])
+    return plain.select(*out, F.col("sha").alias("text_sha256")).unionByName(told.select(*out, F.col("sha").alias("text_sha256")))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, hash_bits: int = 64) -> DataFrame:
-    """One row for each document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256, chain."""
-    singles, rows, index = build(docs, id_col, text_col, capacity, hash_bits)
-    found = rows.join(chains(index).select("h", "body", "keep", "group_size", "chain"), ["h", "body"])
-    kept = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("chars") == F.col("keep.chars"))
-    looked_up = found.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), F.sha2("body", 256).alias("text_sha256"), "chain")
-    alone = singles.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", F.lit(1).alias("chain"))
-    return alone.unionByName(looked_up)
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, hash_bits: int = 64, digest_width: int = 64) -> DataFrame:
+    """One row for each document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256."""
+    return look_up(*build(docs, id_col, text_col, capacity, hash_bits, digest_width))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(common.table(spark, sf_dir, "documents")).drop("chain")
+    return exact_groups(common.table(spark, sf_dir, "documents"))
 
 
 OP7_SQL = r"""

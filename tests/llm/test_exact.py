@@ -23,13 +23,13 @@ def test_sql(spark, sf_dir, name):
     assert sorted(map(str, df.select(rel.columns).toPandas().itertuples(index=False, name=None))) == sorted(map(str, rel.df().itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("bits", [64, 3])
-def test_exact_groups(edge, edge_rows, bits):
+@pytest.mark.parametrize("bits,digits", [(64, 64), (3, 64), (2, 1)])
+def test_exact_groups(edge, edge_rows, bits, digits):
     body = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
     groups = {}
     for r in edge_rows:
         groups.setdefault(body(r[1]), []).append(r)
-    got = exact_dedup.exact_groups(edge, capacity=4, hash_bits=bits).collect()
+    got = exact_dedup.exact_groups(edge, capacity=4, hash_bits=bits, digest_width=digits).collect()
     assert len(got) == len(edge_rows)
     for g in got:
         own = groups[next(body(r[1]) for r in edge_rows if r[0] == g.doc_id)]
@@ -38,13 +38,25 @@ def test_exact_groups(edge, edge_rows, bits):
 
 
 def test_directory_doubles(spark):
-    hashes = spark.range(2000).selectExpr("xxhash64(id) as h")
-    entries = exact_dedup.directory(hashes, capacity=1)
-    depth = (len(entries) - 1).bit_length()
-    assert [e for e, _, _ in entries] == list(range(1 << depth)) and depth > 3
-    for e, b, local in entries:  # a bucket's entries share its leading bits
-        assert {x >> (depth - local) for x, y, _ in entries if y == b} == {e >> (depth - local)}
-    assert exact_dedup.directory(spark.range(0).selectExpr("id as h")) == [(0, 0, 0)]
+    hashes = spark.range(2000).selectExpr("xxhash64(id) as h", "if(id = 7, 900, 1) as n")
+    slots = exact_dedup.directory(hashes, capacity=1)
+    depth = (len(slots) - 1).bit_length()
+    assert len(slots) == 1 << depth and depth > 3 and max(c for _, _, c in slots) >= 900 // 8
+    for i, (b, local, _) in enumerate(slots):  # a bucket's slots share its leading bits
+        assert {x >> (depth - local) for x, (y, _, _) in enumerate(slots) if y == b} == {i >> (depth - local)}
+    assert [b for b, _, _ in slots] == sorted(b for b, _, _ in slots)
+    assert exact_dedup.directory(spark.range(0).selectExpr("id as h", "id as n")) == [(0, 0, 1)]
+
+
+def test_rows_are_found_through_the_directory(edge, edge_rows):
+    """With two of the directory's pointers exchanged, the rows of their buckets are not found."""
+    keys, texts, index, slots = exact_dedup.build(edge, capacity=4)
+    assert exact_dedup.look_up(keys, texts, index, slots).count() == len(edge_rows)
+    a, z = slots[0], slots[-1]
+    wrong = [(z[0], *a[1:]) if s[0] == a[0] else (a[0], *z[1:]) if s[0] == z[0] else s for s in slots]
+    moved = {a[0], z[0]}
+    lost = index.filter(index["bucket"].isin(*moved)).agg({"group_size": "sum"}).first()[0]
+    assert lost and exact_dedup.look_up(keys, texts, index, wrong).count() == len(edge_rows) - lost
 
 
 @pytest.mark.parametrize("width,rows_in_range", [(32, 512), (1, 512), (32, 4)])
