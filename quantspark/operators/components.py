@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantspark.shared import stored
 
+from .nets import labels
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(id, component) of every node of an edge; a component's name is its least node.
@@ -29,8 +33,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
 
 def page_components(rows: DataFrame, pairs: DataFrame, key: str, name: str, page: list[str]) -> DataFrame:
-    """`rows` with `name`, the least key of their page that pairs (page, a, b) lead to; keys are unique within a page."""
-    node = lambda c: F.struct(*page, F.col(c).alias("key"))
-    found = connected_components(pairs.select(node("a").alias("a"), node("b").alias("b")), "a", "b")
-    found = found.select(*[F.col(f"id.{c}").alias(c) for c in page], F.col("id.key").alias(key), F.col("component.key").alias(name))
+    """`rows` with `name`, the least key of their page that pairs (page, a, b) lead to; keys are unique within a page.
+
+    A graph that lies inside one page is solved there: a page's pairs are one task's arrays.
+    """
+
+    def solve(t: pa.Table) -> pa.Table:
+        keys, back = np.unique(np.concatenate([t["a"].to_numpy(), t["b"].to_numpy()]), return_inverse=True)
+        least = labels(len(keys), back[: t.num_rows], back[t.num_rows :])
+        own = {c: pa.array([t[c][0].as_py()] * len(keys), t.schema.field(c).type) for c in page}
+        return pa.table({**own, "_key": pa.array(keys), name: pa.array(keys[least])})
+
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in page), "_key long", f"{name} long"])
+    pairs = pairs.select(*page, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    found = pairs.groupBy(*page).applyInArrow(solve, schema).withColumnRenamed("_key", key)
     return rows.join(found, [*page, key], "left").withColumn(name, F.coalesce(name, key))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,25 +21,33 @@ _LINE = "line_no long, text string, x0 double, y0 double, x1 double, y1 double"
 def text_lines(hits: DataFrame, height: float = 0.6, gap: float = 40.0) -> DataFrame:
     """(page, line_no, text, box): words of one height, each at most `gap` right of the one before, joined by spaces.
 
-    A word goes to the first line that takes it, in order of (y0, x0), so a page is one task's work; a page has at most
-    some thousands of words.
+    A word goes to the first line that takes it, in order of (y0, x0), so a page is one task's work; lines are kept by the
+    height of their last word, so a word sees those beside it alone.
     """
 
     def run(words: pd.DataFrame) -> pd.DataFrame:
-        lines: list[list] = []
-        for w in words.sort_values(["y0", "x0", "hit_seq"], kind="stable").itertuples():
-            middle, tall = (w.y0 + w.y1) / 2, w.y1 - w.y0
-            for line in lines:
-                end = line[-1]
-                level = abs(middle - (end.y0 + end.y1) / 2) < height * max(tall, end.y1 - end.y0)
-                if level and 0 <= w.x0 - end.x1 < gap:
-                    line.append(w)
-                    break
+        words = words.sort_values(["y0", "x0", "hit_seq"], kind="stable").reset_index(drop=True)
+        x0, x1 = words["x0"].to_numpy(), words["x1"].to_numpy()
+        tall, middle = (words["y1"] - words["y0"]).to_numpy(), ((words["y0"] + words["y1"]) / 2).to_numpy()
+        # lines by the band of their last word: words of one level are in one band or two that are next to each other
+        reach = max(height * float(tall.max()), 1e-9)
+        band = np.floor(middle / reach).astype(np.int64)
+        open_in: dict[int, set[int]] = {}
+        last: list[int] = []
+        line_of = np.empty(len(words), np.int64)
+        for i, b in enumerate(band.tolist()):
+            found = [(line, last[line]) for near in (b - 1, b, b + 1) for line in open_in.get(near, ())]
+            takes = [line for line, w in found if abs(middle[i] - middle[w]) < height * max(tall[i], tall[w]) and 0 <= x0[i] - x1[w] < gap]
+            line = min(takes, default=len(last))
+            if takes:
+                open_in[band[last[line]]].discard(line)
+                last[line] = i
             else:
-                lines.append([w])
-        page = words.iloc[0]
-        rows = [(page["doc_id"], page["page_no"], i, " ".join(w.text for w in ws), min(w.x0 for w in ws), min(w.y0 for w in ws), max(w.x1 for w in ws), max(w.y1 for w in ws)) for i, ws in enumerate(lines)]
-        return pd.DataFrame(rows, columns=[*PAGE, "line_no", "text", "x0", "y0", "x1", "y1"])
+                last.append(i)
+            open_in.setdefault(b, set()).add(line)
+            line_of[i] = line
+        out = words.assign(line_no=line_of).groupby("line_no", sort=True).agg(text=("text", " ".join), x0=("x0", "min"), y0=("y0", "min"), x1=("x1", "max"), y1=("y1", "max"))
+        return out.reset_index().assign(**{c: words[c].iloc[0] for c in PAGE})[[*PAGE, "line_no", "text", "x0", "y0", "x1", "y1"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in hits.schema}
     return hits.select(*PAGE, "hit_seq", "text", "x0", "y0", "x1", "y1").groupBy(*PAGE).applyInPandas(run, f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, {_LINE}")
@@ -81,6 +90,7 @@ def prefix_map(lines: DataFrame, cfg: Config) -> DataFrame:
 
 def expected_counts(lines: DataFrame, cfg: Config) -> DataFrame:
     """(page, code, expected): lines that begin with a code and say 'N st'; the last line of a code counts."""
+    # Fixed value: the pattern of a count.
     n = F.regexp_extract("text", r"(?i)\(?\s*(\d+)\s*st\s*\)?", 1)
     rows = lines.withColumns({"code": first_word("text"), "expected": F.nullif(n, F.lit("")).cast("long")})
     rows = rows.filter(C.is_code(F.col("code"), cfg.code_regex) & F.col("expected").isNotNull())

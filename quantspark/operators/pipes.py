@@ -139,7 +139,7 @@ def pipe_segments(segments: DataFrame, cfg: Config, zones: DataFrame | None = No
 
 def endpoint_pairs(segments: DataFrame, tol: float, by: tuple[str, ...] = ("layer",)) -> DataFrame:
     """(page, a, b), a < b: segments with ends at most tol apart."""
-    keys, size = [*PAGE, *by], max(tol, 0.5)
+    keys, size = [*PAGE, *by], max(2 * tol, 1.0)  # a reach of tol either way touches four cells at most
     ends = segments.select(*keys, "seg_seq", F.inline(F.array(F.struct(F.col("x1").alias("px"), F.col("y1").alias("py")), F.struct(F.col("x2").alias("px"), F.col("y2").alias("py")))))
     other = ends.select(*keys, F.col("seg_seq").alias("b"), F.col("px").alias("qx"), F.col("py").alias("qy"))
     other = over_box(other, F.col("qx") - tol, F.col("qy") - tol, F.col("qx") + tol, F.col("qy") + tol, size)
@@ -203,7 +203,8 @@ def free_ends(pieces: DataFrame, tol: float) -> DataFrame:
 
 
 def branch_pieces(pieces: DataFrame, cfg: Config, min_len: DataFrame) -> DataFrame:
-    """Pieces with branch_no and order: one page and layer's net is grouped, pruned and divided at its junctions in one task.
+    """Pieces with branch_no, order, and layer_seq and layer_piece, the first piece left of the layer: one page and layer's net is grouped,
+    pruned and divided at its junctions in one task.
 
     The walk depends on the order of pieces (seg_seq, piece_no). A layer of one page is some thousands of pieces; pages
     and layers are the parallel axis. min_len: (page, min_len).
@@ -221,30 +222,33 @@ def branch_pieces(pieces: DataFrame, cfg: Config, min_len: DataFrame) -> DataFra
                 rows += [(kept[p], no, k) for k, p in enumerate(r)]
                 no += 1
         at = pd.DataFrame(rows, columns=["_i", "branch_no", "place"]).astype("int64")
-        return pdf.loc[at["_i"]].reset_index(drop=True).assign(branch_no=at["branch_no"], place=at["place"])
+        out = pdf.loc[at["_i"]].reset_index(drop=True).assign(branch_no=at["branch_no"], place=at["place"])
+        first = pdf.loc[at["_i"].min() if len(at) else 0]
+        return out.assign(layer_seq=first["seg_seq"], layer_piece=first["piece_no"])
 
     rows = pieces.join(min_len, PAGE).withColumn("layer", F.coalesce("layer", F.lit("")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", branch_no long, place long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", branch_no long, place long, layer_seq long, layer_piece int"
     return rows.groupBy(*PAGE, "layer").applyInPandas(run, schema)
 
 
 def build_chains(segments: DataFrame, cfg: Config, scale: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(chains, chain_segments). chains: page, chain_id, layer, system, length_pt, box, n_segments, all axis-aligned or not.
 
-    Merged segments and branches are read by several joins each, so they are written to the shared folder once.
+    Segments, merged segments and branches are read by several plans each; the last two are written to the shared folder
+    once, and segments should be stored by the caller.
     """
     gaps = islands.dash_gap(segments) if cfg.dash_gap_pt is None else segments.select(*PAGE).distinct().withColumn("max_gap", F.lit(float(cfg.dash_gap_pt)))
-    systems = segments.groupBy(*PAGE, "layer").agg(F.max("system").alias("system"))
+    systems = stored(segments.groupBy(*PAGE, "layer").agg(F.max("system").alias("system")), "systems")
     merged = islands.merge_collinear(segments, gaps, crossing_gap=cfg.crossing_gap_pt, within_layer=cfg.merge_within_layer)
     pieces = cut_at_contacts(stored(merged, "merged"), cfg.chain_tol_pt)
-    least = segments.select(*PAGE).distinct().withColumn("min_len", F.lit(float(cfg.min_branch_pt)))
+    least = systems.select(*PAGE).distinct().withColumn("min_len", F.lit(float(cfg.min_branch_pt)))
     if cfg.min_run_m and scale is not None:
         least = least.join(scale.select(*PAGE, "pts_per_meter"), PAGE, "left").select(*PAGE, F.greatest("min_len", F.coalesce(F.col("pts_per_meter") * cfg.min_run_m, F.lit(0.0))).alias("min_len"))
     branches = stored(branch_pieces(pieces, cfg, least), "branches")
-    layer = Window.partitionBy(*PAGE, "layer")
-    branches = branches.withColumn("_layer_at", F.min(F.struct("seg_seq", "piece_no")).over(layer)).withColumn("_len", length())
+    branches = branches.withColumn("_len", length())
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    chains = branches.groupBy(*PAGE, "layer", "_layer_at", "branch_no").agg(
+    chains = branches.groupBy(*PAGE, "layer", "branch_no").agg(
+        F.first(F.struct("layer_seq", "layer_piece")).alias("_layer_at"),
         F.sum("_len").alias("length_pt"),
         F.count("*").alias("n_segments"),
         F.bool_and(G.is_axis_aligned(dx, dy)).alias("axis_aligned"),

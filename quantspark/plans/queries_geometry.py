@@ -12,6 +12,8 @@ from quantspark.operators import islands, linking, pipes, quantify
 from quantspark.operators.grid import PAGE, at_point, grid_join, over_box
 from quantspark.operators.nets import bridge_dashes
 
+from quantspark.shared import stored
+
 from . import views as V
 
 CFG = Config()
@@ -258,7 +260,7 @@ def branches(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c8_build_chains")
 def build_chains(spark: SparkSession, d: str) -> DataFrame:
-    chains, _ = pipes.build_chains(pipes.pipe_segments(V.segments(spark, d), CFG), CFG)
+    chains, _ = pipes.build_chains(stored(pipes.pipe_segments(V.segments(spark, d), CFG), "pipe-segments"), CFG)
     return chains.select("doc_id", "chain_id", "layer", "system", "n_segments", F.rint("length_pt").cast("long").alias("length"))
 
 
