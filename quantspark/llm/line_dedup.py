@@ -128,7 +128,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def question(unit: units.Unit) -> tuple[np.ndarray, list[np.ndarray]]:
         return _of_unit(unit, least_chars, key_bits)[1:3]
 
-    path, _ = units.ask(corpus, question, _told, [np.uint64, np.int64, np.uint32], "lines")
+    path = units.ask(corpus, question, _told, [np.uint64, np.int64, np.uint32], "lines")[0]
     bits = corpus.bits
 
     def unit(u: units.Unit):

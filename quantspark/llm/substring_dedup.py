@@ -124,9 +124,9 @@ class Repeats:
         for i, size in enumerate(self.sizes):
             last, held = i == len(self.sizes) - 1, dict(self.answers)
             if last:
-                path, yes = units.ask(corpus, lambda u, s=size: self._question(u, s)[1:3], _first_elsewhere, [np.uint64, np.int64], f"windows-{size}", held)
+                path, yes, _ = units.ask(corpus, lambda u, s=size: self._question(u, s)[1:3], _first_elsewhere, [np.uint64, np.int64], f"windows-{size}", held)
             else:
-                path, yes = units.ask(corpus, lambda u, s=size: (self._question(u, s)[1], []), _twice, [], f"windows-{size}", held, short=True)
+                path, yes, _ = units.ask(corpus, lambda u, s=size: (self._question(u, s)[1], []), _twice, [], f"windows-{size}", held, short=True)
             self.found.append(yes)
             if not yes:
                 break  # nothing is repeated at this length, so nothing is at twice that

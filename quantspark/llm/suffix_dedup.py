@@ -1,4 +1,4 @@
-"""Suffix-array dedup: repeated byte strings, found by induced suffix sorting of shards.
+"""Suffix-array dedup: repeated byte strings, found by external induced suffix sorting of shards.
 
 A byte that is covered by a string of `window` bytes goes if the same string
 also starts earlier: in a document with a smaller id, or earlier in the same
@@ -6,47 +6,51 @@ document. Overlaps count, matches never cross documents, and strings are
 judged on the input.
 
 1. Anchors. Of the 32-byte strings in a window the least by hash is its anchor;
-   equal windows have equal anchors at equal places. Anchors that occur once
-   can't lie in a repeated window, and are left alone from here on.
+   equal windows have equal anchors at equal places. Units of texts (see
+   `units`) ask which anchors occur twice; windows of others are no repeats.
 2. Contexts. The windows that share one occurrence of an anchor are one
-   stretch of text, its context. Equal contexts are aggregated where they lie:
-   each different one has its first occurrence, and all windows of the others
-   are repeats of it.
-3. Suffix arrays. Different contexts of one anchor share some windows. Those
-   contexts, one copy of each, are dealt to shards by anchor and sorted by
-   induction (see `induced`); neighbours in the suffix array that agree in
-   `window` bytes are one class, in which the earliest start is no repeat and
-   the others are. An anchor with more than HOT contexts is dealt by the bytes
-   on either side of it instead: two windows that are equal have one half of
-   their surroundings in common, so they still meet. Contexts that agree on
-   one side go to one shard, which grows with their number: many documents
-   that hold a passage and go on differently are sorted in one task, in
-   memory but for the slots. The sort's arrays go to disk when a shard is large.
-4. Documents look up their own contexts and drop what is repeated. Texts are
-   not shuffled.
-
-Hashes have 64 bits. Null and empty texts have no bytes. A text shorter than
-the window loses nothing. Rows that repeat a doc_id are taken as copies of one
-document: a string at the same start in two of them is no repeat of itself.
-A null doc_id counts as the greatest. Removal can cut a character; the bytes
-that are left are returned as bytes. An empty table gives an empty result.
-Other columns are not read.
+   stretch of text, its context. Units ask which of their contexts, by 128-bit
+   hashes, begin earlier elsewhere: of those all windows are repeats. The first
+   copy of each different context is written to a table of its own.
+3. Groups. Different contexts of one anchor share some windows, so contexts
+   meet by anchor. A group of more than `hot` contexts is split by where the
+   windows lie: those that begin at least k bytes before the anchor by these
+   bytes too, the others by the bytes behind it. Halving goes on while a group is
+   hot, down to one place, where the group is the copies of one window and is
+   settled like a context. So no shard grows with a passage's copies.
+4. Suffix arrays. Groups are dealt to shards. `induced` sorts a shard's
+   suffixes and gives each one's common prefix with the one before; suffixes
+   in a row that share `window` bytes are one class, in which the earliest start
+   is no repeat and the others are. The marks go back to the units.
+5. Units drop what is repeated. Texts are not shuffled, and a task reads what
+   belongs to its own units.
+
+Sums of bytes modulo 2**64 choose anchors and deal rows; 128-bit hashes, or
+bytes in suffix arrays, decide. Null and empty texts have no bytes. A text
+shorter than the window loses nothing. Rows that repeat a doc_id are taken as
+copies of one document: a string at the same start in two of them is no repeat
+of itself. A null doc_id counts as the greatest. Removal can cut a character;
+the bytes that are left are returned as bytes. A very long text is one unit;
+some 60 bytes for each of its bytes must fit a task. An empty table gives an
+empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, shards
+from . import common, units
 from .induced import suffix_array
-from .kernels import U64, chunks, every_hash, mix, prefix_hash, spans_hash, window_minima
+from .kernels import U64, chunks, every_hash, mix, prefix_hash, spans_hash, text_bytes, window_minima
 
-#: Bytes of an anchor; different contexts of an anchor before it is dealt by its sides; bytes of a shard.
-ANCHOR, HOT, SHARD_BYTES = 32, 2048, 2 << 20
-_LAST = 2**63 - 1
+#: Bytes of an anchor; different contexts of a group before it is split.
+ANCHOR, HOT = 32, 2048
 
 
 class _Contexts:
@@ -56,10 +60,9 @@ class _Contexts:
         self.raw, self.window, none = raw, window, np.zeros(0, np.int64)
         self.place = self.start = self.end = self.doc = none
         self.hash = np.zeros(0, U64)
-        self.sums = prefix_hash(raw)
         if len(raw) < window:
             return
-        h = every_hash(self.sums, ANCHOR)
+        h = every_hash(prefix_hash(raw), ANCHOR)
         least = window_minima(h, window - ANCHOR + 1)
         # windows of different documents are apart by those that would cross, so no run of equal anchors joins two
         new = np.zeros(len(least) + 1, bool)
@@ -78,205 +81,321 @@ class _Contexts:
         self.doc = np.searchsorted(off, self.start, "right") - 1
         self.hash = h[self.place]
 
-    def only(self, take: np.ndarray) -> _Contexts:
-        for c in ("start", "end", "place", "doc", "hash"):
-            setattr(self, c, getattr(self, c)[take])
-        return self
-
-    def keys(self) -> np.ndarray:
-        return mix(spans_hash(self.raw, self.start, self.end, self.sums) ^ self.hash) if len(self.start) else np.zeros(0, U64)
-
-
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False)
-
-
-def _anchors(rows: DataFrame, window: int, bits: int) -> DataFrame:
-    """(k): the leading bits of anchors that occur twice."""
-
-    def batch(b: pa.RecordBatch):
-        found = [_Contexts(raw, off, window).hash for _, _, raw, off in chunks(b.column(1))]
-        keys = np.sort(np.concatenate(found))
-        third = np.zeros(len(keys), bool)
-        third[2:] = keys[2:] == keys[:-2]
-        yield shards.pack(keys[~third], bits, short=True)
-
-    def count(t: pa.Table) -> pa.Table:
-        return pa.table({"k": pa.array(shards.repeated_short(t, bits)[0].view(np.int64))})
-
-    return common.by_batch(rows, batch, "part int, data binary").groupBy("part").applyInArrow(count, "k long")
-
-
-def _repeated(raw: np.ndarray, off: np.ndarray, window: int, anchors: tuple[str, int, int]) -> _Contexts:
-    path, shard_bits, bits = anchors
-    c = _Contexts(raw, off, window)
-    found, _ = shards.probe(path, shard_bits, c.hash & shards.short_mask(bits), {})
-    return c.only(found)
-
-
-def _first_of(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Positions of the first occurrence of each key."""
-    by = np.lexsort((start, doc, key))
-    return by[np.concatenate([[True], key[by][1:] != key[by][:-1]])] if len(by) else by
 
-
-def _contexts(rows: DataFrame, window: int, anchors: tuple[str, int, int], bits: int) -> DataFrame:
-    """(k, anchor, first_doc, first_start): the different contexts of repeated anchors."""
-
-    def batch(b: pa.RecordBatch):
-        ids, got = _ids(b.column(0)), []
-        for first, last, raw, off in chunks(b.column(1)):
-            c = _repeated(raw, off, window, anchors)
-            if len(c.hash):
-                got.append((c.keys(), c.hash, ids[first:last][c.doc], c.start - off[c.doc]))
-        if got:
-            key, anchor, doc, start = (np.concatenate(x) for x in zip(*got, strict=True))
-            at = _first_of(key, doc, start)
-            yield shards.pack(key[at], bits, anchor[at], doc[at], start[at])
-
-    def merge(t: pa.Table) -> pa.Table:
-        rows = shards.unpacked(t, 4)
-        rows = rows[_first_of(rows[:, 0], rows[:, 2], rows[:, 3])]
-        return pa.table({c: pa.array(rows[:, i].copy()) for i, c in enumerate(("k", "anchor", "first_doc", "first_start"))})
-
-    sent = common.by_batch(rows, batch, "part int, data binary")
-    return sent.groupBy("part").applyInArrow(merge, "k long, anchor long, first_doc long, first_start long")
-
-
-def _sent(rows: DataFrame, window: int, anchors: tuple[str, int, int], shared: tuple[str, int], n_shards: int) -> DataFrame:
-    """(shard, meta, data): the first copy of each context of an anchor that has several."""
-    side = (window - ANCHOR) // 2
-
-    def batch(b: pa.RecordBatch):
-        ids = _ids(b.column(0))
-        for first, last, raw, off in chunks(b.column(1)):
-            c = _repeated(raw, off, window, anchors)
-            key, doc, start = c.keys(), ids[first:last][c.doc], c.start - off[c.doc]
-            found, cols = shards.probe(*shared, key, {"first_doc": np.int64(-1), "first_start": np.int64(-1), "hot": np.int8(0)})
-            at = np.flatnonzero(found & (cols["first_doc"] == doc) & (cols["first_start"] == start))
-            hot = cols["hot"][at] == 1
-            group = [c.hash[at[~hot]]]
-            which = [at[~hot]]
-            for sign, salt in ((-1, 0xD1B54A32D192ED03), (1, 0xABC98388FB8FAC03)):
-                a = at[hot]
-                low = c.place[a] - side if sign < 0 else c.place[a] + ANCHOR
-                fits = (low >= c.start[a]) & (low + side <= c.end[a])
-                a, low = a[fits], low[fits]
-                group.append(mix(c.hash[a] ^ spans_hash(raw, low, low + side, c.sums) ^ U64(salt)))
-                which.append(a)
-            group, which = np.concatenate(group), np.concatenate(which)
-            shard = (mix(group) % U64(n_shards)).astype(np.int64)
-            data = raw.tobytes()
-            meta = np.stack([key[which].view(np.int64), doc[which], start[which], (c.end - c.start)[which]], 1)
-            for s in np.unique(shard).tolist():
-                own = np.flatnonzero(shard == s)
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([meta[own].tobytes()], pa.binary()), pa.array([b"".join([data[x:y] for x, y in zip(c.start[which[own]].tolist(), c.end[which[own]].tolist(), strict=True)])], pa.binary())], ["shard", "meta", "data"])
-
-    return common.by_batch(rows, batch, "shard int, meta binary, data binary")
-
-
-def repeated_starts(contexts: np.ndarray, sizes: np.ndarray, docs: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def _positions(unit: units.Unit, window: int) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """(bytes, offsets, the contexts' place, start, end, row and anchor) of a unit."""
+    raw, off = text_bytes(unit.texts)
+    got: dict[str, list[np.ndarray]] = {k: [np.zeros(0, np.int64)] for k in ("place", "start", "end", "doc")} | {"hash": [np.zeros(0, U64)]}
+    for first, _, part, at in chunks(unit.texts):
+        c = _Contexts(part, at, window)
+        for k in ("place", "start", "end"):
+            got[k].append(getattr(c, k) + off[first])
+        got["doc"].append(c.doc + first)
+        got["hash"].append(c.hash)
+    return raw, off, {k: np.concatenate(v) for k, v in got.items()}
+
+
+def _wide(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of stretches of bytes, as two words."""
+    data = raw.data
+    both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[a:z]) for a, z in zip(start.tolist(), end.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _asked_once(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, place of each hash's key): different hashes, twice those that occur again."""
+    keys, back, n = np.unique(hashes, return_inverse=True, return_counts=True)
+    times = np.minimum(n, 2)
+    return np.repeat(keys, times), (np.cumsum(times) - times)[back]
+
+
+def _twice(keys: np.ndarray, _: list[np.ndarray]) -> np.ndarray:
+    _, back, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return n[back] > 1
+
+
+def _firsts(key: np.ndarray, check: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of the first occurrence of each different (key, check), which of them each row belongs to)."""
+    by = np.lexsort((start, doc, check, key))
+    new = np.ones(len(by), bool)
+    new[1:] = (key[by][1:] != key[by][:-1]) | (check[by][1:] != check[by][:-1])
+    back = np.empty(len(by), np.int64)
+    back[by] = np.cumsum(new) - 1
+    return by[new], back
+
+
+def _first_here(keys: np.ndarray, values: list[np.ndarray]) -> np.ndarray:
+    """1: the unit's first occurrence is the first of all; 2: one before it is."""
+    check, doc, start = values
+    first, back = _firsts(keys, check, doc, start)
+    own = first[back]
+    return np.where((doc == doc[own]) & (start == start[own]), 1, 2)
+
+
+@dataclass
+class _Found:
+    """The first copies of a unit's contexts: where their bytes lie in raw, bytes before the anchor, its hash, and where they
+    start in the corpus."""
+
+    number: int
+    raw: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+    left: np.ndarray
+    anchor: np.ndarray
+    doc: np.ndarray
+    start: np.ndarray
+    answers: dict[str, pa.Table] = field(default_factory=dict)
+
+
+_COLUMNS = ["unit", "size", "left", "anchor", "doc", "start", "data"]
+
+
+def _of_row(row: pa.RecordBatch) -> _Found:
+    size, left, anchor, doc, start = (np.frombuffer(row.column(i)[0].as_py(), t) for i, t in enumerate((np.int64, np.int64, U64, np.int64, np.int64), 1))
+    raw = np.frombuffer(row.column(6)[0].as_py(), np.uint8)
+    return _Found(row.column(0)[0].as_py(), raw, np.cumsum(size) - size, size, left, anchor, doc, start)
+
+
+class _Plan:
+    """What units ask, in order; the answers that later steps need go along by name."""
+
+    def __init__(self, bits: int, window: int, hot: int):
+        self.bits, self.window, self.hot, self.span, self.levels = bits, window, hot, window - ANCHOR, 0
+
+    def anchors(self, unit: units.Unit) -> tuple[np.ndarray, list[np.ndarray]]:
+        return _asked_once(_positions(unit, self.window)[2]["hash"])[0], []
+
+    def repeated(self, unit: units.Unit) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """(bytes, offsets, the contexts of repeated anchors, with key, check, id and start in their document)."""
+        raw, off, c = _positions(unit, self.window)
+        keys, place = _asked_once(c["hash"])
+        take = units.told(unit, "anchors", keys, self.bits)[place] > 0
+        c = {k: v[take] for k, v in c.items()}
+        c["key"], c["check"] = _wide(raw, c["start"], c["end"])
+        c["id"], c["from"] = unit.ids[c["doc"]], c["start"] - off[c["doc"]]
+        return raw, off, c
+
+    def contexts(self, unit: units.Unit) -> tuple[np.ndarray, list[np.ndarray]]:
+        _, _, c = self.repeated(unit)
+        first, _ = _firsts(c["key"], c["check"], c["id"], c["from"])
+        return c["key"][first], [c["check"][first], c["id"][first], c["from"][first]]
+
+    def found(self, unit: units.Unit) -> tuple[_Found, np.ndarray, dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """(first copies, offsets, contexts, which contexts start earlier elsewhere, the first copy that others stand at)."""
+        raw, off, c = self.repeated(unit)
+        first, back = _firsts(c["key"], c["check"], c["id"], c["from"])
+        here = units.told(unit, "contexts", c["key"][first], self.bits) == 1
+        own = first[back]
+        again = ~here[back] | (c["id"] != c["id"][own]) | (c["from"] != c["from"][own])
+        copy = np.where(again, -1, (np.cumsum(here) - 1)[back])
+        f = first[here]
+        out = _Found(unit.number, raw, c["start"][f], (c["end"] - c["start"])[f], (c["place"] - c["start"])[f], c["hash"][f], c["id"][f], c["from"][f], unit.answers)
+        return out, off, c, again, copy
+
+    def _split(self, f: _Found, own: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(context, low, high) of the halves of groups that hold a window of the context."""
+        middle = (low + high) // 2
+        own, low, high = np.append(own, own), np.append(low, middle + 1), np.append(middle, high)
+        right = f.size[own] - f.left[own] - ANCHOR
+        some = (np.maximum(low, self.span - right) <= np.minimum(high, f.left[own])) & (low <= high)
+        return own[some], low[some], high[some]
+
+    def groups(self, f: _Found) -> tuple[list[tuple[np.ndarray, ...]], tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+        """Groups as (context, low, high): of windows that begin low to high bytes before the anchor. (of several contexts, hot
+        ones of one place; hot ones to be asked about next, and their keys)."""
+        sums = prefix_hash(f.raw)
+        own, low, high = np.arange(len(f.size)), np.zeros(len(f.size), np.int64), np.full(len(f.size), self.span)
+        settled, single = [], []
+        for level in range(self.levels + 1):
+            begin = f.at[own] + f.left[own]
+            before = spans_hash(f.raw, begin - low, begin, sums)
+            behind = spans_hash(f.raw, begin + ANCHOR, begin + ANCHOR + self.span - high, sums)
+            keys = mix(mix(mix(f.anchor[own] ^ U64(0xD1B54A32D192ED03)) ^ before) ^ behind ^ (low << 8 | high).astype(U64))
+            if level == self.levels:
+                return settled, single, (own, low, high), keys
+            different, back = np.unique(keys, return_inverse=True)
+            said = units.told(f, f"groups-{level}", different, self.bits)[back]
+            settled.append(tuple(x[said == 1] for x in (own, low, high, keys)))
+            one = (said == 2) & (low == high)
+            single.append(tuple(x[one] for x in (own, low)))
+            more = (said == 2) & ~one
+            own, low, high = self._split(f, own[more], low[more], high[more])
+
+    def sizes(self, f: _Found) -> tuple[np.ndarray, list[np.ndarray]]:
+        keys, n = np.unique(self.groups(f)[3], return_counts=True)
+        return keys, [n]
+
+    def stretches(self, f: _Found) -> tuple[np.ndarray, ...]:
+        """(context, bytes from its start, size, key) of the windows of each group of several contexts."""
+        settled = self.groups(f)[0]
+        own, low, high, keys = (np.concatenate([s[i] for s in settled]) if settled else np.zeros(0, np.int64) for i in range(4))
+        right = f.size[own] - f.left[own] - ANCHOR
+        most, least = np.minimum(high, f.left[own]), np.maximum(low, self.span - right)
+        return own, f.left[own] - most, self.window + most - least, keys
+
+    def windows(self, f: _Found) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(context, bytes from its start, key, check, first occurrences, back) of the windows of hot groups of one place."""
+        single = self.groups(f)[1]
+        own, low = (np.concatenate([s[i] for s in single]) if single else np.zeros(0, np.int64) for i in range(2))
+        ahead = f.left[own] - low
+        key, check = _wide(f.raw, f.at[own] + ahead, f.at[own] + ahead + self.window)
+        return own, ahead, key, check, *_firsts(key, check, f.doc[own], f.start[own] + ahead)
+
+    def asked_windows(self, f: _Found) -> tuple[np.ndarray, list[np.ndarray]]:
+        own, ahead, key, check, first, _ = self.windows(f)
+        return key[first], [check[first], f.doc[own][first], (f.start[own] + ahead)[first]]
+
+
+def _counted(hot: int):
+    def reply(keys: np.ndarray, values: list[np.ndarray]) -> np.ndarray:
+        _, back = np.unique(keys, return_inverse=True)
+        n = np.bincount(back, values[0])[back]
+        return np.where(n < 2, 0, np.where(n <= hot, 1, 2))
+
+    return reply
+
+
+def repeated_starts(contexts: np.ndarray, sizes: np.ndarray, docs: np.ndarray, starts: np.ndarray, window: int, in_memory: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(context, offset) of the windows that start earlier elsewhere. contexts: their bytes one after another; docs, starts:
     where each context lies in the corpus."""
     ends = np.cumsum(sizes + 1)
     text = np.ones(int(ends[-1]) + 1, np.int32)  # 1 ends a context
-    context = np.repeat(np.arange(len(sizes)), sizes)
-    at = np.arange(len(contexts)) + context
-    text[at] = contexts.astype(np.int32) + 2
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    text[np.arange(len(contexts)) + owner] = contexts.astype(np.int32) + 2
     text[-1] = 0
-    order = suffix_array(text, 258)
-    owner = np.append(np.repeat(np.arange(len(sizes)), sizes + 1), len(sizes))
-    room = np.append(ends, 0)[owner] - 1 - np.arange(len(text))
-    order = order[room[order] >= window]
-    if not len(order):
+    order, shared = suffix_array(text, 258, in_memory)
+    own = np.searchsorted(ends, order, "right")  # the last symbol has no owner
+    room = np.append(ends, 0)[own] - 1 - order
+    whole = np.flatnonzero(room >= window)
+    if not len(whole):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # agreement of neighbours in `window` bytes, eight at a time
-    same = np.ones(len(order) - 1, bool)
-    packed = np.zeros(len(text), U64)
-    for j in range(8):
-        packed[: len(text) - j] |= (text[j:].astype(U64) & U64(0xFF)) << U64(8 * j)
-    for j in [*range(0, window - 7, 8), window - 8]:
-        word = packed[order + j]
-        same &= word[1:] == word[:-1]
-    group = np.concatenate([[0], np.cumsum(~same)])
-    own = owner[order]
+    # what a suffix shares with the one before that has room: the least on the way
+    shared = np.minimum.reduceat(shared, np.append(0, whole[:-1] + 1))
+    order, own = order[whole].astype(np.int64), own[whole]
+    group = np.cumsum(shared < window)
     offset = order - (ends - sizes - 1)[own]
     doc, start = docs[own], starts[own] + offset
     by = np.lexsort((start, doc, group))
-    head = np.concatenate([[True], group[by][1:] != group[by][:-1]])
-    first = by[np.flatnonzero(head)][group]
+    head = np.append(True, group[by][1:] != group[by][:-1])
+    first = by[np.flatnonzero(head)][np.cumsum(np.append(False, group[1:] != group[:-1]))]
     later = (doc != doc[first]) | (start != start[first])
     return own[later], offset[later]
 
 
-def _marks(sent: DataFrame, window: int) -> DataFrame:
-    """(k, low, high): of a context's first occurrence the windows that are repeats, a bit for each start."""
+def _marks(found: units.Corpus, plan: _Plan, answers: dict[str, str], shard_bits: int, in_memory: int | None) -> DataFrame:
+    """(owner, unit, part, data): of the units' stretches the windows that are repeats, a bit for each start."""
+
+    def send(f: _Found):
+        own, ahead, size, key = plan.stretches(f)
+        shard = (key >> U64(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(key), np.int64)
+        meta = np.stack([np.full(len(own), f.number), np.arange(len(own)), f.doc[own], f.start[own] + ahead, size], 1)
+        begin, data = f.at[own] + ahead, f.raw.tobytes()
+        for s in np.unique(shard).tolist():
+            i = np.flatnonzero(shard == s)
+            held = b"".join([data[a:z] for a, z in zip(begin[i].tolist(), (begin + size)[i].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([meta[i].tobytes()], pa.binary()), pa.array([held], pa.binary())], ["shard", "meta", "data"])
+
+    window = plan.window
 
     def sort(t: pa.Table) -> pa.Table:
-        meta = np.frombuffer(b"".join(t["meta"].to_pylist()), np.int64).reshape(-1, 4)
+        meta = np.frombuffer(b"".join(t["meta"].to_pylist()), np.int64).reshape(-1, 5)
         raw = np.frombuffer(b"".join(t["data"].to_pylist()), np.uint8)
-        own, offset = repeated_starts(raw, meta[:, 3], meta[:, 1], meta[:, 2], window)
+        own, offset = repeated_starts(raw, meta[:, 4], meta[:, 2], meta[:, 3], window, in_memory)
         bits = np.zeros((len(meta), 2), U64)
         np.bitwise_or.at(bits, (own, offset >> 6), U64(1) << (offset & 63).astype(U64))
-        some = bits.any(1)
-        return pa.table({"k": pa.array(meta[some, 0].copy()), "low": pa.array(bits[some, 0].view(np.int64).copy()), "high": pa.array(bits[some, 1].view(np.int64).copy())})
+        some = np.flatnonzero(bits.any(1))
+        some = some[np.argsort(meta[some, 0], kind="stable")]
+        rows = np.stack([meta[some, 1].view(U64), bits[some, 0], bits[some, 1]], 1)
+        number, at = np.unique(meta[some, 0], return_index=True)
+        data = [x.tobytes() for x in np.split(rows, at[1:])] if len(at) else []
+        return pa.table({"owner": pa.array(number >> 32), "unit": pa.array(number), "part": pa.array(np.full(len(number), t["shard"][0].as_py(), np.int32)), "data": pa.array(data, pa.binary())})
 
-    return sent.groupBy("shard").applyInArrow(sort, "k long, low long, high long")
+    sent = units.each(found, send, "shard int, meta binary, data binary", answers)
+    return sent.groupBy("shard").applyInArrow(sort, "owner long, unit long, part int, data binary")
 
 
-def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
+def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100, hot: int = HOT, shard_bits: int | None = None, in_memory: int | None = None, unit_bytes: int = units.UNIT_BYTES) -> DataFrame:
     """(doc_id, kept, n_bytes, n_removed, spans): the bytes that are left, and the removed runs as [start, end) pairs.
 
-    window: 64 to 159 bytes, so that the starts of a context fit in 128 bits.
+    window: 64 to 159 bytes, so that the starts of a context fit in 128 bits. shard_bits: leading bits that name a shard, by
+    default one for each four parts of the corpus. in_memory: entries of the sort's arrays beyond which they are files.
     """
     if not 64 <= window <= 159:
         raise ValueError("window must be 64 to 159")
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    bits = shards.part_bits(rows)
-    found = common.stored(_anchors(rows, window, bits), "anchors")
-    anchors = (*shards.write(found, found.count(), "suffix-anchors"), bits)
-    contexts = common.stored(_contexts(rows, window, anchors, bits), "contexts")
-    every = shards.write(contexts.select("k", "first_doc", "first_start"), contexts.count(), "suffix-contexts")
-    several = contexts.groupBy("anchor").count().filter("count > 1").select("anchor", (F.col("count") > hot).cast("tinyint").alias("hot"))
-    shared = common.stored(contexts.join(several, "anchor").select("k", "first_doc", "first_start", "hot"), "contexts")
-    n = shared.count()
-    index = shards.write(shared, n, "suffix-shared")
-    n_shards = max(1, -(-n * (window + window // 2) // shard_bytes))
-    marks = common.stored(_marks(_sent(rows, window, anchors, index, n_shards), window), "marks")
-    marks = common.stored(marks.groupBy("k").agg(F.bit_or("low").alias("low"), F.bit_or("high").alias("high")), "marks")
-    marked = shards.write(marks, marks.count(), "suffix-marks")
-
-    def batch(b: pa.RecordBatch):
-        ids = _ids(b.column(0))
-        for first, last, raw, off in chunks(b.column(1)):
-            c = _repeated(raw, off, window, anchors)
-            key, doc, start = c.keys(), ids[first:last][c.doc], c.start - off[c.doc]
-            known, cols = shards.probe(*every, key, {"first_doc": np.int64(-1), "first_start": np.int64(-1)})
-            again = known & ((cols["first_doc"] != doc) | (cols["first_start"] != start))
-            at = np.flatnonzero(known & ~again)
-            hit, bits_of = shards.probe(*marked, key[at], {"low": np.int64(0), "high": np.int64(0)})
-            at = at[hit]
-            mask = np.stack([bits_of["low"][hit], bits_of["high"][hit]], 1).view(np.uint8)
-            which, ahead = np.nonzero(np.unpackbits(mask, axis=1, bitorder="little"))
-            begin = np.concatenate([c.start[again], c.start[at[which]] + ahead])
-            end = np.concatenate([c.end[again], c.start[at[which]] + ahead + window])
-            cover = np.bincount(begin, minlength=len(raw) + 1) - np.bincount(end, minlength=len(raw) + 1)
-            gone = np.cumsum(cover[:-1]) > 0
-            edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-            inside = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(raw))]
-            cut = inside[gone[inside] & gone[inside - 1]] if len(raw) else inside  # a run never crosses documents
-            begin = np.unique(np.concatenate([np.flatnonzero(edge > 0), cut]))
-            end = np.unique(np.concatenate([np.flatnonzero(edge < 0), cut]))
-            sums = np.concatenate([[0], np.cumsum(gone)])
-            removed = sums[off[1:]] - sums[off[:-1]]
-            left, data = raw[~gone].tobytes(), np.concatenate([[0], np.cumsum(~gone)])[off]
-            first_run = np.searchsorted(begin, off)
-            spans = np.stack([begin, end], 1)
-            kept = pa.array([left[x:y] for x, y in zip(data[:-1].tolist(), data[1:].tolist(), strict=True)], pa.binary())
-            runs = pa.array([(spans[first_run[i] : first_run[i + 1]] - off[i]).tolist() for i in range(last - first)], pa.list_(pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([b.column(0)[first:last], kept, pa.array(np.diff(off).astype(np.int64)), pa.array(removed.astype(np.int64)), runs], ["doc_id", "kept", "n_bytes", "n_removed", "spans"])
-
-    return common.by_batch(rows, batch, "doc_id long, kept binary, n_bytes long, n_removed long, spans array<array<bigint>>")
+    corpus = units.write(docs, id_col, text_col, unit_bytes=unit_bytes)
+    plan = _Plan(corpus.bits, window, hot)
+    answers = {"anchors": units.ask(corpus, plan.anchors, _twice, [], "suffix-anchors", short=True)[0]}
+    answers["contexts"] = units.ask(corpus, plan.contexts, _first_here, [np.uint64, np.int64, np.int64], "suffix-contexts", answers)[0]
+
+    def copies(unit: units.Unit):
+        f = plan.found(unit)[0]
+        if len(f.size):
+            data = f.raw.tobytes()
+            held = b"".join([data[a:z] for a, z in zip(f.at.tolist(), (f.at + f.size).tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array([f.number]), *(pa.array([x.tobytes()], pa.binary()) for x in (f.size, f.left, f.anchor, f.doc, f.start)), pa.array([held], pa.binary())], _COLUMNS)
+
+    rows = units.each(corpus, copies, ", ".join(["unit long", *(f"{c} binary" for c in _COLUMNS[1:])]), answers)
+    found = units.derived(corpus, rows, "suffix-copies", _COLUMNS, _of_row)
+    grouped: dict[str, str] = {}
+    while True:
+        path, _, many = units.ask(found, plan.sizes, _counted(hot), [np.uint32], "suffix-groups", grouped)
+        grouped = {**grouped, f"groups-{plan.levels}": path}
+        plan.levels += 1
+        if not many:
+            break
+    if plan.levels > 1:
+        grouped["windows"] = units.ask(found, plan.asked_windows, _first_here, [np.uint64, np.int64, np.int64], "suffix-windows", grouped)[0]
+    shard_bits = max(0, corpus.bits - 2) if shard_bits is None else shard_bits
+    answers |= grouped | {"marks": units.by_owner(corpus, _marks(found, plan, grouped, shard_bits, in_memory), "suffix-marks")}
+
+    def unit(u: units.Unit):
+        f, off, c, again, copy = plan.found(u)
+        begin, end = [c["start"][again]], [c["end"][again]]
+        own, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # repeated windows of first copies
+        marks = u.answers.get("marks")
+        if marks is not None and marks.num_rows:
+            held = np.frombuffer(b"".join(marks["data"].to_pylist()), U64).reshape(-1, 3)
+            which, ahead = np.nonzero(np.unpackbits(np.ascontiguousarray(held[:, 1:]).view(np.uint8), axis=1, bitorder="little"))
+            context, skip, _, _ = plan.stretches(f)
+            stretch = held[which, 0].astype(np.int64)
+            own.append(context[stretch])
+            at.append(skip[stretch] + ahead)
+        if plan.levels > 1:
+            context, ahead, key, _, first, back = plan.windows(f)
+            here = units.told(u, "windows", key[first], plan.bits) == 1
+            first = first[back]
+            later = ~here[back] | (f.doc[context] != f.doc[context[first]]) | (f.start[context] + ahead != f.start[context[first]] + ahead[first])
+            own.append(context[later])
+            at.append(ahead[later])
+        if len(f.size):
+            own, at = np.concatenate(own), np.concatenate(at)
+            holders = np.flatnonzero(copy >= 0)  # rows that repeat an id hold one copy each
+            holders = holders[np.argsort(copy[holders], kind="stable")]
+            a, z = np.searchsorted(copy[holders], own), np.searchsorted(copy[holders], own, "right")
+            n = z - a
+            each = holders[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            begin.append(c["start"][each] + np.repeat(at, n))
+            end.append(begin[-1] + window)
+        raw = f.raw
+        begin, end = np.concatenate(begin), np.concatenate(end)
+        cover = np.bincount(begin, minlength=len(raw) + 1) - np.bincount(end, minlength=len(raw) + 1)
+        gone = np.cumsum(cover[:-1]) > 0
+        edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+        inside = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(raw))]
+        cut = inside[gone[inside] & gone[inside - 1]] if len(raw) else inside  # a run never crosses documents
+        begin = np.unique(np.concatenate([np.flatnonzero(edge > 0), cut]))
+        end = np.unique(np.concatenate([np.flatnonzero(edge < 0), cut]))
+        sums = np.concatenate([[0], np.cumsum(gone)])
+        removed = sums[off[1:]] - sums[off[:-1]]
+        left, data = raw[~gone].tobytes(), np.concatenate([[0], np.cumsum(~gone)])[off]
+        first_run = np.searchsorted(begin, off)
+        spans = np.stack([begin, end], 1)
+        kept = pa.array([left[x:y] for x, y in zip(data[:-1].tolist(), data[1:].tolist(), strict=True)], pa.binary())
+        runs = pa.array([(spans[first_run[i] : first_run[i + 1]] - off[i]).tolist() for i in range(len(off) - 1)], pa.list_(pa.list_(pa.int64())))
+        yield pa.RecordBatch.from_arrays([pa.array(u.ids, mask=u.null), kept, pa.array(np.diff(off).astype(np.int64)), pa.array(removed.astype(np.int64)), runs], ["doc_id", "kept", "n_bytes", "n_removed", "spans"])
+
+    return units.each(corpus, unit, "doc_id long, kept binary, n_bytes long, n_removed long, spans array<array<bigint>>", answers)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

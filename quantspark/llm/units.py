@@ -50,6 +50,8 @@ class Corpus:
     path: str
     kind: str  # type of what is carried
     bits: int  # leading bits that name a part
+    columns: list[str] = field(default_factory=lambda: ["unit", "ids", "texts"])
+    make: Callable = field(default_factory=lambda: of_texts)
 
 
 def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None, unit_bytes: int = UNIT_BYTES) -> Corpus:
@@ -110,10 +112,10 @@ def _system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-def _read(path: str) -> Iterator[pa.RecordBatch]:
+def _read(path: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
     system, at = _system(path)
     with system.open_input_file(at) as f:
-        yield from pq.ParquetFile(f, pre_buffer=False).iter_batches(batch_size=1, columns=["unit", "ids", "texts"])
+        yield from pq.ParquetFile(f, pre_buffer=False).iter_batches(batch_size=1, columns=columns)
 
 
 def _answers(path: str, owner: int) -> pa.Table | None:
@@ -124,32 +126,41 @@ def _answers(path: str, owner: int) -> pa.Table | None:
     return ds.dataset(at, filesystem=system, format="parquet").to_table(columns=["unit", "part", "data"]).sort_by([("unit", "ascending"), ("part", "ascending")])
 
 
+def of_texts(row: pa.RecordBatch) -> Unit:
+    ids = row.column(1).flatten()
+    return Unit(row.column(0)[0].as_py(), ids.fill_null(LAST).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()), row.column(2).flatten())
+
+
 def each(corpus: Corpus, fn: Callable[[Unit], Iterator[pa.RecordBatch]], schema: str, answers: dict[str, str] | None = None) -> DataFrame:
     """The batches that fn gives for each unit. answers: by name, the folders of answers that it wants."""
-    answers = answers or {}
+    answers, columns, make = answers or {}, corpus.columns, corpus.make
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column(0).to_pylist():
                 held: dict[str, pa.Table | None] = {}
                 owner = -1
-                for row in _read(path):
-                    number = row.column(0)[0].as_py()
-                    if number >> 32 != owner:
-                        owner = number >> 32
+                for row in _read(path, columns):
+                    unit = make(row)
+                    if unit.number >> 32 != owner:
+                        owner = unit.number >> 32
                         held = {k: _answers(p, owner) for k, p in answers.items()}
-                    ids = row.column(1).flatten()
-                    unit = Unit(number, ids.fill_null(LAST).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()), row.column(2).flatten())
                     for k, t in held.items():
                         if t is not None:
-                            at = t["unit"].to_numpy()
-                            a, z = np.searchsorted(at, [number, number + 1])
+                            a, z = np.searchsorted(t["unit"].to_numpy(), [unit.number, unit.number + 1])
                             unit.answers[k] = t.slice(a, z - a)
                     yield from fn(unit)
 
     return _files(corpus.spark, corpus.path).select("path").mapInArrow(run, schema)
 
 
+def derived(corpus: Corpus, rows: DataFrame, name: str, columns: list[str], make: Callable) -> Corpus:
+    """A table of one row a unit (column unit first) as a corpus of its own, that can ask as well."""
+    path = common.fresh_dir(corpus.spark, name)
+    rows.write.parquet(path)
+    return Corpus(corpus.spark, path, corpus.kind, corpus.bits, columns, make)
+
+
 def dealt(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, edges): the order of keys by value, and where each part begins in it, and the end."""
     order = np.argsort(keys, kind="stable")
@@ -158,8 +169,8 @@ def dealt(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.append(np.searchsorted(keys[order], np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys))
 
 
-def ask(corpus: Corpus, asked: Callable[[Unit], tuple[np.ndarray, list[np.ndarray]]], reply: Callable[[np.ndarray, list[np.ndarray]], np.ndarray], kinds: list, name: str, answers: dict[str, str] | None = None, short: bool = False) -> tuple[str, int]:
-    """Writes the answers to a question; returns their folder and how many of them are not zero.
+def ask(corpus: Corpus, asked: Callable[[Unit], tuple[np.ndarray, list[np.ndarray]]], reply: Callable[[np.ndarray, list[np.ndarray]], np.ndarray], kinds: list, name: str, answers: dict[str, str] | None = None, short: bool = False) -> tuple[str, int, int]:
+    """Writes the answers to a question; returns their folder, how many of them are not zero, and how many over 1.
 
     asked: a unit's keys (uint64, any order, repeats allowed) and values beside them, of the kinds named. reply: all keys of a
     part with their values, in any order; one number from 0 to 255 for each. short: only 32 bits of a key beyond the part's
@@ -198,15 +209,21 @@ def ask(corpus: Corpus, asked: Callable[[Unit], tuple[np.ndarray, list[np.ndarra
         some = [(i, said[e - n : e]) for i, (n, e) in enumerate(zip(sizes, ends.tolist(), strict=True)) if said[e - n : e].any()]
         number = t["unit"].to_numpy()[[i for i, _ in some]] if some else np.zeros(0, np.int64)
         data = [b"\1" + x.tobytes() if x.max() > 1 else b"\0" + np.packbits(x).tobytes() for _, x in some]
-        yes = pa.array([int(np.count_nonzero(x)) for _, x in some], pa.int64())
-        return pa.table({"owner": pa.array(number >> 32), "unit": pa.array(number), "part": pa.array(np.full(len(some), part, np.int32)), "data": pa.array(data, pa.binary()), "yes": yes})
+        yes, many = (pa.array([int(np.count_nonzero(x > n)) for _, x in some], pa.int64()) for n in (0, 1))
+        return pa.table({"owner": pa.array(number >> 32), "unit": pa.array(number), "part": pa.array(np.full(len(some), part, np.int32)), "data": pa.array(data, pa.binary()), "yes": yes, "many": many})
 
     sent = each(corpus, send, "part int, unit long, data binary", answers)
-    told = sent.groupBy("part").applyInArrow(answer, "owner long, unit long, part int, data binary, yes long")
+    told = sent.groupBy("part").applyInArrow(answer, "owner long, unit long, part int, data binary, yes long, many long")
+    path = by_owner(corpus, told, name)
+    sums = corpus.spark.read.schema("yes long, many long").parquet(path).agg(F.coalesce(F.sum("yes"), F.lit(0)), F.coalesce(F.sum("many"), F.lit(0))).first()
+    return path, sums[0], sums[1]
+
+
+def by_owner(corpus: Corpus, rows: DataFrame, name: str) -> str:
+    """Writes rows (owner, unit, part, data) where the owner's units look for them; returns the folder."""
     path = common.fresh_dir(corpus.spark, name)
-    told.repartition("owner").write.partitionBy("owner").parquet(path)
-    yes = corpus.spark.read.schema("yes long").parquet(path).agg(F.coalesce(F.sum("yes"), F.lit(0))).first()[0]
-    return path, yes
+    rows.repartition("owner").write.partitionBy("owner").parquet(path)
+    return path
 
 
 def told(unit: Unit, name: str, keys: np.ndarray, bits: int) -> np.ndarray:
@@ -237,9 +254,7 @@ def give(corpus: Corpus, rows: DataFrame, name: str) -> str:
         return pa.table({"owner": pa.array([number >> 32], pa.int64()), "unit": pa.array([number], pa.int64()), "part": pa.array([0], pa.int32()), "data": pa.array([data], pa.binary())})
 
     packed = rows.select("unit", "no").groupBy("unit").applyInArrow(pack, "owner long, unit long, part int, data binary")
-    path = common.fresh_dir(corpus.spark, name)
-    packed.repartition("owner").write.partitionBy("owner").parquet(path)
-    return path
+    return by_owner(corpus, packed, name)
 
 
 def given(unit: Unit, name: str) -> np.ndarray:

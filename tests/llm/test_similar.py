@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantspark.llm import ngram_join, substring_dedup, suffix_dedup, units
-from quantspark.llm.induced import suffix_array
 from quantspark.llm.kernels import Words, grams, mix, window_minima
 
 LAST = 2**63 - 1
@@ -155,7 +154,7 @@ def test_units(edge, edge_rows):
         corpus.bits = 5
         assert sorted(map(str, units.carried(corpus).select("row.*").collect())) == sorted(map(str, edge.collect()))
         keys = lambda u: mix(u.ids.astype(np.uint64))
-        path, _ = units.ask(corpus, lambda u: (keys(u), [u.ids]), lambda k, v: v[0] % 7, [np.int64], "test")
+        path, *_ = units.ask(corpus, lambda u: (keys(u), [u.ids]), lambda k, v: v[0] % 7, [np.int64], "test")
         tell = lambda u: [pa.RecordBatch.from_arrays([pa.array(u.ids), pa.array(units.told(u, "q", keys(u), 5).astype(np.int64))], ["id", "n"])]  # noqa: B023, E731
         got = units.each(corpus, tell, "id long, n long", {"q": path}).collect()
         assert len(got) == len(edge_rows) and all(r.n == r.id % 7 for r in got)
@@ -179,11 +178,22 @@ def found_bytes(df, **kw):
     return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n, r.h) for r in d.select("doc_id", "n_bytes", "n_removed", F.size("spans").alias("n"), F.sha2("kept", 256).alias("h")).collect())
 
 
-@pytest.mark.parametrize("kw", [{}, {"hot": 1, "shard_bytes": 5000}, {"window": 64}])
+@pytest.mark.parametrize("kw", [{}, {"hot": 1, "shard_bits": 2, "unit_bytes": 4000}, {"hot": 3, "in_memory": 50}, {"window": 64, "unit_bytes": 2000}])
 def test_bytes(edge, edge_rows, kw):
+    """Groups split down to single places, shards of many times the entries held in memory, units of a few texts."""
     assert found_bytes(edge, **kw) == brute_bytes([(r[0], r[1]) for r in edge_rows], kw.get("window", 100))
 
 
+def test_hot_passage(spark):
+    """A passage that many documents hold, each going on differently: groups are split, none stays hot."""
+    r = np.random.default_rng(3)
+    prose = lambda n: " ".join(f"w{i}" for i in r.integers(0, 500, n))
+    passage = prose(30)
+    rows = [(i, f"{prose(12)} {passage if i % 3 else passage[: 66 + i % 40]} {prose(12)}") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found_bytes(df, hot=8, unit_bytes=3000) == brute_bytes(rows, 100)
+
+
 def test_short_texts_alone(spark):
     for texts in ([None], ["", ""], ["short", None, "", "short", "x" * 99]):
         rows = [(i, t) for i, t in enumerate(texts)]
@@ -192,15 +202,40 @@ def test_short_texts_alone(spark):
 
 
 def test_suffix_array(monkeypatch):
+    """Order and common prefixes against brute force, in memory and on disk, with small parts and blocks."""
     from quantspark.llm import induced
 
     r = np.random.default_rng(0)
-    cases = [np.append(r.integers(1, s + 1, n), 0) for n, s in ((1, 3), (9, 2), (60, 2), (500, 3), (3000, 400), (2000, 2))] + [np.append(np.ones(500, int), 0), np.append(np.tile([1, 2, 3], 200), 0)]
-    for disk in (False, True):
-        monkeypatch.setattr(induced, "IN_MEMORY", 10 if disk else 1 << 25)
+    cases = [np.append(r.integers(1, s + 1, n), 0) for n, s in ((1, 3), (9, 2), (60, 2), (500, 3), (900, 400), (900, 2))] + [np.append(np.ones(300, int), 0), np.append(np.tile([1, 2, 3], 100), 0)]
+    cases += [np.append(np.repeat(r.integers(1, 4, 60), r.integers(1, 9, 60)), 0), np.append(np.tile(r.integers(1, 5, 70), 8), 0)]
+    cases += [np.append(r.integers(1, s + 1, n), 0) for n, s in zip(r.integers(1, 80, 60), r.integers(1, 5, 60), strict=True)]
+    for held, part, block in ((1 << 22, 1 << 20, 1 << 16), (4, 7, 8)):
+        monkeypatch.setattr(induced, "_PART", part)
+        monkeypatch.setattr(induced, "BLOCK", block)
         for t in cases:
             want = sorted(range(len(t)), key=lambda i: t[i:].tolist())
-            assert suffix_array(t, int(t.max()) + 1).tolist() == want
+            agree = [0] + [next(k for k in range(len(t)) if t[a + k] != t[b + k]) for a, b in zip(want, want[1:], strict=False)]
+            order, shared = induced.suffix_array(t, int(t.max()) + 1, held)
+            assert order.tolist() == want and shared.tolist() == agree
+
+
+def test_shard_larger_than_memory(monkeypatch):
+    """A shard of some hundred times the entries that arrays may hold in memory is sorted in files."""
+    from quantspark.llm import induced
+
+    made = []
+    array = induced._Files.array
+
+    def counted(self, n, dtype, fill=None):
+        made.append(n > self.in_memory)
+        return array(self, n, dtype, fill)
+
+    monkeypatch.setattr(induced._Files, "array", counted)
+    r = np.random.default_rng(7)
+    t = np.append(np.tile(r.integers(1, 30, 2500), 8), 0)
+    order, shared = induced.suffix_array(t, 30, 200)
+    plain, same = induced.suffix_array(t, 30)
+    assert (order == plain).all() and (shared == same).all() and shared.max() == 2500 * 7 and sum(made) > 10
 
 
 def test_kernels():
