@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantspark.shared import stored
+from quantspark.shared import Scratch, stored
 
 from .nets import labels
 
@@ -16,20 +16,24 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """(id, component) of every node of an edge; a component's name is its least node.
 
     Labels spread to neighbours and then jump to their label's label, so rounds grow with the logarithm of a chain's
-    length. Each round is written to the shared folder; only the count of changed labels comes to the driver.
+    length. Each round is written to the shared folder; whether a label changed is all that comes to the driver, and only the
+    last round's table stays.
     """
     e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).filter("src <> dst")
-    both = stored(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
-    labels = stored(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("id"), F.least("src", "m").alias("component")), "labels")
-    while True:
-        near = both.join(labels, both["dst"] == labels["id"]).groupBy("src").agg(F.min("component").alias("m"))
-        spread = labels.join(near, labels["id"] == near["src"]).select("id", F.col("component").alias("was"), F.least("component", "m").alias("component"))
-        to = labels.select(F.col("id").alias("_id"), F.col("component").alias("_to"))
-        spread = spread.join(to, spread["component"] == to["_id"], "left").select("id", "was", F.least("component", F.coalesce("_to", "component")).alias("component"))
-        spread = stored(spread, "labels")
-        labels = spread.select("id", "component")
-        if spread.filter("was <> component").isEmpty():
-            return labels
+    with Scratch() as outer:
+        both = stored(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
+        labels = stored(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("id"), F.least("src", "m").alias("component")), "labels")
+        while True:
+            with Scratch() as round_:
+                near = both.join(labels, both["dst"] == labels["id"]).groupBy("src").agg(F.min("component").alias("m"))
+                spread = labels.join(near, labels["id"] == near["src"]).select("id", F.col("component").alias("was"), F.least("component", "m").alias("component"))
+                to = labels.select(F.col("id").alias("_id"), F.col("component").alias("_to"))
+                spread = spread.join(to, spread["component"] == to["_id"], "left").select("id", "was", F.least("component", F.coalesce("_to", "component")).alias("component"))
+                spread = round_.keep(stored(spread, "labels"))
+            labels = spread.select("id", "component")
+            if spread.filter("was <> component").isEmpty():
+                outer.keep(spread)
+                return labels
 
 
 def page_components(rows: DataFrame, pairs: DataFrame, key: str, name: str, page: list[str]) -> DataFrame:
