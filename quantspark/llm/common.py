@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspark.shared import fresh_dir, stored  # noqa: F401
+from quantspark.shared import Scratch, fresh_dir, stored  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,20 @@ def row_of(docs: DataFrame, *without: str) -> Column:
     return F.struct(*[docs[f"`{c}`"] for c in kept]) if kept else F.struct(F.lit(None).cast("int").alias("_"))
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+
+    def _trim(_: int) -> int:
+        return 0
+
+
+def tidy() -> None:
+    """Gives memory that is not in use back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch; empty batches are passed over."""
 
@@ -38,5 +53,7 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iter
                     yield out
                 else:
                     yield from out
+                del out, batch
+                tidy()
 
     return df.mapInArrow(run, schema)

@@ -25,7 +25,7 @@ _FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 LONG = 64
 _powers: dict[int, np.ndarray] = {}
 #: Bytes of text that a kernel handles at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -269,13 +269,21 @@ def _tasks(groups: DataFrame, percent: int, block: int) -> DataFrame:
 
 def _grouped(corpus: units.Corpus, words: int, percent: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(keys, nodes, named): each document's place and set key, the different sets, the component of those that link."""
-    counts = _counts(corpus, words)
-    for seed in range(8):
-        signed = common.stored(_signed(corpus, words, percent, seed, counts), "ngram-sets")
-        keys = signed.drop("sigs")
-        nodes = keys.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"), F.min(F.struct("unit", "no")).alias("at"))
-        if nodes.filter("low <> high").isEmpty():
-            break  # no two different sets have one key
+    with common.Scratch() as held:
+        counts = _counts(corpus, words)
+        for seed in range(8):
+            signed = common.stored(_signed(corpus, words, percent, seed, counts), "ngram-sets")
+            keys = signed.drop("sigs")
+            nodes = keys.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"), F.min(F.struct("unit", "no")).alias("at"))
+            if nodes.filter("low <> high").isEmpty():
+                break  # no two different sets have one key
+        held.keep(signed)
+        named = held.keep(common.stored(_linked(corpus, signed, nodes, words, percent, block, seed), "ngram-components"))
+    return keys, nodes, named
+
+
+def _linked(corpus: units.Corpus, signed: DataFrame, nodes: DataFrame, words: int, percent: int, block: int, seed: int) -> DataFrame:
+    """(node, component, rep) of the sets that link with another."""
     sigs = signed.select("node", F.explode("sigs").alias("sig"))
     star = sigs.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
     edges = sigs.join(star, "sig").filter("node <> least").select(F.col("least").alias("src"), F.col("node").alias("dst")).distinct()
@@ -284,8 +292,7 @@ def _grouped(corpus: units.Corpus, words: int, percent: int, block: int) -> tupl
     groups = common.stored(groups.select("node", "component", "n", level.alias("level"), "at"), "ngram-groups")
     tasks = common.stored(_tasks(groups, percent, block), "ngram-tasks")
     links = common.stored(_verified(corpus, groups, tasks, words, percent, seed), "ngram-links")
-    named = connected_components(links).withColumnRenamed("id", "node").join(nodes, "node").select("node", "component", "rep")
-    return keys, nodes, named
+    return connected_components(links).withColumnRenamed("id", "node").join(nodes, "node").select("node", "component", "rep")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = BLOCK, unit_bytes: int = units.UNIT_BYTES) -> DataFrame:
@@ -314,6 +321,8 @@ def _verified(corpus: units.Corpus, groups: DataFrame, tasks: DataFrame, words:
         data, side = t["tokens"], t["side"].to_numpy()[first]
         found = links_within(node, [np.frombuffer(data[i].as_py(), U64) for i in first.tolist()], side, percent)
         pairs = np.array(found, np.int64).reshape(-1, 2)
+        del data
+        common.tidy()
         return pa.table({"src": pa.array(pairs[:, 0].copy()), "dst": pa.array(pairs[:, 1].copy())})
 
     sets = units.each(corpus, send, "node long, tokens binary", {"wanted": wanted})
@@ -331,7 +340,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "node", "unit", "no")
     first = keys.filter("n > 0").groupBy("node").agg(F.min(order).alias("first"))  # before rows move, one for each set
     best = first.join(named.select("node", "component"), "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first"))
-    kept = best.select("first.unit", "first.no").unionByName(keys.filter("n = 0").select("unit", "no"))
+    kept = common.stored(best.select("first.unit", "first.no").unionByName(keys.filter("n = 0").select("unit", "no")), "ngram-kept")
     return units.carried(corpus).join(kept, ["unit", "no"], "left_semi").select("row.*")
 
 

@@ -308,6 +308,8 @@ def _marks(found: units.Corpus, plan: _Plan, answers: dict[str, str], shard_bits
         some = some[np.argsort(meta[some, 0], kind="stable")]
         rows = np.stack([meta[some, 1].view(U64), bits[some, 0], bits[some, 1]], 1)
         number, at = np.unique(meta[some, 0], return_index=True)
+        del raw, own, offset
+        common.tidy()
         data = [x.tobytes() for x in np.split(rows, at[1:])] if len(at) else []
         return pa.table({"owner": pa.array(number >> 32), "unit": pa.array(number), "part": pa.array(np.full(len(number), t["shard"][0].as_py(), np.int32)), "data": pa.array(data, pa.binary())})
 
@@ -336,18 +338,19 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array([f.number]), *(pa.array([x.tobytes()], pa.binary()) for x in (f.size, f.left, f.anchor, f.doc, f.start)), pa.array([held], pa.binary())], _COLUMNS)
 
     rows = units.each(corpus, copies, ", ".join(["unit long", *(f"{c} binary" for c in _COLUMNS[1:])]), answers)
-    found = units.derived(corpus, rows, "suffix-copies", _COLUMNS, _of_row)
     grouped: dict[str, str] = {}
-    while True:
-        path, _, many = units.ask(found, plan.sizes, _counted(hot), [np.uint32], "suffix-groups", grouped)
-        grouped = {**grouped, f"groups-{plan.levels}": path}
-        plan.levels += 1
-        if not many:
-            break
-    if plan.levels > 1:
-        grouped["windows"] = units.ask(found, plan.asked_windows, _first_here, [np.uint64, np.int64, np.int64], "suffix-windows", grouped)[0]
-    shard_bits = max(0, corpus.bits - 2) if shard_bits is None else shard_bits
-    answers |= grouped | {"marks": units.by_owner(corpus, _marks(found, plan, grouped, shard_bits, in_memory), "suffix-marks")}
+    with common.Scratch() as held:
+        found = units.derived(corpus, rows, "suffix-copies", _COLUMNS, _of_row)
+        while True:
+            path, _, many = units.ask(found, plan.sizes, _counted(hot), [np.uint32], "suffix-groups", grouped)
+            grouped = {**grouped, f"groups-{plan.levels}": held.keep(path)}
+            plan.levels += 1
+            if not many:
+                break
+        if plan.levels > 1:
+            grouped["windows"] = held.keep(units.ask(found, plan.asked_windows, _first_here, [np.uint64, np.int64, np.int64], "suffix-windows", grouped)[0])
+        shard_bits = max(0, corpus.bits - 2) if shard_bits is None else shard_bits
+        answers |= grouped | {"marks": held.keep(units.by_owner(corpus, _marks(found, plan, grouped, shard_bits, in_memory), "suffix-marks"))}
 
     def unit(u: units.Unit):
         f, off, c, again, copy = plan.found(u)

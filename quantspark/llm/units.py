@@ -88,6 +88,8 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
                     waiting, size = [], 0
         if waiting:
             yield unit(waiting)
+        waiting.clear()
+        common.tidy()
 
     kind = rows.schema["row"].dataType.simpleString()
     path = common.fresh_dir(docs.sparkSession, "units")
@@ -150,6 +152,8 @@ def each(corpus: Corpus, fn: Callable[[Unit], Iterator[pa.RecordBatch]], schema:
                             a, z = np.searchsorted(t["unit"].to_numpy(), [unit.number, unit.number + 1])
                             unit.answers[k] = t.slice(a, z - a)
                     yield from fn(unit)
+                    del unit, row
+                    common.tidy()
 
     return _files(corpus.spark, corpus.path).select("path").mapInArrow(run, schema)
 
@@ -209,6 +213,9 @@ def ask(corpus: Corpus, asked: Callable[[Unit], tuple[np.ndarray, list[np.ndarra
         some = [(i, said[e - n : e]) for i, (n, e) in enumerate(zip(sizes, ends.tolist(), strict=True)) if said[e - n : e].any()]
         number = t["unit"].to_numpy()[[i for i, _ in some]] if some else np.zeros(0, np.int64)
         data = [b"\1" + x.tobytes() if x.max() > 1 else b"\0" + np.packbits(x).tobytes() for _, x in some]
+        if len(keys) > 1 << 16:
+            del columns, keys, blocks
+            common.tidy()
         yes, many = (pa.array([int(np.count_nonzero(x > n)) for _, x in some], pa.int64()) for n in (0, 1))
         return pa.table({"owner": pa.array(number >> 32), "unit": pa.array(number), "part": pa.array(np.full(len(some), part, np.int32)), "data": pa.array(data, pa.binary()), "yes": yes, "many": many})
 
