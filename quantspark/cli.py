@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from quantspark import config as C
 from quantspark.operators import pipes, validate
 from quantspark.plans import engine
-from quantspark.sinks import bills
-from quantspark.sources import cadpdf, facit
+from quantspark.sinks import bills, overlay
+from quantspark.sources import cadpdf, facit, ocr
 
 
 def parser() -> argparse.ArgumentParser:
@@ -71,7 +71,8 @@ def confirmed(result: engine.Result, doc_id: str, args: argparse.Namespace) -> b
     return input("Stämmer skalan? [J/n] ").strip().lower() in ("", "j", "ja", "y", "yes")
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, ocr_engine: ocr.Engine | None = None) -> int:
+    """ocr_engine: reads pages that have few native words (--force-ocr: any page); there is none by default."""
     args = parser().parse_args(argv)
     try:
         cfg = make_config(args)
@@ -86,7 +87,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.calibrate:
             print(bills.histogram_text(pipes.expand_items(items, cfg), doc, args.page))
             return 0
-        result = engine.run(pages, hits, items, cfg)
+        result = engine.run(pages, hits, items, cfg, engine=ocr_engine)
         if not confirmed(result, doc, args):
             return 2
         os.makedirs(args.output_dir, exist_ok=True)
@@ -94,6 +95,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         out = {"_quantities.csv": bills.bill_csv(result.rows, doc, args.page), "_quantities.xlsx": bills.bill_workbook(result, doc, args.page), "_codes.csv": bills.code_csv(result.codes, doc, args.page)}
         out["_report.txt"] = bills.run_report(result, doc, args.page, args.input_pdf).encode()
         out["_summary.json"] = bills.summary_json(result, doc, args.page).encode()
+        drawn, at = bills.of_page(bills.annotations(result, cfg.label_min_m), doc, args.page).orderBy("kind", "key", "geometry").collect(), pages.first()
+        lines = [tuple(r) for r in bills.of_page(result.segments, doc, args.page).select("x1", "y1", "x2", "y2").collect()]
+        out["_annotations.pdf"] = overlay.overlay_pdf(drawn, at.width, at.height, cfg.layers)
+        out["_preview.png"] = overlay.preview_png(lines, drawn, at.width, at.height, cfg.layers)
         if args.facit:
             with open(args.facit, "rb") as f:
                 rows = facit.read_xlsx(spark, f.read()) if args.facit.lower().endswith((".xlsx", ".xlsm")) else facit.read_csv(spark, os.path.abspath(args.facit))

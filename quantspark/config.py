@@ -21,6 +21,8 @@ Zone = tuple[float, float, float, float]
 class Config:
     """Defaults are in points (1/72 inch) unless the name says otherwise."""
 
+    # Names and defaults are those of the configuration files that users have.
+
     dpi: int = 450
     tile_px: int = 1200
     tile_overlap: float = 0.25
@@ -119,14 +121,19 @@ def anchored(pattern: str) -> str:
 
 
 def parse_vertical_heights(spec: str) -> dict[str, float]:
-    """'System=2.8,Other=3,1'-like lists; the last '=' of a part divides it."""
-    out = {}
-    for part in filter(None, (p.strip() for p in spec.split(","))):
-        name, sep, value = part.rpartition("=")
-        if not sep:
+    """'System=2.8,Other=3,1'-like lists: a part without '=' is the decimals of the value before it."""
+    parts = [p.strip() for p in spec.split(",")]
+    out: dict[str, str] = {}
+    name = ""
+    for part in filter(None, parts):
+        if "=" in part:
+            name, value = (x.strip() for x in part.rsplit("=", 1))
+            out[name] = value
+        elif name and part.isdigit() and "." not in out[name]:
+            out[name] += "." + part
+        else:
             raise ValueError(f"Ogiltig vertikalhöjd: {part!r}")
-        out[name.strip()] = float(value)
-    return out
+    return {k: float(v) for k, v in out.items()}
 
 
 def parse_zone(spec: str) -> Zone:

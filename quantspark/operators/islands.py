@@ -76,6 +76,13 @@ def merge_collinear(segments: DataFrame, gaps: DataFrame, tol: float = 1.0, cros
     return still.select(*merged.columns).unionByName(merged)
 
 
+def crossings(gaps: DataFrame, segments: DataFrame, size: float = 40.0) -> DataFrame:
+    """Rows of gaps (page, _ax, _ay, _bx, _by) with each segment that runs across them; once for each cell that both touch."""
+    mine = over_box(gaps, F.least("_ax", "_bx"), F.least("_ay", "_by"), F.greatest("_ax", "_bx"), F.greatest("_ay", "_by"), size)
+    theirs = over_box(segments, F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"), size)
+    return mine.join(theirs, [*PAGE, "_cx", "_cy"]).filter(G.segments_cross((F.col("_ax"), F.col("_ay"), F.col("_bx"), F.col("_by")), tuple(_ends())))
+
+
 def _crossed(runs: DataFrame, segments: DataFrame, crossing_gap: float, by: list[str], size: float = 40.0) -> DataFrame:
     """Adds _crossed: a segment of another line runs across the gap before the row."""
     base = G.projection(F.col("_d._dx"), F.col("_d._dy"), F.col("x1"), F.col("y1"))
@@ -83,12 +90,9 @@ def _crossed(runs: DataFrame, segments: DataFrame, crossing_gap: float, by: list
     (ax, ay), (bx, by_) = at(F.col("_reach")), at(F.col("_t0"))
     gap = F.col("_t0") - F.col("_reach")
     gaps = runs.filter((gap > F.col("max_gap")) & (gap <= crossing_gap)).select(*PAGE, F.col("seg_seq").alias("_gap"), F.col("_kx").alias("_gx"), F.col("_ky").alias("_gy"), F.col("_line").alias("_gl"), ax.alias("_ax"), ay.alias("_ay"), bx.alias("_bx"), by_.alias("_by"))
-    mine = over_box(gaps, F.least("_ax", "_bx"), F.least("_ay", "_by"), F.greatest("_ax", "_bx"), F.greatest("_ay", "_by"), size)
     others = runs.select(*PAGE, "x1", "y1", "x2", "y2", "_kx", "_ky", "_line")
-    others = over_box(others, F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"), size)
-    cut = G.segments_cross((F.col("_ax"), F.col("_ay"), F.col("_bx"), F.col("_by")), tuple(_ends()))
     own = (F.col("_kx") == F.col("_gx")) & (F.col("_ky") == F.col("_gy")) & (F.col("_line") == F.col("_gl"))
-    found = mine.join(others, [*PAGE, "_cx", "_cy"]).filter(cut & ~own).select(*PAGE, F.col("_gap").alias("seg_seq")).distinct()
+    found = crossings(gaps, others, size).filter(~own).select(*PAGE, F.col("_gap").alias("seg_seq")).distinct()
     return runs.join(found.withColumn("_crossed", F.lit(True)), [*PAGE, "seg_seq"], "left").withColumn("_crossed", F.coalesce("_crossed", F.lit(False)))
 
 

@@ -231,6 +231,26 @@ def branch_pieces(pieces: DataFrame, cfg: Config, min_len: DataFrame) -> DataFra
     return rows.groupBy(*PAGE, "layer").applyInPandas(run, schema)
 
 
+def roll_up(pieces: DataFrame, *keys: str | Column, also: list[Column] = ()) -> DataFrame:
+    """Runs out of their pieces, by keys: length_pt, n_segments, whether all lie along an axis, the box, and what else is asked."""
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    return pieces.groupBy(*keys).agg(
+        F.sum(length()).alias("length_pt"),
+        F.count("*").alias("n_segments"),
+        F.bool_and(G.is_axis_aligned(dx, dy)).alias("axis_aligned"),
+        F.min(F.least("x1", "x2")).alias("x0"),
+        F.min(F.least("y1", "y2")).alias("y0"),
+        F.max(F.greatest("x1", "x2")).alias("x1"),
+        F.max(F.greatest("y1", "y2")).alias("y1"),
+        *also,
+    )
+
+
+def long_enough(runs: DataFrame) -> DataFrame:
+    """Runs of at least their page's min_len; shorter ones are scraps of symbols."""
+    return runs.filter("length_pt >= min_len")
+
+
 def build_chains(segments: DataFrame, cfg: Config, scale: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(chains, chain_segments). chains: page, chain_id, layer, system, length_pt, box, n_segments, all axis-aligned or not.
 
@@ -245,20 +265,8 @@ def build_chains(segments: DataFrame, cfg: Config, scale: DataFrame | None = Non
     if cfg.min_run_m and scale is not None:
         least = least.join(scale.select(*PAGE, "pts_per_meter"), PAGE, "left").select(*PAGE, F.greatest("min_len", F.coalesce(F.col("pts_per_meter") * cfg.min_run_m, F.lit(0.0))).alias("min_len"))
     branches = stored(branch_pieces(pieces, cfg, least), "branches")
-    branches = branches.withColumn("_len", length())
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    chains = branches.groupBy(*PAGE, "layer", "branch_no").agg(
-        F.first(F.struct("layer_seq", "layer_piece")).alias("_layer_at"),
-        F.sum("_len").alias("length_pt"),
-        F.count("*").alias("n_segments"),
-        F.bool_and(G.is_axis_aligned(dx, dy)).alias("axis_aligned"),
-        F.min(F.least("x1", "x2")).alias("x0"),
-        F.min(F.least("y1", "y2")).alias("y0"),
-        F.max(F.greatest("x1", "x2")).alias("x1"),
-        F.max(F.greatest("y1", "y2")).alias("y1"),
-        F.first("min_len").alias("min_len"),
-    )
-    chains = chains.filter("length_pt >= min_len")
+    layer_at = F.first(F.struct("layer_seq", "layer_piece")).alias("_layer_at")
+    chains = long_enough(roll_up(branches, *PAGE, "layer", "branch_no", also=[layer_at, F.first("min_len").alias("min_len")]))
     w = Window.partitionBy(*PAGE).orderBy("_layer_at", "branch_no")
     chains = chains.withColumn("chain_id", (F.row_number().over(w) - 1).cast("long"))
     numbered = branches.join(chains.select(*PAGE, "layer", "branch_no", "chain_id"), [*PAGE, "layer", "branch_no"])

@@ -13,6 +13,7 @@ from quantspark.operators import legend, linking, pipes, quantify
 from quantspark.operators import scale as S
 from quantspark.operators.grid import PAGE
 from quantspark.shared import stored
+from quantspark.sources import ocr
 
 
 @dataclass(frozen=True)
@@ -31,13 +32,22 @@ class Result:
     warnings: DataFrame
     statistics: DataFrame
     layers: DataFrame
+    text_layer: DataFrame
 
 
-def run(pages: DataFrame, hits: DataFrame, items: DataFrame, cfg: Config = Config(), zones: DataFrame | None = None) -> Result:  # noqa: B008
-    """pages(doc_id, page_no, width, height), hits and items as `sources.schema` says.
+def run(pages: DataFrame, hits: DataFrame, items: DataFrame, cfg: Config = Config(), zones: DataFrame | None = None, engine: ocr.Engine | None = None) -> Result:  # noqa: B008
+    """pages(doc_id, page_no, width, height), hits and items as `sources.schema` says. engine: reads the text of pages that
+    have few native words; without one such pages have their native words alone, and forcing OCR is an error.
 
     Tables that several plans read (hits, segments, chains, codes) are written once to the shared folder.
     """
+    if cfg.force_ocr and not cfg.skip_ocr and engine is None:
+        raise ValueError("OCR is forced, but no OCR engine is given")
+    decision = stored(C.text_decision(pages, hits, cfg), "text-layer")
+    if engine is not None:
+        hits = C.collect_hits(hits, ocr.words(pages, items, decision, cfg, engine), decision, cfg)
+    paths = items.groupBy(*PAGE).agg(F.countDistinct("path_id").alias("vector_paths"))
+    text_layer = decision.join(paths, PAGE, "left").na.fill(0, ["vector_paths"]).withColumn("ocr_used", F.col("use_ocr") & F.lit(engine is not None))
     hits = stored(_numbered(hits.withColumn("text", F.trim("text")).filter("text <> ''"), "hit_seq"), "hits")
     lines = stored(legend.text_lines(hits), "lines")
     legend_zones = legend.legend_zone(lines, pages)
@@ -58,7 +68,7 @@ def run(pages: DataFrame, hits: DataFrame, items: DataFrame, cfg: Config = Confi
     summary = quantify.summarise(rows)
     checks = quantify.count_checks(summary, legend.expected_counts(lines, cfg))
     layers = quantify.top_layers(pipes.layer_lengths(segments))
-    return Result(segments, codes, chains, parts, leaders, scale, rows, summary, checks, quantify.warnings(scale, rows, checks), quantify.run_summary(codes, chains, rows), layers)
+    return Result(segments, codes, chains, parts, leaders, scale, rows, summary, checks, quantify.warnings(scale, rows, checks), quantify.run_summary(codes, chains, rows), layers, text_layer)
 
 
 def _numbered(df: DataFrame, column: str) -> DataFrame:

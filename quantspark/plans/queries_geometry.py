@@ -193,11 +193,9 @@ SELECT h.doc_id, h.seg_seq, count(*) AS n FROM h JOIN u ON h.doc_id = u.doc_id A
 GROUP BY ALL""")
 def crossings(spark: SparkSession, d: str) -> DataFrame:
     s = V.segments(spark, d)
-    left = over_box(s.filter("x2 > x1"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), 40.0)
-    up = s.filter("y2 > y1").select(*PAGE, F.col("seg_seq").alias("other"), *[F.col(c).alias(f"u{c}") for c in pipes.ENDS])
-    up = over_box(up, F.col("ux1"), F.col("uy1"), F.col("ux2"), F.col("uy2"), 40.0)
-    a, b = tuple(F.col(c) for c in pipes.ENDS), tuple(F.col(f"u{c}") for c in pipes.ENDS)
-    cut = left.join(up, [*PAGE, "_cx", "_cy"]).filter(G.segments_cross(a, b)).select("doc_id", "seg_seq", "other").distinct()
+    gaps = s.filter("x2 > x1").select(*PAGE, "seg_seq", *[F.col(c).alias(g) for c, g in zip(pipes.ENDS, ("_ax", "_ay", "_bx", "_by"), strict=True)])
+    up = s.filter("y2 > y1").select(*PAGE, F.col("seg_seq").alias("other"), *pipes.ENDS)
+    cut = islands.crossings(gaps, up).select("doc_id", "seg_seq", "other").distinct()
     return cut.groupBy("doc_id", "seg_seq").agg(F.count("*").alias("n"))
 
 
@@ -284,9 +282,9 @@ def layer_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("a12_top_layers", f"""
-SELECT * FROM (SELECT doc_id, layer, length, row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, layer) AS rank FROM (SELECT doc_id, layer, CAST(sum({_LEN}) AS BIGINT) AS length FROM v_seg GROUP BY ALL)) WHERE rank <= 2""")
+SELECT * FROM (SELECT doc_id, layer, length, row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, layer) AS rank FROM (SELECT doc_id, layer, CAST(sum({_LEN}) AS BIGINT) AS length FROM v_seg GROUP BY ALL)) WHERE rank <= 60""")
 def top_layers(spark: SparkSession, d: str) -> DataFrame:
-    return quantify.top_layers(pipes.layer_lengths(V.segments(spark, d)), 2).select("doc_id", "layer", _LONG("length"), F.col("rank").cast("long").alias("rank"))
+    return quantify.top_layers(pipes.layer_lengths(V.segments(spark, d))).select("doc_id", "layer", _LONG("length"), F.col("rank").cast("long").alias("rank"))
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
@@ -315,8 +313,8 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f8_short_runs", "SELECT doc_id, count(*) AS kept, CAST(sum((x2-x1)+(y2-y1)) AS BIGINT) AS length FROM v_seg WHERE (x2-x1)+(y2-y1) >= 3 GROUP BY doc_id")
 def short_runs(spark: SparkSession, d: str) -> DataFrame:
-    s = V.segments(spark, d).filter(pipes.length() >= CFG.min_branch_pt)
-    return s.groupBy("doc_id").agg(F.count("*").alias("kept"), F.rint(F.sum(pipes.length())).cast("long").alias("length"))
+    runs = V.segments(spark, d).withColumns({"length_pt": pipes.length(), "min_len": F.lit(CFG.min_branch_pt)})
+    return pipes.long_enough(runs).groupBy("doc_id").agg(F.count("*").alias("kept"), F.rint(F.sum(pipes.length())).cast("long").alias("length"))
 
 
 @query("j10_symbols_to_ends", """
@@ -366,7 +364,9 @@ def meters(spark: SparkSession, d: str) -> DataFrame:
 @query("a8_chain_rollup", f"""
 SELECT doc_id, layer AS chain, count(*) AS n, CAST(sum({_LEN}) AS BIGINT) AS length, CAST(min(x1) AS BIGINT) AS x0, CAST(max(x2) AS BIGINT) AS x1, arg_min(width, seg_seq) AS first_width FROM v_seg GROUP BY ALL""")
 def chain_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return V.segments(spark, d).groupBy("doc_id", F.col("layer").alias("chain")).agg(F.count("*").alias("n"), F.rint(F.sum(pipes.length())).cast("long").alias("length"), F.min("x1").cast("long").alias("x0"), F.max("x2").cast("long").alias("x1"), F.min_by("width", "seg_seq").alias("first_width"))
+    s = V.segments(spark, d)
+    rolled = pipes.roll_up(s, "doc_id", F.col("layer").alias("chain"), also=[F.min_by("width", "seg_seq").alias("first_width")])
+    return rolled.select("doc_id", "chain", F.col("n_segments").alias("n"), F.rint("length_pt").cast("long").alias("length"), F.col("x0").cast("long").alias("x0"), F.col("x1").cast("long").alias("x1"), "first_width")
 
 
 @query("grid_join_points_in_boxes", """

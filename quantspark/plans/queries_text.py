@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantspark.config import CODE_REGEX, DIM_PART_REGEX, DIM_REGEX, Config
@@ -259,7 +259,11 @@ def system_lookup(spark: SparkSession, d: str) -> DataFrame:
     return legend.systems_of_codes(h, none, CFG).drop("page_no")
 
 
-@query("j13_proximity")
+@query("j13_proximity", f"""
+, h AS (SELECT doc_id, hit_seq, (x0+x1)/2 AS px, (y0+y1)/2 AS py FROM v_hit WHERE regexp_matches(text, '{CODE_REGEX}')),
+m AS (SELECT h.doc_id, h.hit_seq, s.seg_seq, power(px - greatest(x1, least(x2, px)), 2) + power(py - greatest(y1, least(y2, py)), 2) AS d2
+      FROM h JOIN v_seg s ON h.doc_id = s.doc_id AND s.width = 2.0 AND px BETWEEN x1 - 25 AND x2 + 25 AND py BETWEEN y1 - 25 AND y2 + 25)
+SELECT doc_id, hit_seq, seg_seq AS chain_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, hit_seq ORDER BY d2, seg_seq DESC) AS rn FROM m WHERE d2 <= 625) WHERE rn = 1""")
 def proximity(spark: SparkSession, d: str) -> DataFrame:
     """Codes without a leader linked to the nearest run within reach."""
     h = K.candidates(V.hits(spark, d), CFG)
@@ -279,7 +283,7 @@ def leader_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("q1_quantity_rows", """
-, s AS (SELECT doc_id, seg_seq, CAST((x2-x1)+(y2-y1) AS BIGINT) AS len, CASE WHEN layer LIKE '%V-53%' THEN 'Spill- dagvatten' WHEN layer LIKE '%V-52%' THEN 'Rör tappvatten' END AS system FROM v_seg WHERE doc_id < 25)
+, s AS (SELECT doc_id, seg_seq, CAST((x2-x1)+(y2-y1) AS BIGINT) AS len, CASE WHEN layer LIKE '%V-53%' THEN 'Spill- dagvatten' WHEN layer LIKE '%V-52%' THEN 'Rör tappvatten' END AS system FROM v_seg)
 SELECT doc_id, coalesce(system || ' (omärkt sträcka)', 'OKOPPLAD RÖRSTRÄCKA') AS subject, coalesce(system, 'Okänt system') AS lager, len AS langd, NULL::BIGINT AS antal, 'chain:' || CAST(seg_seq AS VARCHAR) AS kalla, 'okopplad rörsträcka; skala okänd (längd i pt)' AS kommentar FROM s
 UNION ALL SELECT doc_id, text, CASE WHEN starts_with(text, 'KV') OR starts_with(text, '2xVV') THEN 'Rör tappvatten' WHEN starts_with(text, 'S') THEN 'Spill- dagvatten' ELSE 'Okänt system' END, NULL, 1, 'code:' || CAST(hit_seq AS VARCHAR) || '@(' || CAST(CAST((x0+x1)/2 AS BIGINT) AS VARCHAR) || ',' || CAST(CAST((y0+y1)/2 AS BIGINT) AS VARCHAR) || ')',
  'punktkomponent (ej kopplad till rörsträcka)' || CASE WHEN conf < 60 THEN '; låg OCR-confidence (' || CAST(CAST(conf AS BIGINT) AS VARCHAR) || ')' ELSE '' END FROM v_hit WHERE regexp_matches(text, '^(KV|S3|B)')""")
@@ -289,7 +293,7 @@ def quantity_rows(spark: SparkSession, d: str) -> DataFrame:
 
     h = V.hits(spark, d).filter(F.col("text").rlike("^(KV|S3|B)"))
     codes = h.select(*PAGE, F.col("hit_seq").alias("code_id"), F.col("text").alias("raw_text"), F.col("text").alias("base_code"), F.col("text").alias("full_code"), F.lit(1).alias("count"), "x0", "y0", "x1", "y1", "conf", F.lit(False).alias("excluded"), F.lit(None).cast("long").alias("linked_chain"))
-    s = V.segments(spark, d).filter("doc_id < 25")
+    s = V.segments(spark, d)
     chains = s.select(*PAGE, F.col("seg_seq").alias("chain_id"), L.system_for_layer(F.col("layer")).alias("system"), (F.col("x2") - F.col("x1") + F.col("y2") - F.col("y1")).alias("length_pt"), F.lit(0).cast("long").alias("vertical_symbols"), F.lit(False).alias("excluded"), F.lit(None).cast("string").alias("excluded_reason"), F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("x2").alias("x1"), F.col("y2").alias("y1"))
     scale = V.pages(s).select(*PAGE, F.lit(None).cast("double").alias("pts_per_meter"))
     none = codes.select(*PAGE, F.lit("x").alias("prefix"), F.lit("y").alias("system")).limit(0)
@@ -335,15 +339,15 @@ def reconcile(spark: SparkSession, d: str) -> DataFrame:
 
 @query("except_ours_only", "SELECT DISTINCT subject FROM v_ours EXCEPT SELECT DISTINCT \"Subject\" FROM v_facit")
 def ours_only(spark: SparkSession, d: str) -> DataFrame:
-    return V.view(spark, d, V.OURS).select("subject").exceptAll(V.view(spark, d, V.FACIT).select(F.col("Subject").alias("subject"))).distinct().join(V.view(spark, d, V.FACIT).select(F.col("Subject").alias("subject")), "subject", "left_anti")
+    return V.view(spark, d, V.OURS).select("subject").subtract(V.view(spark, d, V.FACIT).select(F.col("Subject").alias("subject")))
 
 
 @query("j18_count_checks", _SUMMARY + """
-, e AS (SELECT DISTINCT doc_id, subject AS code, CAST(length(subject) AS BIGINT) AS expected FROM v_ours WHERE subject <> 'Brand#3')
+, e AS (SELECT DISTINCT doc_id, subject AS code, CAST(length(subject) AS BIGINT) AS expected FROM v_ours)
 SELECT e.doc_id, e.code, e.expected, CAST(coalesce(sum(n_punkter) FILTER (WHERE subject = code OR starts_with(subject, code || '-') OR starts_with(code, subject)), 0) AS BIGINT) AS found FROM e LEFT JOIN a ON e.doc_id = a.doc_id GROUP BY ALL""")
 def count_checks(spark: SparkSession, d: str) -> DataFrame:
     ours = V.view(spark, d, V.OURS)
-    e = ours.filter("subject <> 'Brand#3'").select(*PAGE, F.col("subject").alias("code"), F.length("subject").cast("long").alias("expected")).distinct()
+    e = ours.select(*PAGE, F.col("subject").alias("code"), F.length("subject").cast("long").alias("expected")).distinct()
     return quantify.count_checks(quantify.summarise(ours), e).select("doc_id", "code", "expected", "found")
 
 
@@ -359,18 +363,22 @@ def quantity_parts(spark: SparkSession, d: str) -> DataFrame:
     return V.view(spark, d, V.OURS).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("s12_result_rows", "SELECT subject, lager, no, CAST(langd_m AS BIGINT) AS langd, antal FROM v_ours WHERE doc_id = 3 ORDER BY no, subject, lager, langd_m, antal LIMIT 3000")
+@query("s12_result_rows", """
+SELECT doc_id, subject, lager, no, CAST(langd_m AS BIGINT) AS langd, antal FROM (
+ SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no, subject, lager, langd_m, antal, color, kommentar) AS rn FROM v_ours) WHERE rn <= 3000""")
 def result_rows(spark: SparkSession, d: str) -> DataFrame:
-    r = V.view(spark, d, V.OURS).filter("doc_id = 3").orderBy("no", "subject", "lager", F.col("langd_m").asc_nulls_last(), F.col("antal").asc_nulls_last()).limit(3000)
-    return r.select("subject", "lager", "no", F.rint("langd_m").cast("long").alias("langd"), "antal")
+    """The first rows of each drawing's bill, as many as a result page shows."""
+    w = Window.partitionBy("doc_id").orderBy("no", "subject", "lager", F.col("langd_m").asc_nulls_last(), F.col("antal").asc_nulls_last(), "color", "kommentar")
+    r = V.view(spark, d, V.OURS).withColumn("rn", F.row_number().over(w)).filter("rn <= 3000")
+    return r.select("doc_id", "subject", "lager", "no", F.rint("langd_m").cast("long").alias("langd"), "antal")
 
 
 @query("j14_primary_code", """
-, c AS (SELECT doc_id, hit_seq AS code_id, text, hit_seq % 3 AS linked_chain, (x0+x1)/2 AS mx, (y0+y1)/2 AS my FROM v_hit WHERE hit_seq % 5 = 0),
+, c AS (SELECT doc_id, hit_seq AS code_id, text, hit_seq % 3 AS linked_chain, (x0+x1)/2 AS mx, (y0+y1)/2 AS my FROM v_hit),
 k AS (SELECT doc_id, linked_chain, code_id, text, power(greatest(100 - mx, 0, mx - 160), 2) + power(greatest(100 - my, 0, my - 130), 2) AS d2 FROM c)
 SELECT doc_id, linked_chain AS chain_id, text AS full_code FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, linked_chain ORDER BY d2, code_id) AS rn FROM k) WHERE rn = 1""")
 def primary_code(spark: SparkSession, d: str) -> DataFrame:
-    h = V.hits(spark, d).filter("hit_seq % 5 = 0")
+    h = V.hits(spark, d)
     codes = h.select(*PAGE, F.col("hit_seq").alias("code_id"), F.col("text").alias("raw_text"), F.col("text").alias("base_code"), F.col("text").alias("full_code"), F.lit(1).alias("count"), "x0", "y0", "x1", "y1", "conf", (F.col("hit_seq") % 3).alias("linked_chain"))
     chains = V.pages(h).withColumn("chain_id", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)]))).select(*PAGE, "chain_id", F.lit(100.0).alias("x0"), F.lit(100.0).alias("y0"), F.lit(160.0).alias("x1"), F.lit(130.0).alias("y1"))
     return quantify.primary_codes(chains, codes).select("doc_id", "chain_id", "full_code")

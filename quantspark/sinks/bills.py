@@ -148,7 +148,9 @@ def run_report(result, doc_id, page_no: int = 0, source: str = "") -> str:
     chains, codes = page(result.chains), page(result.codes)
     out_of = lambda df: df.filter("excluded").count()
     checks = [r.message for r in page(result.checks).orderBy("code").collect()]
-    lines = ["KÖRNINGSRAPPORT – mängder ur VVS/VA-ritning", "=" * 60, f"Indata: {source or doc_id}", "", "-- Skala --", f"Metod: {s.method}   Skaltext: {s.scale_text or '-'}"]
+    text = page(result.text_layer).first()
+    # Fixed texts: the report's headings and sentences, which readers compare between runs.
+    lines = ["KÖRNINGSRAPPORT – mängder ur VVS/VA-ritning", "=" * 60, f"Indata: {source or doc_id}", "", "-- Textlager --", f"Ord i textlagret: {text.native_words}   Vektorbanor: {text.vector_paths}", "OCR: " + ("ja" if text.ocr_used else "behövs, men ingen OCR-motor finns" if text.use_ocr else "nej"), "", "-- Skala --", f"Metod: {s.method}   Skaltext: {s.scale_text or '-'}"]
     lines += ["Punkter per meter: " + (f"{s.pts_per_meter:.4f}" if s.pts_per_meter else "OKÄND"), "", "-- Rördetektering --"]
     lines += [f"Rörsträckor: {n.n_chains} ({out_of(chains)} exkluderade som ram/rutnät)", f"  varav kopplade till kod: {n.n_chains_linked}", f"  varav OKOPPLADE (verifiera manuellt): {n.n_chains - n.n_chains_linked}", "", "-- Koder --"]
     lines += [f"Godkända koder: {n.n_codes} ({out_of(codes)} exkluderade via zoner)", f"  varav kopplade till rör: {n.n_codes_linked}", "", "-- Mängdförteckning --", f"Rader totalt: {n.n_rows}", f"Unika koder: {n.n_unique_codes}", ""]

@@ -3,8 +3,7 @@
 One input partition a file. Reads uncompressed and Flate streams: paths (m l c v y re h), pens (w), stroke colours
 (RG G K), transforms (q Q cm), optional-content layers (BDC /OC ... EMC), text (BT Tf Td TD Tm T* Tj TJ ' "). Text boxes
 use an average glyph width, as fonts are not rendered. Encrypted files and object streams raise an error: what can't be
-read is never passed over silently. Recognising text that is drawn as lines needs an OCR engine, which `ocr_words` takes
-as a function.
+read is never passed over silently. Text that is drawn as lines needs an OCR engine: see `ocr`.
 """
 
 from __future__ import annotations
@@ -263,23 +262,6 @@ def read(spark, files: list[str], table: str):
     return spark.read.format("cadpdf").option("table", table).option("files", "\n".join(files)).load()
 
 
-def ocr_words(page_images, recognise: Callable | None):
-    """Words that an OCR function reads from images of pages; without one, an error that says so."""
-    if recognise is None:
-        raise RuntimeError("no OCR engine is installed: pass a function (image bytes) -> [(text, x0, y0, x1, y1, conf)]")
-
-    def run(batches):
-        import pandas as pd
-
-        for b in batches:
-            rows = []
-            for r in b.itertuples():
-                rows += [(r.doc_id, r.page_no, i, t, x0, y0, x1, y1, c, "ocr", r.psm) for i, (t, x0, y0, x1, y1, c) in enumerate(recognise(r.image))]
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in schema.HITS.split(", ")])
-
-    return page_images.mapInPandas(run, schema.HITS)
-
-
 def tiles(pages, tile_px: int, overlap: float):
     """(page, tx, ty) of overlapping tiles of pages (px_width, px_height): even steps, the last flush with the edge."""
     from pyspark.sql import functions as F

@@ -201,8 +201,6 @@ def test_whole_page(spark, tmp_path):
 def test_pdf_refuses_what_it_cannot_read():
     with pytest.raises(ValueError):
         cadpdf.read_pdf(b"%PDF-1.4 1 0 obj << /Encrypt 2 0 R >> endobj")
-    with pytest.raises(RuntimeError):
-        cadpdf.ocr_words(None, None)
 
 
 def test_vertical_rows(spark):
