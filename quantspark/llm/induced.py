@@ -24,7 +24,8 @@ values of the recursion are carried back through the substrings' lengths.
 As every symbol's count is known, a symbol's tuples have a fixed range of slots.
 Slots are popped in blocks: a block ends before the first slot that one of its
 own tuples is pushed to, so popping in blocks and popping one by one give the
-same order. Text words, slots and the lists between recursions are files in the
+same order. The recursion ends with names that memory holds several times over:
+they are sorted directly. Text words, slots and the lists between recursions are files in the
 task's own temporary folder when they have more than `in_memory` entries; what
 stays in memory is a block, and a few numbers for each symbol. Files end with
 the call; a retried task makes them anew.
@@ -37,8 +38,9 @@ from contextlib import ExitStack
 
 import numpy as np
 
-#: Entries of an array that is kept in memory, and of a block; a common prefix without bound.
-IN_MEMORY, BLOCK, BIG = 1 << 22, 1 << 16, 1 << 30
+#: Entries of an array that is kept in memory, and of a block; a common prefix without bound; names are sorted directly where
+#: they are so many times fewer than memory holds.
+IN_MEMORY, BLOCK, BIG, DIRECT = 1 << 22, 1 << 16, 1 << 30, 4
 _PART = 1 << 20
 
 
@@ -349,6 +351,30 @@ def _range_least(values: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray
     return out
 
 
+def _doubled(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts in order, common prefixes with the one before) by doubling: ranks of 1, 2, 4.. symbols until none are equal. For
+    names that memory holds several times over."""
+    n, ranks, size = len(t), [np.asarray(t).astype(np.int64)], 1
+    while True:
+        after = np.zeros(n, np.int64)
+        after[: max(n - size, 0)] = ranks[-1][size:] + 1
+        different, rank = np.unique(ranks[-1] << 32 | after, return_inverse=True)
+        if len(different) == n:
+            break
+        ranks.append(rank)
+        size *= 2
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
+    a, z = order[:-1].copy(), order[1:].copy()
+    for held in reversed(ranks):
+        held = np.append(held, [-1] * (size + 1))  # past the end nothing is equal, as the last symbol is alone
+        same = np.flatnonzero(held[a] == held[z])
+        a[same] += size
+        z[same] += size
+        size //= 2
+    return order, np.append(0, a - order[:-1])
+
+
 def suffix_array(t: np.ndarray, symbols: int, in_memory: int | None = None, held: ExitStack | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(starts of all suffixes in order, common prefix of each with the one before). t: integers under `symbols`; the last is
     0 and occurs nowhere else. Arrays of more than in_memory entries are files; give `held` to keep the result's open."""
@@ -371,7 +397,10 @@ def suffix_array(t: np.ndarray, symbols: int, in_memory: int | None = None, held
         ordered, prefixes = np.append(len(t) - 1, ordered), np.concatenate([[0, 0], shared[:-1]])[: len(ordered) + 1]
         if (prefixes >= BIG).any():
             names, between = _names(ordered, prefixes, len(t), own)
-            order, same = suffix_array(names, len(between), files.in_memory, inner)
+            if len(names) <= files.in_memory // DIRECT:
+                order, same = _doubled(names)
+            else:
+                order, same = suffix_array(names, len(between), files.in_memory, inner)
             ordered, prefixes = np.empty(len(order), np.int64), np.zeros(len(order), np.int64)
             for a in range(0, len(order), _PART):
                 here = np.asarray(order[a : a + _PART]).astype(np.int64)

@@ -321,7 +321,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, kept, n_bytes, n_removed, spans): the bytes that are left, and the removed runs as [start, end) pairs.
 
     window: 64 to 159 bytes, so that the starts of a context fit in 128 bits. shard_bits: leading bits that name a shard, by
-    default one for each four parts of the corpus. in_memory: entries of the sort's arrays beyond which they are files.
+    default one for each two parts of the corpus. in_memory: entries of the sort's arrays beyond which they are files.
     """
     if not 64 <= window <= 159:
         raise ValueError("window must be 64 to 159")
@@ -349,7 +349,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 break
         if plan.levels > 1:
             grouped["windows"] = held.keep(units.ask(found, plan.asked_windows, _first_here, [np.uint64, np.int64, np.int64], "suffix-windows", grouped)[0])
-        shard_bits = max(0, corpus.bits - 2) if shard_bits is None else shard_bits
+        shard_bits = max(0, corpus.bits - 1) if shard_bits is None else shard_bits
         answers |= grouped | {"marks": held.keep(units.by_owner(corpus, _marks(found, plan, grouped, shard_bits, in_memory), "suffix-marks"))}
 
     def unit(u: units.Unit):
