@@ -27,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_ngram_join": ngram_join.OP6_SQL,
         "op7_exact_dedup": exact_dedup.OP7_SQL,
         "op8_substring_dedup": substring_dedup.OP8_SQL,
+        "op10_suffix_dedup": suffix_dedup.OP10_SQL,
     }

@@ -404,3 +404,27 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_bytes(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents
+), w AS (
+  SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 200) AS k FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 99, 0))) AS i FROM d)
+), f AS (
+  SELECT k, min({'d': doc_id, 'i': i}) AS first FROM w GROUP BY k HAVING count(*) > 1
+), gone AS (
+  SELECT doc_id, i FROM w JOIN f USING (k) WHERE first <> {'d': doc_id, 'i': i}
+), edge AS (
+  SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS new FROM gone
+), run AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM (SELECT doc_id, i, count(*) FILTER (WHERE new) OVER (PARTITION BY doc_id ORDER BY i) AS no FROM edge) GROUP BY doc_id, no
+), piece AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS z FROM run
+  UNION ALL SELECT d.doc_id, coalesce(max(run.z), 0), any_value(d.n) FROM d LEFT JOIN run USING (doc_id) GROUP BY d.doc_id
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (z - a) AS BIGINT)), '' ORDER BY a) AS h FROM piece JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(sum(z - a), 0) AS BIGINT) AS n_removed, count(run.a) AS n_spans, sha256(unhex(any_value(kept.h))) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN run USING (doc_id) GROUP BY d.doc_id, d.n
+"""
