@@ -214,6 +214,27 @@ def test_vertical_rows(spark):
     assert rows["S3-R8-75"].kommentar == "skala okänd (längd i pt); låg OCR-confidence (50)"
 
 
+def test_jobs(spark, tmp_path):
+    from quantspark.streaming import jobs
+
+    inbox, out = tmp_path / "inbox", str(tmp_path / "out")
+    inbox.mkdir()
+    (inbox / "good.pdf").write_bytes(pdf())
+    (inbox / "note.pdf").write_bytes(b"not a drawing")
+    (inbox / "locked.pdf").write_bytes(b"%PDF-1.4 1 0 obj << /Encrypt 2 0 R >> endobj")
+    (inbox / "large.pdf").write_bytes(pdf() + b" " * 20000)
+    run = lambda: jobs.watch(spark, str(inbox), out, str(tmp_path / "ck"), cfg=Config(pipe_width=2.0), fractions="0.9,0.9,1,1", most_bytes=len(pdf()) + 100).awaitTermination(300)
+    run()
+    got = {r.input_name: r for r in jobs.poll(spark, out).collect()}
+    assert {n: r.status for n, r in got.items()} == {"good.pdf": "done", "note.pdf": "error", "locked.pdf": "error", "large.pdf": "error"}
+    assert got["note.pdf"].error.startswith("400") and got["large.pdf"].error.startswith("413") and "encrypted" in got["locked.pdf"].error
+    bill = jobs.rows_of(spark, out, got["good.pdf"].job_id)
+    assert bill.count() == got["good.pdf"].n_rows > 0 and jobs.rows_of(spark, out, "unknown").count() == 0
+    (inbox / "more.pdf").write_bytes(pdf())
+    run()
+    assert jobs.poll(spark, out).count() == 5  # files are jobs once
+
+
 def test_streams(spark, tmp_path, sf_dir):
     from quantspark.streaming import jobs
 
