@@ -141,13 +141,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         kept = ["\n".join(x for j, x in enumerate(t.split("\n")) if j not in dropped[i]) if i in dropped else t for i, t in enumerate(texts)]
         n = pa.array([t.count("\n") + 1 for t in texts], pa.int64())
         lost = pa.array([len(dropped.get(i, ())) for i in range(len(texts))], pa.int64())
-        at = [pa.array(np.full(len(texts), u.number)), pa.array(np.arange(len(texts), dtype=np.int32))]
-        yield pa.RecordBatch.from_arrays([*at, pa.array(u.ids, mask=u.null), pa.array(kept, pa.string()), n, lost], ["unit", "no", "doc_id", "text", "n_lines", "n_dropped"])
+        yield pa.RecordBatch.from_arrays([pa.array(u.rids), pa.array(u.ids, mask=u.null), pa.array(kept, pa.string()), n, lost], ["rid", "doc_id", "text", "n_lines", "n_dropped"])
 
-    out = units.each(corpus, unit, "unit long, no int, doc_id long, text string, n_lines long, n_dropped long", {"lines": path})
+    out = units.each(corpus, unit, "rid long, doc_id long, text string, n_lines long, n_dropped long", {"lines": path})
     if not carry:
-        return out.drop("unit", "no")
-    return out.join(units.carried(corpus), ["unit", "no"]).drop("unit", "no")
+        return out.drop("rid")
+    return out.join(units.carried(corpus), "rid").drop("rid")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,7 +181,7 @@ def prefix_signatures(tokens: np.ndarray, counts: np.ndarray, off: np.ndarray, p
 
 
 def _signed(corpus: units.Corpus, words: int, percent: int, seed: int, answers: str) -> DataFrame:
-    """(unit, no, doc_id, n, node, check, sigs): each document's set, and the signatures of a unit's different sets."""
+    """(unit, no, rid, doc_id, n, node, check, sigs): each document's set, and the signatures of a unit's different sets."""
     bits = corpus.bits
 
     def rows(unit: units.Unit):
@@ -193,10 +193,10 @@ def _signed(corpus: units.Corpus, words: int, percent: int, seed: int, answers:
         by = np.argsort(s.once[owner], kind="stable")
         ends = np.searchsorted(s.once[owner][by], np.arange(len(s.n) + 1))
         sigs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sig[by].view(np.int64)))
-        at = [pa.array(np.full(len(s.n), unit.number)), pa.array(np.arange(len(s.n), dtype=np.int32)), pa.array(unit.ids, mask=unit.null)]
-        yield pa.RecordBatch.from_arrays([*at, pa.array(s.n), pa.array(s.key.view(np.int64)), pa.array(s.check.view(np.int64)), sigs], ["unit", "no", "doc_id", "n", "node", "check", "sigs"])
+        at = [pa.array(np.full(len(s.n), unit.number)), pa.array(np.arange(len(s.n), dtype=np.int32)), pa.array(unit.rids), pa.array(unit.ids, mask=unit.null)]
+        yield pa.RecordBatch.from_arrays([*at, pa.array(s.n), pa.array(s.key.view(np.int64)), pa.array(s.check.view(np.int64)), sigs], ["unit", "no", "rid", "doc_id", "n", "node", "check", "sigs"])
 
-    return units.each(corpus, rows, "unit long, no int, doc_id long, n long, node long, check long, sigs array<bigint>", {"counts": answers})
+    return units.each(corpus, rows, "unit long, no int, rid long, doc_id long, n long, node long, check long, sigs array<bigint>", {"counts": answers})
 
 
 def links_within(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -330,18 +330,18 @@ def _verified(corpus: units.Corpus, groups: DataFrame, tasks: DataFrame, words:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of near-duplicates stays: the least by id (null ids last), then by set key, then by its place.
+    """One row of each group of near-duplicates stays: the least by id (null ids last), then by set key, then by its number in the corpus.
 
-    Rows without words stay. Rows are named by their place in the units, so null and repeated ids are rows like others.
+    Rows without words stay. Rows are named by their number in the corpus, so null and repeated ids are rows like others.
     """
     _checked(words, percent)
     corpus = units.write(docs, id_col, text_col, common.row_of(docs))
     keys, _, named = _grouped(corpus, words, percent, BLOCK)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "node", "unit", "no")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "node", "rid")
     first = keys.filter("n > 0").groupBy("node").agg(F.min(order).alias("first"))  # before rows move, one for each set
     best = first.join(named.select("node", "component"), "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first"))
-    kept = common.stored(best.select("first.unit", "first.no").unionByName(keys.filter("n = 0").select("unit", "no")), "ngram-kept")
-    return units.carried(corpus).join(kept, ["unit", "no"], "left_semi").select("row.*")
+    kept = common.stored(best.select("first.rid").unionByName(keys.filter("n = 0").select("rid")), "ngram-kept")
+    return units.carried(corpus).join(kept, "rid", "left_semi").select("row.*")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,9 @@ empty result. Other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +51,8 @@ from . import common, units
 from .induced import suffix_array
 from .kernels import U64, chunks, every_hash, mix, prefix_hash, spans_hash, text_bytes, window_minima
 
-#: Bytes of an anchor; different contexts of a group before it is split.
-ANCHOR, HOT = 32, 2048
+#: Bytes of an anchor; different contexts of a group before it is split; contexts in one row of the table of copies.
+ANCHOR, HOT, ROW_CONTEXTS = 32, 2048, 2048
 
 
 class _Contexts:
@@ -151,10 +153,16 @@ class _Found:
 _COLUMNS = ["unit", "size", "left", "anchor", "doc", "start", "data"]
 
 
-def _of_row(row: pa.RecordBatch) -> _Found:
-    size, left, anchor, doc, start = (np.frombuffer(row.column(i)[0].as_py(), t) for i, t in enumerate((np.int64, np.int64, U64, np.int64, np.int64), 1))
-    raw = np.frombuffer(row.column(6)[0].as_py(), np.uint8)
-    return _Found(row.column(0)[0].as_py(), raw, np.cumsum(size) - size, size, left, anchor, doc, start)
+def _of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[_Found]:
+    """The rows of a unit, which follow each other, as one."""
+
+    def found(rows: list[pa.RecordBatch]) -> _Found:
+        size, left, anchor, doc, start, raw = (np.frombuffer(b"".join([r.column(i)[0].as_py() for r in rows]), t) for i, t in enumerate((np.int64, np.int64, U64, np.int64, np.int64, np.uint8), 1))
+        return _Found(rows[0].column(0)[0].as_py(), raw, np.cumsum(size) - size, size, left, anchor, doc, start)
+
+    single = (b.slice(i, 1) for b in batches for i in range(b.num_rows))
+    for _, rows in groupby(single, key=lambda r: r.column(0)[0].as_py()):
+        yield found(list(rows))
 
 
 class _Plan:
@@ -332,15 +340,16 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def copies(unit: units.Unit):
         f = plan.found(unit)[0]
-        if len(f.size):
-            data = f.raw.tobytes()
-            held = b"".join([data[a:z] for a, z in zip(f.at.tolist(), (f.at + f.size).tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.array([f.number]), *(pa.array([x.tobytes()], pa.binary()) for x in (f.size, f.left, f.anchor, f.doc, f.start)), pa.array([held], pa.binary())], _COLUMNS)
+        data = f.raw.data
+        for i in range(0, len(f.size), ROW_CONTEXTS):
+            some = slice(i, i + ROW_CONTEXTS)
+            held = b"".join([data[a:z] for a, z in zip(f.at[some].tolist(), (f.at + f.size)[some].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array([f.number]), *(pa.array([x[some].tobytes()], pa.binary()) for x in (f.size, f.left, f.anchor, f.doc, f.start)), pa.array([held], pa.binary())], _COLUMNS)
 
     rows = units.each(corpus, copies, ", ".join(["unit long", *(f"{c} binary" for c in _COLUMNS[1:])]), answers)
     grouped: dict[str, str] = {}
     with common.Scratch() as held:
-        found = units.derived(corpus, rows, "suffix-copies", _COLUMNS, _of_row)
+        found = units.derived(corpus, rows, "suffix-copies", _COLUMNS, _of_rows)
         while True:
             path, _, many = units.ask(found, plan.sizes, _counted(hot), [np.uint32], "suffix-groups", grouped)
             grouped = {**grouped, f"groups-{plan.levels}": held.keep(path)}

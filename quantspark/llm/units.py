@@ -1,8 +1,8 @@
 """Texts in units on the shared folder, and questions about keys that are answered to the unit that asked.
 
-A corpus is written once as rows of about UNIT_BYTES of text: its units. Every
-later pass reads whole units, so a unit's keys come out alike in each of them,
-whatever task or retry computes them.
+A corpus is written once. Every later pass reads its files whole, and in the
+same order, and cuts them alike into units of about UNIT_BYTES of text, so a
+unit's keys come out alike in each pass, whatever task or retry computes them.
 
 A question is one packed shuffle. Each unit deals its keys to parts, ranges of
 the key's leading bits; a part's task sees all that the units know of its keys
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +31,17 @@ from . import common
 
 #: Bytes of text in a unit (a longer text is a unit of its own); bytes of units, as files, for each part; most parts (2**).
 UNIT_BYTES, PART_BYTES, MOST_BITS = 4 << 20, 2 << 20, 18
+#: Rows that a reader takes from a file at once.
+ROWS = 32
 LAST = 2**63 - 1
 
 
 @dataclass
 class Unit:
-    """number; ids (null: LAST), whether they are null, and texts of its rows."""
+    """number; numbers of its rows in the corpus, ids (null: LAST), whether they are null, and texts."""
 
     number: int
+    rids: np.ndarray
     ids: np.ndarray
     null: np.ndarray
     texts: pa.Array
@@ -50,58 +54,50 @@ class Corpus:
     path: str
     kind: str  # type of what is carried
     bits: int  # leading bits that name a part
-    columns: list[str] = field(default_factory=lambda: ["unit", "ids", "texts"])
-    make: Callable = field(default_factory=lambda: of_texts)
+    columns: list[str]
+    cut: Callable  # the batches of a file's columns, as units
 
 
 def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None, unit_bytes: int = UNIT_BYTES) -> Corpus:
-    """Writes the units of a table. carry: what else of each row goes along, for `carried`."""
-    row = F.lit(None).cast("int") if carry is None else carry
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), row.alias("row"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        owner, n = TaskContext.get().partitionId(), 0
-        waiting: list[pa.RecordBatch] = []
-        size = 0
-
-        def unit(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            nonlocal n
-            t = pa.Table.from_batches(parts).combine_chunks()
-            whole = pa.array([0, t.num_rows], pa.int32())
-            lists = [pa.ListArray.from_arrays(whole, t.column(c).combine_chunks() if t.num_rows else t.column(c)) for c in ("id", "text", "row")]
-            n += 1
-            return pa.RecordBatch.from_arrays([pa.array([owner << 32 | n - 1], pa.int64()), *lists], ["unit", "ids", "texts", "rows"])
-
-        for b in batches:
-            ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            first = 0
-            while first < b.num_rows:
-                done = int(ends[first - 1]) if first else 0
-                last = min(b.num_rows, max(first + 1, int(np.searchsorted(ends, done + unit_bytes - size, "right"))))
-                waiting.append(b.slice(first, last - first))
-                size += int(ends[last - 1]) - done
-                first = last
-                if size >= unit_bytes or first < b.num_rows:
-                    yield unit(waiting)
-                    waiting, size = [], 0
-        if waiting:
-            yield unit(waiting)
-        waiting.clear()
-        common.tidy()
-
-    kind = rows.schema["row"].dataType.simpleString()
+    """Writes a table, its rows numbered. carry: what else of each row goes along, for `carried`."""
+    columns = [F.monotonically_increasing_id().alias("rid"), docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")]
+    rows = docs.select(*columns, *([] if carry is None else [carry.alias("row")]))
     path = common.fresh_dir(docs.sparkSession, "units")
-    rows.mapInArrow(run, f"unit long, ids array<bigint>, texts array<string>, rows array<{kind}>").write.parquet(path)
+    rows.write.option("maxRecordsPerFile", 0).parquet(path)
     size = _files(docs.sparkSession, path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    return Corpus(docs.sparkSession, path, kind, min(MOST_BITS, max(0, int(size // PART_BYTES).bit_length())))
+    kind = "int" if carry is None else rows.schema["row"].dataType.simpleString()
+    return Corpus(docs.sparkSession, path, kind, min(MOST_BITS, max(0, int(size // PART_BYTES).bit_length())), ["rid", "id", "text"], partial(of_texts, unit_bytes=unit_bytes))
+
+
+def of_texts(batches: Iterator[pa.RecordBatch], unit_bytes: int) -> Iterator[Unit]:
+    """Units of about unit_bytes; the number of a unit is its file's and its place there."""
+    waiting: list[pa.RecordBatch] = []
+    size = n = 0
+
+    def unit() -> Unit:
+        rids, ids = (pa.concat_arrays([b.column(i) for b in waiting]) for i in (0, 1))
+        texts = pa.concat_arrays([b.column(2) for b in waiting])
+        return Unit(rids[0].as_py() >> 33 << 32 | n, rids.to_numpy(), ids.fill_null(LAST).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()), texts)
+
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < b.num_rows:
+            done = int(ends[first - 1]) if first else 0
+            last = min(b.num_rows, max(first + 1, int(np.searchsorted(ends, done + unit_bytes - size, "right"))))
+            waiting.append(b.slice(first, last - first))
+            size += int(ends[last - 1]) - done
+            first = last
+            if size >= unit_bytes or first < b.num_rows:
+                yield unit()
+                waiting, size, n = [], 0, n + 1
+    if waiting:
+        yield unit()
 
 
 def carried(corpus: Corpus) -> DataFrame:
-    """(unit, no, row): what is carried, by the unit and its place there. Spark reads it, so any type comes back as it was."""
-    units = corpus.spark.read.schema(f"unit long, rows array<{corpus.kind}>").parquet(corpus.path)
-    return units.select("unit", F.posexplode("rows").alias("no", "row"))
+    """(rid, row): what is carried, by the row's number. Spark reads it, so any type comes back as it was."""
+    return corpus.spark.read.schema(f"rid long, row {corpus.kind}").parquet(corpus.path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -117,7 +113,7 @@ def _system(path: str) -> tuple[fs.FileSystem, str]:
 def _read(path: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
     system, at = _system(path)
     with system.open_input_file(at) as f:
-        yield from pq.ParquetFile(f, pre_buffer=False).iter_batches(batch_size=1, columns=columns)
+        yield from pq.ParquetFile(f, pre_buffer=False, buffer_size=1 << 20).iter_batches(batch_size=ROWS, columns=columns)
 
 
 def _answers(path: str, owner: int) -> pa.Table | None:
@@ -128,22 +124,16 @@ def _answers(path: str, owner: int) -> pa.Table | None:
     return ds.dataset(at, filesystem=system, format="parquet").to_table(columns=["unit", "part", "data"]).sort_by([("unit", "ascending"), ("part", "ascending")])
 
 
-def of_texts(row: pa.RecordBatch) -> Unit:
-    ids = row.column(1).flatten()
-    return Unit(row.column(0)[0].as_py(), ids.fill_null(LAST).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()), row.column(2).flatten())
-
-
 def each(corpus: Corpus, fn: Callable[[Unit], Iterator[pa.RecordBatch]], schema: str, answers: dict[str, str] | None = None) -> DataFrame:
     """The batches that fn gives for each unit. answers: by name, the folders of answers that it wants."""
-    answers, columns, make = answers or {}, corpus.columns, corpus.make
+    answers, columns, cut = answers or {}, corpus.columns, corpus.cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column(0).to_pylist():
                 held: dict[str, pa.Table | None] = {}
                 owner = -1
-                for row in _read(path, columns):
-                    unit = make(row)
+                for unit in cut(_read(path, columns)):
                     if unit.number >> 32 != owner:
                         owner = unit.number >> 32
                         held = {k: _answers(p, owner) for k, p in answers.items()}
@@ -152,17 +142,17 @@ def each(corpus: Corpus, fn: Callable[[Unit], Iterator[pa.RecordBatch]], schema:
                             a, z = np.searchsorted(t["unit"].to_numpy(), [unit.number, unit.number + 1])
                             unit.answers[k] = t.slice(a, z - a)
                     yield from fn(unit)
-                    del unit, row
+                    del unit
                     common.tidy()
 
     return _files(corpus.spark, corpus.path).select("path").mapInArrow(run, schema)
 
 
-def derived(corpus: Corpus, rows: DataFrame, name: str, columns: list[str], make: Callable) -> Corpus:
-    """A table of one row a unit (column unit first) as a corpus of its own, that can ask as well."""
+def derived(corpus: Corpus, rows: DataFrame, name: str, columns: list[str], cut: Callable) -> Corpus:
+    """A table made from a corpus's units as a corpus of its own, that can ask as well; a unit's rows follow each other."""
     path = common.fresh_dir(corpus.spark, name)
-    rows.write.parquet(path)
-    return Corpus(corpus.spark, path, corpus.kind, corpus.bits, columns, make)
+    rows.write.option("maxRecordsPerFile", 0).parquet(path)
+    return Corpus(corpus.spark, path, corpus.kind, corpus.bits, columns, cut)
 
 
 def dealt(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
