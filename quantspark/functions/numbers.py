@@ -1,41 +1,36 @@
 """Numbers in and out of text, with Python's rounding where results are compared to the last digit.
 
 round() and format_string() of Spark round halves of the decimal text away
-from zero; a binary double is rounded exactly by going through its exact
-decimal value, which `bround` over a wide decimal does not see either. So
-`round_exact` is an Arrow UDF, meant for sinks; plans keep integers or
-decimals until then.
+from zero. format_number with a pattern rounds the exact value of the binary
+double, halves to even, as Python does; it runs in the JVM.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def round_exact(v: Column, digits: int) -> Column:
-    @F.pandas_udf("double")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if pd.isna(x) else round(float(x), digits)).astype("float64")
-
-    return run(v)
+def _fixed(v: Column, digits: int) -> Column:
+    v = v.cast("double")
+    text = F.call_function("format_number", v, F.lit("0" + "." * (digits > 0) + "0" * digits))
+    return F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e300), text)
 
 
-def format_exact(v: Column, spec: str, comma: bool = False) -> Column:
-    """Python's format of a double; null gives the empty text."""
+def round_exact(v: Column, digits: int) -> Column:
+    """Python's round of a double to some digits; null, nan and infinities as they are."""
+    return F.coalesce(_fixed(v, digits).cast("double"), v.cast("double"))
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        out = s.map(lambda x: "" if pd.isna(x) else format(float(x), spec))
-        return out.str.replace(".", ",", regex=False) if comma else out
 
-    return run(v)
+def format_exact(v: Column, digits: int, comma: bool = False) -> Column:
+    """Python's fixed-point format of a double; null gives the empty text."""
+    text = F.coalesce(_fixed(v, digits), F.lit(""))
+    return F.replace(text, F.lit("."), F.lit(",")) if comma else text
 
 
 def decimal_comma(v: Column) -> Column:
     """One decimal and a comma; null gives the empty text."""
-    return format_exact(v, ".1f", comma=True)
+    return format_exact(v, 1, comma=True)
 
 
 def to_number(text: Column) -> Column:

@@ -304,11 +304,14 @@ def leader_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("f7_frames", """
-SELECT doc_id, seg_seq AS chain_id, (x2-x1)+(y2-y1) >= 45 AS excluded FROM v_seg WHERE width = 2.0""")
+SELECT doc_id, seg_seq AS chain_id, x2 - x1 + 10 > 45 OR (x2-x1)+(y2-y1) >= 40 AS excluded,
+ CASE WHEN x2 - x1 + 10 > 45 THEN 'sidram' WHEN (x2-x1)+(y2-y1) >= 40 THEN 'ram/rutnät (lång rak ensam linje)' END AS reason FROM v_seg WHERE width = 2.0""")
 def frames(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of 40 and more as lone lines; on pages of 50 x 10, boxes 10 larger than their runs as page frames."""
     r = _runs(spark, d)
-    c = r.select(*PAGE, "chain_id", F.lit(1).alias("n_segments"), F.lit(True).alias("axis_aligned"), pipes.length().alias("length_pt"), F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("x2").alias("x1"), F.col("y2").alias("y1"))
-    return pipes.flag_frames(c, V.pages(r), Config(frame_len_pt=45.0)).select("doc_id", "chain_id", "excluded")
+    c = r.select(*PAGE, "chain_id", F.lit(1).alias("n_segments"), F.lit(True).alias("axis_aligned"), pipes.length().alias("length_pt"), F.col("x1").alias("x0"), F.col("y1").alias("y0"), (F.col("x2") + 10).alias("x1"), (F.col("y2") + 10).alias("y1"))
+    pages = V.pages(r).withColumns({"width": F.lit(50.0), "height": F.lit(10.0)})
+    return pipes.flag_frames(c, pages, Config(frame_len_pt=40.0)).select("doc_id", "chain_id", "excluded", F.col("excluded_reason").alias("reason"))
 
 
 @query("f8_short_runs", "SELECT doc_id, count(*) AS kept, CAST(sum((x2-x1)+(y2-y1)) AS BIGINT) AS length FROM v_seg WHERE (x2-x1)+(y2-y1) >= 3 GROUP BY doc_id")

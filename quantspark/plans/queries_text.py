@@ -70,9 +70,15 @@ def full_code(spark: SparkSession, d: str) -> DataFrame:
     return V.hits(spark, d).select("doc_id", "hit_seq", C.full_code(F.col("text"), F.when(F.col("hit_seq") % 2 == 0, "160(L)")).alias("full_code"))
 
 
-@query("p10_decimal_comma", "SELECT hit_seq, replace(CAST(CAST(x0 AS BIGINT) AS VARCHAR), ' ', '') || ',0' AS said FROM v_hit")
+@query("p10_decimal_comma", "SELECT hit_seq, replace(format('{:.1f}', x0 / 8 + y0 / 20), '.', ',') AS said FROM v_hit")
 def decimal_comma(spark: SparkSession, d: str) -> DataFrame:
-    return V.hits(spark, d).select("hit_seq", N.decimal_comma(F.col("x0")).alias("said"))
+    """Eighths and twentieths: halves that are exact in binary, and some that are not."""
+    return V.hits(spark, d).select("hit_seq", N.decimal_comma(F.col("x0") / 8 + F.col("y0") / 20).alias("said"))
+
+
+@query("p11_round", "SELECT hit_seq, CAST(format('{:.2f}', x0 / 16 + y0 / 200) AS DOUBLE) AS rounded FROM v_hit")
+def rounded(spark: SparkSession, d: str) -> DataFrame:
+    return V.hits(spark, d).select("hit_seq", N.round_exact(F.col("x0") / 16 + F.col("y0") / 200, 2).alias("rounded"))
 
 
 @query("p12_to_number", "SELECT row_no, doc_id, \"Subject\" AS subject, try_cast(nullif(replace(\"Längd\", ',', '.'), '') AS DOUBLE) AS length, try_cast(nullif(\"Antal_VS\", '') AS BIGINT) AS antal_vs FROM v_facit")
