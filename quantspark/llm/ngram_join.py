@@ -26,7 +26,8 @@ signature in common form candidate groups by a star around the signature's
 least node, never by all pairs. A group's sets then meet in tasks of at most
 BLOCK sets a side: small groups share a task, and a larger group is cut into
 blocks by size class and hash, each pair of blocks that can hold a link being
-a task. A task indexes its sets by their prefixes again, skips pairs that are
+a task. Where a group is a long chain, of sets that are alike in no more than a
+signature, its sets meet by signature instead, if that sends fewer copies. A task indexes its sets by their prefixes again, skips pairs that are
 joined already, verifies the rest exactly, and returns the links that join.
 Components of the links are the result.
 
@@ -44,7 +45,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantspark.operators.components import connected_components
@@ -87,7 +88,7 @@ def _checked(words: int, percent: int) -> None:
         raise ValueError("words must be 1 or more, percent 1 to 100")
 
 
-def _need(n, percent: int):
+def _overlap(n, percent: int):
     return (n * percent + 99) // 100
 
 
@@ -146,7 +147,7 @@ def prefix_signatures(tokens: np.ndarray, counts: np.ndarray, off: np.ndarray, p
     for i in np.flatnonzero(sizes > (1 if percent > 50 else 0)).tolist():
         a, b, n = off[i], off[i + 1], int(sizes[i])
         c = counts[a:b]
-        spare = n - _need(n, percent)
+        spare = n - _overlap(n, percent)
         ones = int((c < 2).sum())
         level = _level(np.array([n]), percent)
         levels = np.concatenate([level, level + 1])
@@ -211,7 +212,7 @@ def links_within(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, per
     often = np.sort(often)
     off = np.concatenate([[0], np.cumsum(n)])
     local = local[np.lexsort((local, owner))]
-    prefix = [local[off[i] : off[i] + n[i] - _need(n[i], percent) + 1] for i in range(len(sets))]
+    prefix = [local[off[i] : off[i] + n[i] - _overlap(n[i], percent) + 1] for i in range(len(sets))]
     prefix = [p[often[p] > 1] for p in prefix]
     mixed = len(np.unique(side)) > 1
     parent = list(range(len(sets)))
@@ -244,27 +245,64 @@ def links_within(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, per
     return links
 
 
-def _tasks(groups: DataFrame, percent: int, block: int) -> DataFrame:
-    """(node, task, side) of candidate nodes with their group, size and level: the tasks in which a node's set is needed."""
-    need = lambda sets, tokens: F.greatest(F.ceil(sets / block), F.ceil(tokens / BLOCK_TOKENS), F.lit(1)).cast("long")
+def _need(sets: Column, tokens: Column, block: int) -> Column:
+    """Blocks for so many sets with so many tokens."""
+    return F.greatest(F.ceil(sets / block), F.ceil(tokens / BLOCK_TOKENS), F.lit(1)).cast("long")
+
+
+def _blocks(large: DataFrame, block: int) -> DataFrame:
+    """(component, level, blocks): how many blocks a component's sets of a size class are cut into."""
+    per_level = large.groupBy("component", "level").agg(F.count("*").alias("k"), F.sum("n").alias("t"))
+    return per_level.select("component", "level", "k", _need(F.col("k"), F.col("t"), block).cast("int").alias("blocks"))
+
+
+def _met(cut: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows (component, level) with the blocks (_l, _b) that may hold sets they link with."""
+    other = blocks.select(F.col("component").alias("_c"), F.col("level").alias("_l"), F.col("blocks").alias("_b"))
+    return cut.join(other, (F.col("component") == F.col("_c")) & (F.abs(F.col("level") - F.col("_l")) <= 1))
+
+
+def _tasks(groups: DataFrame, block: int) -> DataFrame:
+    """(node, task, side) of sets (node, component, n, level): small components share a task, pairs of a large one's blocks
+    that can hold a link are a task each."""
     total = groups.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"))
     sized = groups.join(total, "component")
-    few = need(F.col("m"), F.col("tokens")) == 1
+    few = _need(F.col("m"), F.col("tokens"), block) == 1
     every = groups.agg(F.count("*").alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
-    bins = need(F.lit(float(every["m"])), F.lit(float(every["tokens"])))
+    bins = _need(F.lit(float(every["m"])), F.lit(float(every["tokens"])), block)
     alone = sized.filter(few).select("node", F.concat_ws("/", F.lit("s"), F.pmod(F.xxhash64("component"), bins)).alias("task"), F.lit(0).alias("side"))
     large = sized.filter(~few)
-    per_level = large.groupBy("component", "level").agg(F.count("*").alias("k"), F.sum("n").alias("t"))
-    blocks = per_level.select("component", "level", need(F.col("k"), F.col("t")).cast("int").alias("blocks"))
-    cut = large.join(blocks, ["component", "level"]).withColumn("no", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = blocks.select(F.col("component").alias("_c"), F.col("level").alias("_l"), F.col("blocks").alias("_b"))
-    met = cut.join(other, (F.col("component") == F.col("_c")) & (F.abs(F.col("level") - F.col("_l")) <= 1))
-    met = met.withColumn("_no", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+    blocks = _blocks(large, block)
+    cut = large.join(blocks.drop("k"), ["component", "level"]).withColumn("no", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = _met(cut, blocks).withColumn("_no", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
     mine, theirs = F.struct("level", "no"), F.struct(F.col("_l").alias("level"), F.col("_no").alias("no"))
     name = lambda x: F.concat_ws(".", x["level"], x["no"])
     pair = F.concat_ws("/", F.col("component"), name(F.least(mine, theirs)), name(F.greatest(mine, theirs)))
     split = met.select("node", pair.alias("task"), F.when(mine > theirs, 1).otherwise(0).alias("side"))
-    return alone.unionByName(split)
+    return alone.unionByName(split).distinct()
+
+
+def _chained(groups: DataFrame, shared: DataFrame, block: int) -> DataFrame:
+    """(component) of large components whose sets would be sent more often to pairs of blocks than to their signatures: long
+    chains of sets that are alike in no more than a signature. shared: (node, sig), signatures of several sets."""
+    total = groups.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"))
+    large = groups.join(total.filter(_need(F.col("m"), F.col("tokens"), block) > 1).select("component"), "component", "left_semi")
+    blocks = _blocks(large, block)
+    by_block = _met(blocks, blocks).groupBy("component").agg(F.sum(F.col("k") * F.col("_b")).alias("to_blocks"))
+    by_sig = large.join(shared, "node").groupBy("component").agg(F.count("*").alias("to_signatures"))
+    return by_block.join(by_sig, "component").filter("to_signatures < to_blocks").select("component")
+
+
+def _all_tasks(groups: DataFrame, shared: DataFrame, block: int) -> DataFrame:
+    """The tasks of all candidates: by component, or by signature for the sets of chained components. Either way sets that share
+    a signature meet."""
+    chained = common.stored(_chained(groups, shared, block), "ngram-chained")
+    if chained.isEmpty():
+        return _tasks(groups, block)
+    plain = _tasks(common.stored(groups.join(chained, "component", "left_anti"), "ngram-groups"), block)
+    sets = groups.join(chained, "component", "left_semi").join(shared, "node").select("node", F.col("sig").alias("component"), "n", "level")
+    by_sig = _tasks(common.stored(sets, "ngram-groups"), block)
+    return plain.unionByName(by_sig.withColumn("task", F.concat(F.lit("g/"), "task")))
 
 
 def _grouped(corpus: units.Corpus, words: int, percent: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -286,11 +324,12 @@ def _linked(corpus: units.Corpus, signed: DataFrame, nodes: DataFrame, words: in
     """(node, component, rep) of the sets that link with another."""
     sigs = signed.select("node", F.explode("sigs").alias("sig"))
     star = sigs.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
-    edges = sigs.join(star, "sig").filter("node <> least").select(F.col("least").alias("src"), F.col("node").alias("dst")).distinct()
+    shared = sigs.join(star, "sig")
+    edges = shared.filter("node <> least").select(F.col("least").alias("src"), F.col("node").alias("dst")).distinct()
     level = F.col("n").cast("int") if percent == 100 else F.floor(F.log("n") / F.lit(float(np.log(100 / percent))) + 1e-9).cast("int")
     groups = connected_components(edges).withColumnRenamed("id", "node").join(nodes.select("node", "n", "at"), "node")
     groups = common.stored(groups.select("node", "component", "n", level.alias("level"), "at"), "ngram-groups")
-    tasks = common.stored(_tasks(groups, percent, block), "ngram-tasks")
+    tasks = common.stored(_all_tasks(groups, shared.select("node", "sig"), block), "ngram-tasks")
     links = common.stored(_verified(corpus, groups, tasks, words, percent, seed), "ngram-links")
     return connected_components(links).withColumnRenamed("id", "node").join(nodes, "node").select("node", "component", "rep")
 

@@ -95,6 +95,25 @@ def test_large_group_of_near_copies(spark):
     assert found_groups(df, words=3, percent=90, block=16) == brute_groups(rows, 3, 90)
 
 
+def test_chained_sets(spark):
+    """A component of 20,000 sets, each of which shares a signature with the next alone, needs no quadratic tasks."""
+    n = 20_000
+    groups = spark.range(n).selectExpr("id as node", "0L as component", "100L as n", "20 as level")
+    shared = spark.range(n).selectExpr("id as node", "explode(array(id, id + 1)) as sig").filter(f"sig between 1 and {n - 1}")
+    tasks = ngram_join._all_tasks(groups, shared, 64).cache()
+    assert tasks.count() <= 2 * n
+    pairs = tasks.alias("a").join(tasks.alias("b"), "task").filter("b.node = a.node + 1").select("a.node").distinct().count()
+    assert pairs == n - 1
+    assert ngram_join._tasks(groups, 64).count() > 50 * n  # as pairs of blocks
+
+
+@pytest.mark.parametrize("words,percent", [(1, 50), (1, 80)])
+def test_chains_by_signature(spark, words, percent):
+    rows = [(i, f"a{i} a{i + 1} a{i + 2} {'b' + str(i) if i % 3 else ''}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert found_groups(df, words=words, percent=percent, block=4) == brute_groups(rows, words, percent)
+
+
 def test_one_of_each(edge):
     kept = ngram_join.one_of_each(edge)
     assert kept.columns == edge.columns and kept.filter("doc_id = 13").count() == 1 and kept.filter("doc_id in (14, 16)").count() == 0

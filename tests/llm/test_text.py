@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quantspark.llm import bpe, mixing, registry, token_counts, toxicity
 
+from .test_similar import brute_groups
+
 
 @pytest.fixture(scope="module")
 def library():
@@ -72,6 +74,41 @@ def test_toxicity_learns(spark):
     assert {g.doc_id: g.score for g in again} == {g.doc_id: g.score for g in got}
 
 
+def test_scores_by_brute_force(spark, edge, edge_rows):
+    """Each score again, word by word and filter by filter, from the model's arrays."""
+    import re
+
+    from quantspark.llm.kernels import words_hash
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(45)], "doc_id long, toxic int")
+    model = toxicity.fit(edge, labels)
+    got = {r["row"].doc_id: r.score for r in toxicity.scored(edge, model).collect()}
+    for doc_id, text, *_ in edge_rows:
+        raw = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
+        words = [m.group() for m in re.finditer(rb"[a-z\x80-\xff]+", raw)]
+        one = lambda w: int(words_hash(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] >> np.uint64(64 - toxicity.BITS))
+        rows = [model.table[model.place[one(w)]] for w in words] + [np.zeros(toxicity.DIMS)] * toxicity.PAD
+        total = model.base
+        for f, shift, out in zip(model.filters, model.shift, model.out, strict=True):
+            padded = rows + [np.zeros(toxicity.DIMS)] * len(f)
+            best = np.max([sum(padded[i + j] @ f[j] for j in range(len(f))) for i in range(len(rows))], axis=0)
+            total += np.maximum(best + shift, 0) @ out
+        assert abs(got[doc_id] - 1 / (1 + np.exp(-total))) < 1e-4
+
+
+def test_sample_is_bounded_by_bytes(spark):
+    rows = [(i, ("good words here " if i % 2 else "bad snarl hiss ") * (40_000 if i == 7 else 5), "en") for i in range(1, 200)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(1, 200)], "doc_id long, toxic int")
+    seen = []
+    train = toxicity.train
+    try:
+        toxicity.train = lambda hashes, *a: seen.append(sum(map(len, hashes))) or train(hashes, *a)
+        toxicity.fit(docs, labels, sample_bytes=3000)
+    finally:
+        toxicity.train = train
+    assert 0 < seen[0] <= 3000
+
+
 def test_toxicity_edges(spark, edge, edge_rows, empty):
     labels = spark.createDataFrame([(6, 1), (9, 0), (None, 1), (7, None), (999, 1)], "doc_id long, toxic int")
     model = toxicity.fit(edge, labels)
@@ -128,21 +165,54 @@ def test_mixing_of_many_sources(spark):
             assert max(abs(got[v] - (0.5 * k / whole + 0.5 / n if k else 0)) for v, k in have.items()) < 1e-4
 
 
-def test_pipeline(spark, sf_dir, docs, texts):
+def brute_lines(texts):
+    """What line dedup leaves of each text."""
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+    held = {}
+    for i, t in texts.items():
+        for x in (t or "").split("\n"):
+            held.setdefault(key(x), set()).add(i)
+    return {i: "\n".join(x for x in (t or "").split("\n") if len(key(x)) < 10 or min(held[key(x)]) == i) for i, t in texts.items()}
+
+
+def test_pipeline(spark, sf_dir, docs, texts, library):
+    """Every stage against brute force on all that the stage before kept."""
     rows, kept = docs, set(texts)
     for name, stage in corpus_pipeline.STAGES:
         before = {r.doc_id: r.text for r in rows.select("doc_id", "text").collect()}
         out = corpus_pipeline.stored(stage(spark, rows, sf_dir), "test")
         if name == "BPE":
-            assert sorted(r.doc_id for r in out.collect()) == sorted(before) and all(r.is_exact for r in out.collect())
+            got = {r.doc_id: r for r in out.collect()}
+            assert sorted(got) == sorted(before) and all(r.is_exact for r in got.values())
+            for i, t in before.items():
+                ids = library.encode(t or "", add_special_tokens=False).ids
+                assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
             break
         assert out.columns == docs.columns
         after = {r.doc_id: r for r in out.collect()}
         assert set(after) <= set(before) and len(after) > 0.4 * len(before)
         if name == "line dedup":
             assert set(after) == set(before) and all(r.n_chars == len(r.text) for r in after.values())
+            assert {i: r.text for i, r in after.items()} == brute_lines(before)
         else:
             assert all(r.text == before[i] for i, r in after.items())
+        if name == "toxicity":
+            model = toxicity.fit(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+            said = toxicity.scored(rows, model, carry=["doc_id", "lang"]).collect()
+            assert set(after) == {r["row"].doc_id for r in said if r.score < model.thresholds.get(r["row"].lang, model.thresholds[""])}
+        if name == "n-gram Jaccard join":
+            assert set(after) == {int(i) for i, _, least in brute_groups(list(before.items()), 5, 80) if i == least}
+        if name == "mixing":
+            mix = mixing.fit(rows)
+            cells = {r["row"].doc_id: (r.source, r.lang, r.topic, r.n_tokens) for r in mixing.decided(rows, mix).collect()}
+            totals = {}
+            for *c, n in cells.values():
+                totals[tuple(c)] = totals.get(tuple(c), 0.0) + n
+            weights = mixing.rake(totals, [mixing.flattened(totals, d, mixing.FLATTEN) for d in range(3)])
+            chance = mixing.probabilities(totals, weights, mixing.BUDGET)
+            draw = lambda i: int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:8], 16) / 2**32
+            assert set(after) == {i for i, (*c, n) in cells.items() if draw(i) < chance.get(tuple(c), 1.0)}
+            assert all(n == len((before[i] or "").split()) for i, (*_, n) in cells.items())
         kept, rows = set(after), out
     assert len(kept) < len(texts)
 
