@@ -307,6 +307,50 @@ def quantity_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "subject", "lager", F.rint("langd_m").cast("long").alias("langd"), "antal", "kalla", "kommentar")
 
 
+def _linked_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of runs that have a code each: a drawing's hits, in turn, are linked to its runs; some codes count for several
+    runs, some runs hold vertical symbols; the scale is two points a metre."""
+    from quantspark.functions import layers as L
+
+    h = V.hits(spark, d)
+    codes = h.select(*PAGE, F.col("hit_seq").alias("code_id"), F.col("text").alias("raw_text"), F.col("text").alias("base_code"), F.col("text").alias("full_code"), (F.col("hit_seq") % 3 + 1).alias("count"), "x0", "y0", "x1", "y1", "conf", F.lit(False).alias("excluded"), (F.col("hit_seq") % 400 + 1).alias("linked_chain"))
+    s = V.segments(spark, d)
+    chains = s.select(*PAGE, F.col("seg_seq").cast("long").alias("chain_id"), L.system_for_layer(F.col("layer")).alias("system"), (F.col("x2") - F.col("x1") + F.col("y2") - F.col("y1")).alias("length_pt"), (F.col("seg_seq") % 4).cast("long").alias("vertical_symbols"), F.lit(False).alias("excluded"), F.lit(None).cast("string").alias("excluded_reason"), F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("x2").alias("x1"), F.col("y2").alias("y1"))
+    scale = V.pages(s).select(*PAGE, F.lit(2.0).alias("pts_per_meter"))
+    none = codes.select(*PAGE, F.lit("x").alias("prefix"), F.lit("y").alias("system")).limit(0)
+    return quantify.quantity_rows(codes, chains, scale, legend.systems_of_codes(codes, none, CFG), CFG)
+
+
+_LINKED = """
+, s AS (SELECT doc_id, seg_seq, (x2-x1)+(y2-y1) AS len, CASE WHEN layer LIKE '%V-53%' THEN 'Spill- dagvatten' WHEN layer LIKE '%V-52%' THEN 'Rör tappvatten' END AS system FROM v_seg),
+c AS (SELECT h.doc_id, h.text, h.hit_seq % 3 + 1 AS cnt, h.conf, s.seg_seq, s.len,
+ coalesce(s.system, CASE WHEN starts_with(text, 'KV') OR starts_with(text, 'VV') THEN 'Rör tappvatten' WHEN starts_with(text, 'S') OR starts_with(text, 'D') THEN 'Spill- dagvatten' ELSE 'Okänt system' END) AS lager
+ FROM v_hit h JOIN s ON s.doc_id = h.doc_id AND s.seg_seq = h.hit_seq % 400 + 1)"""
+
+
+@query("q2_linked_rows", _LINKED + """
+SELECT doc_id, text AS subject, lager, len / 2 AS langd_m, 'chain:' || CAST(seg_seq AS VARCHAR) AS kalla,
+ concat_ws('; ', CASE WHEN cnt > 1 THEN CAST(cnt AS VARCHAR) || ' parallella rör (' || text || ') – ritade var för sig, längden ej multiplicerad' END, CASE WHEN conf < 60 THEN 'låg OCR-confidence (' || CAST(CAST(conf AS BIGINT) AS VARCHAR) || ')' END) AS kommentar FROM c""")
+def linked_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = _linked_rows(spark, d).filter(F.col("langd_m").isNotNull() & ~F.startswith("kommentar", F.lit("okopplad")))
+    return rows.select("doc_id", "subject", "lager", "langd_m", "kalla", "kommentar")
+
+
+@query("q3_vertical_rows", _LINKED + """
+SELECT doc_id, text || ' Vertikal' AS subject, lager, CAST((seg_seq % 4) * cnt AS BIGINT) AS antal_vs, CAST(format('{:.2f}', CAST((seg_seq % 4) * cnt AS DOUBLE) * 2.8e0) AS DOUBLE) AS total, 'chain:' || CAST(seg_seq AS VARCHAR) AS kalla FROM c WHERE seg_seq % 4 > 0""")
+def vertical_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = _linked_rows(spark, d).filter(F.col("antal_vs").isNotNull())
+    return rows.select("doc_id", "subject", "lager", "antal_vs", F.col("total_vertikalhojd_m").alias("total"), "kalla")
+
+
+@query("q8_legend_zone", """
+SELECT doc_id, doc_id - 10.0e0 AS x0, CAST(min(hit_seq) * 10 - 5 AS DOUBLE) AS y0, doc_id + 260.0e0 AS x1, 1000.0e0 AS y1 FROM v_hit WHERE hit_seq % 50 = 3 GROUP BY doc_id""")
+def legend_zone(spark: SparkSession, d: str) -> DataFrame:
+    """The zone under the first heading of each page's legend."""
+    lines = _legend(spark, d).withColumn("text", F.when(F.col("line_no") % 50 == 3, F.lit("Förklaringar:")).otherwise(F.col("text")))
+    return legend.legend_zone(lines, V.pages(lines)).drop("page_no")
+
+
 _SUMMARY = """
 , a AS (SELECT doc_id, subject, arg_min(lager, part * 100000000000 + no) AS lager, count(*) FILTER (WHERE antal IS NULL AND langd_m IS NOT NULL) AS n_strackor, CAST(coalesce(sum(langd_m) FILTER (WHERE antal IS NULL), 0) AS BIGINT) AS total_langd,
  CAST(coalesce(sum(antal), 0) AS BIGINT) AS n_punkter, CAST(coalesce(sum(antal_vs), 0) AS BIGINT) AS antal_vs, CAST(coalesce(sum(total_vertikalhojd_m), 0) AS BIGINT) AS total_vh FROM v_ours GROUP BY ALL)"""
