@@ -120,6 +120,10 @@ def _of_unit(unit: units.Unit, least_chars: int, key_bits: int) -> tuple[list[st
     return texts, keys, [both[:, 1], np.array(low, np.int64), np.array(n, np.uint32)], (np.array(rows, np.int64), np.array(lines, np.int64), np.array(places, np.int64))
 
 
+def _without(text: str, lines: set[int]) -> str:
+    return "\n".join(x for j, x in enumerate(text.split("\n")) if j not in lines)
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, carry: bool = False, key_bits: int = 64, unit_bytes: int = units.UNIT_BYTES) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped): the text that is left, lines before and dropped; with `carry` also row, the other
     columns as a struct. key_bits under 64 makes the first 64 bits collide, for tests."""
@@ -131,22 +135,45 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = units.ask(corpus, question, _told, [np.uint64, np.int64, np.uint32], "lines")[0]
     bits = corpus.bits
 
-    def unit(u: units.Unit):
+    def dropped(u: units.Unit) -> tuple[list[str], dict[int, set[int]]]:
         texts, keys, (_, low, _), (row, line, place) = _of_unit(u, least_chars, key_bits)
         said = units.told(u, "lines", keys, bits)[place]
         gone = (said == 2) | (said == 1) & (u.ids[row] > low[place])
-        dropped: dict[int, set[int]] = {}
+        out: dict[int, set[int]] = {}
         for i, j in zip(row[gone].tolist(), line[gone].tolist(), strict=True):
-            dropped.setdefault(i, set()).add(j)
-        kept = ["\n".join(x for j, x in enumerate(t.split("\n")) if j not in dropped[i]) if i in dropped else t for i, t in enumerate(texts)]
+            out.setdefault(i, set()).add(j)
+        return texts, out
+
+    def unit(u: units.Unit):
+        texts, gone = dropped(u)
+        kept = [_without(t, gone[i]) if i in gone else t for i, t in enumerate(texts)]
         n = pa.array([t.count("\n") + 1 for t in texts], pa.int64())
-        lost = pa.array([len(dropped.get(i, ())) for i in range(len(texts))], pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(u.rids), pa.array(u.ids, mask=u.null), pa.array(kept, pa.string()), n, lost], ["rid", "doc_id", "text", "n_lines", "n_dropped"])
+        lost = pa.array([len(gone.get(i, ())) for i in range(len(texts))], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(u.ids, mask=u.null), pa.array(kept, pa.string()), n, lost], ["doc_id", "text", "n_lines", "n_dropped"])
 
-    out = units.each(corpus, unit, "rid long, doc_id long, text string, n_lines long, n_dropped long", {"lines": path})
     if not carry:
-        return out.drop("rid")
-    return out.join(units.carried(corpus), "rid").drop("rid")
+        return units.each(corpus, unit, "doc_id long, text string, n_lines long, n_dropped long", {"lines": path})
+
+    def lines(u: units.Unit):
+        _, gone = dropped(u)
+        if gone:
+            at = sorted(gone)
+            data = pa.array([np.array(sorted(gone[i]), np.int64).tobytes() for i in at], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(u.rids[at]), data], ["rid", "data"])
+
+    told = units.for_rows(corpus, units.each(corpus, lines, "rid long, data binary", {"lines": path}), "lines-dropped")
+
+    def rows(b: pa.RecordBatch, found: np.ndarray, data: pa.Array) -> pa.RecordBatch:
+        texts = [t or "" for t in b.column(1).to_pylist()]
+        n = pa.array([t.count("\n") + 1 for t in texts], pa.int64())
+        lost = np.zeros(len(texts), np.int64)
+        for i, x in zip(np.flatnonzero(found).tolist(), data.to_pylist(), strict=True):
+            gone = set(np.frombuffer(x, np.int64).tolist())
+            texts[i], lost[i] = _without(texts[i], gone), len(gone)
+        return pa.RecordBatch.from_arrays([b.column(2), pa.array(texts, pa.string()), n, pa.array(lost)], ["row", "text", "n_lines", "n_dropped"])
+
+    out = units.each_row(corpus, told, rows, f"row {corpus.kind}, text string, n_lines long, n_dropped long")
+    return out.select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), "text", "n_lines", "n_dropped", "row")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

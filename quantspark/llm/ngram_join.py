@@ -374,13 +374,20 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows without words stay. Rows are named by their number in the corpus, so null and repeated ids are rows like others.
     """
     _checked(words, percent)
-    corpus = units.write(docs, id_col, text_col, common.row_of(docs))
+    corpus = units.write(docs, id_col, text_col, common.row_of(docs, text_col))
     keys, _, named = _grouped(corpus, words, percent, BLOCK)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "node", "rid")
     first = keys.filter("n > 0").groupBy("node").agg(F.min(order).alias("first"))  # before rows move, one for each set
     best = first.join(named.select("node", "component"), "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first"))
-    kept = common.stored(best.select("first.rid").unionByName(keys.filter("n = 0").select("rid")), "ngram-kept")
-    return units.carried(corpus).join(kept, "rid", "left_semi").select("row.*")
+    kept = best.select("first.rid").unionByName(keys.filter("n = 0").select("rid"))
+    told = units.for_rows(corpus, kept.withColumn("data", F.lit(None).cast("binary")), "ngram-kept")
+
+    def rows(b: pa.RecordBatch, found: np.ndarray, _: pa.Array) -> pa.RecordBatch:
+        return b.filter(pa.array(found))
+
+    out = units.each_row(corpus, told, rows, f"rid long, text string, row {corpus.kind}")
+    text = F.col("text").cast(docs.schema[text_col].dataType)
+    return out.select(*[(text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,8 +96,46 @@ def of_texts(batches: Iterator[pa.RecordBatch], unit_bytes: int) -> Iterator[Uni
 
 
 def carried(corpus: Corpus) -> DataFrame:
-    """(rid, row): what is carried, by the row's number. Spark reads it, so any type comes back as it was."""
-    return corpus.spark.read.schema(f"rid long, row {corpus.kind}").parquet(corpus.path)
+    """(rid, text, row): texts, and what is carried. Spark reads it, so any type comes back as it was."""
+    return corpus.spark.read.schema(f"rid long, text string, row {corpus.kind}").parquet(corpus.path)
+
+
+def for_rows(corpus: Corpus, rows: DataFrame, name: str) -> str:
+    """Writes what some rows are told (rid, data binary), by the owner of the rows; returns the folder."""
+    path = common.fresh_dir(corpus.spark, name)
+    owned = rows.select(F.shiftright("rid", 33).alias("owner"), "rid", "data")
+    owned.repartition("owner").sortWithinPartitions("owner", "rid").write.partitionBy("owner").parquet(path)
+    return path
+
+
+def each_row(corpus: Corpus, path: str, fn: Callable[[pa.RecordBatch, np.ndarray, pa.Array], pa.RecordBatch], schema: str) -> DataFrame:
+    """fn for batches of (rid, text, row), with which rows were told something, and what they were told. A row needs no more than
+    its own number, so Spark may split files as it likes; a task reads what the owners of its rows were told."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, rids, data = -1, np.zeros(0, np.int64), pa.array([], pa.binary())
+        for b in batches:
+            own = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(own >> 33)) + 1).tolist(), b.num_rows]
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == z:
+                    continue
+                if own[a] >> 33 != owner:
+                    owner = int(own[a] >> 33)
+                    system, at = _system(f"{path}/owner={owner}")
+                    rids, data = np.zeros(0, np.int64), pa.array([], pa.binary())
+                    if system.get_file_info(at).type != fs.FileType.NotFound:
+                        t = ds.dataset(at, filesystem=system, format="parquet").to_table(columns=["rid", "data"]).sort_by("rid").combine_chunks()
+                        if t.num_rows:
+                            rids, data = t["rid"].to_numpy(), t["data"].combine_chunks()
+                at = np.searchsorted(rids, own[a:z])
+                found = np.zeros(z - a, bool)
+                inside = at < len(rids)
+                found[inside] = rids[at[inside]] == own[a:z][inside]
+                yield fn(b.slice(a, z - a), found, data.take(pa.array(at[found])))
+            common.tidy()
+
+    return carried(corpus).mapInArrow(run, schema)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
