@@ -24,6 +24,8 @@ _ROUND1, _ROUND2, _ROUND3 = U64(0x9E3779B185EBCA87), U64(0xC2B2AE3D27D4EB4F), U6
 _FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 LONG = 64
 _powers: dict[int, np.ndarray] = {}
+#: The longest table of powers that a worker keeps.
+KEPT_POWERS = 8 << 20
 #: Bytes of text that a kernel handles at once.
 CHUNK_BYTES = 1 << 20
 
@@ -39,13 +41,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
+    """base**0 .. base**(n-1) modulo 2**64; kept for next time unless a very long text asks."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         out = np.ones(1, U64)
         while len(out) < n:
             out = np.concatenate([out, out * U64(pow(base, len(out), 2**64))])
-        _powers[base] = have = out
+        if n <= KEPT_POWERS:
+            _powers[base] = out
+        have = out
     return have[:n]
 
 
