@@ -1,8 +1,8 @@
 """Spatial joins by grid cell.
 
 Spark plans a band predicate as a nested loop. Here the one side is written to
-its cell, the other to every cell that its reach touches, so the join is a
-hash join on (page, cell) with the exact predicate behind it, and a page's
+its cell, the other to every cell that its reach touches, so the join is an
+equality join on (page, cell) with the exact predicate behind it, and a page's
 density, not the table's size, bounds a cell.
 """
 
@@ -29,8 +29,12 @@ def at_point(df: DataFrame, x: Column, y: Column, size: float) -> DataFrame:
 
 
 def over_box(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> DataFrame:
-    """Rows once for each cell of a box, in _cx and _cy."""
-    out = df.withColumn("_cell", F.explode(cells_of_box(x0, y0, x1, y1, size)))
+    """Rows once for each cell of a box, in _cx and _cy.
+
+    Spark takes them for no more bytes than the rows had, and those for what their files have, so it would broadcast a
+    table of any size through the driver: what joins them is a merge join.
+    """
+    out = df.withColumn("_cell", F.explode(cells_of_box(x0, y0, x1, y1, size))).hint("merge")
     return out.withColumns({"_cx": F.col("_cell.cx"), "_cy": F.col("_cell.cy")}).drop("_cell")
 
 

@@ -48,6 +48,18 @@ def test_bridged_dashes():
     assert len(bridge_dashes([(0, 0, 10, 0), (10.5, 0, 20, 0), (20, 0.8, 20, 30)], 1.5, 0)) == 1
 
 
+def test_no_cells_are_broadcast(spark, tmp_path):
+    """Small files of long segments, written to many cells: as a broadcast they would all pass through the driver."""
+    path = str(tmp_path / "s")
+    segments(spark, [(0, 10 * i, 2000, 10 * i) for i in range(200)]).write.parquet(path)
+    s = spark.read.parquet(path)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 1 << 20
+    for made in (pipes.cut_at_contacts(s, 0.5), pipes.endpoint_pairs(s, 0.5)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and not any("_cx" in x for x in plan.splitlines() if "BroadcastHashJoin" in x)
+    assert islands.crossings(s.selectExpr("doc_id", "page_no", "x1 as _ax", "y1 as _ay", "x2 as _bx", "y2 as _by"), s)._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 0
+
+
 def test_merge_collinear(spark):
     dashes = [(10 * i, 0, 10 * i + 6, 0) for i in range(5)]
     assert lengths(spark, islands.merge_collinear(segments(spark, dashes), gaps(spark, 5))) == [46.0]
