@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -109,6 +110,31 @@ def test_sample_is_bounded_by_bytes(spark):
     assert 0 < seen[0] <= 3000
 
 
+def test_every_label_takes_part(spark):
+    """More labels than a shard, and more than the 16,000 that fitting once took: a word that few documents hold is learnt from them."""
+    n = 24_000
+    rows = [(i, f"calm words {'xa' if i % 3 else 'xb'} " + ("snarl" if i % 7 == 0 else "fine") + (" rarely" if i % 4001 == 3 else ""), "en") for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(n)], "doc_id long, toxic int")
+    kept = [i for i in range(n) if zlib.crc32(str(i).encode()) % 5 > 1]
+    model = toxicity.fit(docs, labels)
+    one = toxicity.word_rows(np.frombuffer(b"rarely", np.uint8), np.array([0, 6]))[0][0]
+    assert (model.place[one] > 0) == (sum(i % 4001 == 3 for i in kept) >= toxicity.LEAST_DOCS)
+    some = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).filter(toxicity.fold("_id") != 0)
+    shards = toxicity._shards(toxicity._hashed(docs, some, "doc_id", "text", "lang"), 4).cache()
+    _, _, sizes = toxicity._vocabulary(shards)
+    assert sizes[0].tolist() == [sum(i % 7 > 0 for i in kept), sum(i % 7 == 0 for i in kept)] and sizes.sum() > 16_000
+    got = toxicity.scored(docs, model).select("row.doc_id", "score").collect()
+    assert np.mean([(g.score >= 0.5) == (g.doc_id % 7 == 0) for g in got]) > 0.99
+    again = toxicity.fit(docs.repartition(3), labels.repartition(2))  # how rows lie changes nothing
+    assert np.array_equal(again.table, model.table) and again.thresholds == model.thresholds
+    # thresholds, by brute force
+    score = dict(got)
+    held = [i for i in range(n) if zlib.crc32(str(i).encode()) % 5 == 1]
+    least = toxicity.calibrated(np.array([score[i] for i in held]), np.array([i % 7 == 0 for i in held], float), ["en"] * len(held))
+    assert all(abs(least[k] - model.thresholds[k]) <= 1 / toxicity.GRID + 1e-6 for k in ("", "en"))
+
+
 def test_toxicity_edges(spark, edge, edge_rows, empty):
     labels = spark.createDataFrame([(6, 1), (9, 0), (None, 1), (7, None), (999, 1)], "doc_id long, toxic int")
     model = toxicity.fit(edge, labels)
