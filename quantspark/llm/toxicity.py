@@ -31,6 +31,7 @@ result. Other columns can be carried along, whatever their names.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -272,16 +273,17 @@ _SHARD = "toxic binary, held binary, langs array<string>, starts binary, rows bi
 
 
 def _hashed(docs: DataFrame, some: DataFrame, id_col: str, text_col: str, lang_col: str | None) -> DataFrame:
-    """(id, toxic, held, lang, rows): the word hashes of the documents of `some` (_id, _toxic)."""
+    """(id, toxic, held, lang, rows): the word hashes of the documents of `some` (_id, _toxic), deflated."""
     lang = F.coalesce(docs[lang_col], F.lit("")) if lang_col else F.lit("")
-    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("text"), lang.alias("lang")).join(some, "_id")
+    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("text"), lang.alias("lang"))
+    rows = rows.join(some.hint("merge"), "_id")  # labels grow with the corpus: no broadcast, at no size
     rows = rows.select(F.col("_id").cast("long"), "_toxic", (fold("_id") == 1).alias("held"), "lang", "text")
 
     def batch(b: pa.RecordBatch):
         data: list[bytes] = []
         for _, _, raw, off in chunks(b.column(4)):
             ids, starts = word_rows(raw, off)
-            data += [ids[a:z].tobytes() for a, z in zip(starts[:-1], starts[1:], strict=True)]
+            data += [zlib.compress(ids[a:z].tobytes(), 1) for a, z in zip(starts[:-1], starts[1:], strict=True)]
         return pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(data, pa.binary())], ["id", "toxic", "held", "lang", "rows"])
 
     return common.by_batch(rows, batch, "id long, toxic int, held boolean, lang string, rows binary")
@@ -299,11 +301,12 @@ def _shards(rows: DataFrame, n: int) -> DataFrame:
         def packed():
             toxic, held, langs, data = zip(*have, strict=True)
             starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in data])])
-            cells = [np.array(toxic, np.int8).tobytes(), np.array(held, np.int8).tobytes(), list(langs), starts.tobytes(), b"".join(data)]
+            cells = [np.array(toxic, np.int8).tobytes(), np.array(held, np.int8).tobytes(), list(langs), starts.tobytes(), zlib.compress(b"".join(data), 1)]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cells, [pa.binary(), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.binary()], strict=True)], ["toxic", "held", "langs", "starts", "rows"])
 
         for b in batches:
             for shard, *row in zip(*[b.column(k).to_pylist() for k in range(5)], strict=True):
+                row[3] = zlib.decompress(row[3])
                 if have and (shard != last or words + len(row[3]) // 4 > SHARD_WORDS):
                     yield packed()
                     have, words = [], 0
@@ -319,7 +322,7 @@ def _shards(rows: DataFrame, n: int) -> DataFrame:
 def _opened(b: pa.RecordBatch):
     """Of each shard of a batch its labels, whether held, languages and word hashes."""
     for toxic, held, langs, starts, rows in zip(*[b.column(k).to_pylist() for k in range(5)], strict=True):
-        at, h = np.frombuffer(starts, np.int64), np.frombuffer(rows, np.int32)
+        at, h = np.frombuffer(starts, np.int64), np.frombuffer(zlib.decompress(rows), np.int32)
         yield np.frombuffer(toxic, np.int8).astype(float), np.frombuffer(held, np.int8) == 1, langs, [h[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
 
 
@@ -377,7 +380,8 @@ def _round(shards: DataFrame, place: np.ndarray, p: dict[str, np.ndarray], held_
     schema = "key long, n long, " + ", ".join(f"v{d} long" for d in range(DIMS))
     sums = common.by_batch(shards, batch, schema).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", *(f"v{d}" for d in range(DIMS)))])
     got = sums.toArrow()
-    sent.unpersist()
+    sent.destroy()  # else the driver keeps a copy of every round
+    common.tidy()
     key, n = got["key"].to_numpy(), got["n"].to_numpy()
     value = np.stack([got[f"v{d}"].to_numpy() for d in range(DIMS)], 1)
     loss = float(value[key == -1, 0].sum()) / POINT / max(1, int(n[key == -1].sum()))
@@ -415,7 +419,8 @@ def _thresholds(shards: DataFrame, model: Model, held_out: bool) -> dict[str, fl
     right = F.sum("bad").over(w.orderBy(F.desc("place"))) / F.sum("n").over(w.orderBy(F.desc("place")))
     good = F.min(F.when((F.col("_right") >= PRECISION) & (F.col("place") >= GRID // 2), F.col("place")))
     got = found.withColumn("_right", right).groupBy("lang").agg(good.alias("place")).collect()
-    sent.unpersist()
+    sent.destroy()  # else the driver keeps a copy of every round
+    common.tidy()
     return {"": 0.5} | {r.lang: 0.5 if r.place is None else max(0.5, r.place / GRID) for r in sorted(got)}
 
 
@@ -430,7 +435,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if sample is not None or sample_bytes is not None:
         got = _hashed(docs, _sampled(docs, some, id_col, text_col, sample, sample_bytes), id_col, text_col, lang_col).toArrow()
         got = got.to_pandas().sort_values(["id", "toxic"], kind="stable")
-        ids = [np.frombuffer(x, np.int32) for x in got["rows"]]
+        ids = [np.frombuffer(zlib.decompress(x), np.int32) for x in got["rows"]]
         return train(ids, got["toxic"].to_numpy(np.float64), got["held"].to_numpy(bool), list(got["lang"]))
     with common.Scratch():
         n = max(1, -(-some.count() // SHARD))
